@@ -208,7 +208,7 @@ def _(spark, sf_dir):
 
 _FEED_SQL = (
     "feed AS (SELECT DISTINCT dst_ip AS indicator, CASE WHEN k % 4 = 0 THEN NULL ELSE 'c2' END AS tt, "
-    "CASE WHEN k % 8 = 0 THEN NULL ELSE CAST(0.85 AS DOUBLE) END AS fc FROM sec WHERE k % 2 = 0)"
+    "CASE WHEN k % 8 = 0 THEN NULL ELSE CAST(0.85 AS DOUBLE) END AS fc FROM sec WHERE outcome = 'failure')"
 )
 
 
@@ -222,7 +222,7 @@ _FEED_SQL = (
 def _(spark, sf_dir):
     ev = sec_events(spark, sf_dir)
     feed = (
-        ev.where("k % 2 = 0")
+        ev.where("outcome = 'failure'")
         .select(
             F.col("dst_ip").alias("indicator"), F.lit("ip").alias("itype"),
             F.when(F.col("k") % 4 != 0, F.lit("c2")).alias("threat_type"),
@@ -249,7 +249,7 @@ def _(spark, sf_dir):
     "expire_iocs",
     SEC + f" SELECT dst_ip AS indicator, source_type AS source, count(*) AS kept FROM (SELECT dst_ip, timestamp, CASE "
     "WHEN k % 2 = 0 THEN 'misp' ELSE 'urlhaus' END AS source_type FROM sec) WHERE epoch_us(" + NOW +
-    ") - epoch_us(timestamp) < CASE source_type WHEN 'misp' THEN 604800 ELSE 86400 END * 1000000 GROUP BY ALL",
+    ") - epoch_us(timestamp) < CASE source_type WHEN 'misp' THEN 604800 ELSE 86400 END * CAST(1000000 AS BIGINT) GROUP BY ALL",
 )
 def _(spark, sf_dir):
     iocs = sec_events(spark, sf_dir).select(
@@ -273,7 +273,7 @@ def _(spark, sf_dir):
 
 _LEASES = (
     "leases AS (SELECT tenant_id, src_ip AS ip, timestamp AS lts, CONCAT('Lease-', CAST(k AS VARCHAR), '.') AS host "
-    "FROM sec WHERE k % 5 = 0)"
+    "FROM sec WHERE action = 'authenticate')"
 )
 
 
@@ -285,7 +285,7 @@ _LEASES = (
 )
 def _(spark, sf_dir):
     ev = sec_events(spark, sf_dir)
-    leases = ev.where("k % 5 = 0").select(
+    leases = ev.where("action = 'authenticate'").select(
         "tenant_id", F.col("src_ip").alias("ip"), F.concat(F.lit("Lease-"), "k", F.lit(".")).alias("host"),
         F.col("timestamp").alias("ts"),
     )
@@ -295,12 +295,12 @@ def _(spark, sf_dir):
 @SUITE.query(
     "resolve_user_alias",
     SEC + ", al AS (SELECT DISTINCT tenant_id, user_id, 'person' || user_id || '@corp.example' AS canon FROM sec WHERE "
-    "user_id % 2 = 0) SELECT event_id, coalesce(canon, 'u' || sec.user_id || '@corp') AS canonical_user FROM sec LEFT "
+    "action = 'authenticate') SELECT event_id, coalesce(canon, 'u' || sec.user_id || '@corp') AS canonical_user FROM sec LEFT "
     "JOIN al ON al.tenant_id = sec.tenant_id AND al.user_id = sec.user_id",
 )
 def _(spark, sf_dir):
     ev = sec_events(spark, sf_dir).withColumn("user", F.concat(F.lit(" CORP\\U"), "user_id"))
-    aliases = ev.where("user_id % 2 = 0").select(
+    aliases = ev.where("action = 'authenticate'").select(
         "tenant_id", F.concat(F.lit("u"), "user_id", F.lit("@CORP")).alias("alias"),
         F.concat(F.lit("Person"), "user_id", F.lit("@corp.example")).alias("canonical"),
     ).distinct()
@@ -344,14 +344,14 @@ def _(spark, sf_dir):
 
 @SUITE.query(
     "enrich_exposure",
-    SEC + ", x AS (SELECT DISTINCT dst_ip AS ip, k % 100 AS ports FROM sec WHERE k % 2 = 0) SELECT event_id, e.ip AS "
+    SEC + ", x AS (SELECT DISTINCT dst_ip AS ip, k % 100 AS ports FROM sec WHERE outcome = 'success') SELECT event_id, e.ip AS "
     "exposed_ip, CASE WHEN e.ip IS NOT NULL THEN x.ip IS NOT NULL END AS is_exposed, ports FROM (SELECT event_id, CASE "
     "WHEN NOT (starts_with(a,'10.') OR starts_with(a,'192.168.') OR starts_with(a,'127.')) THEN a END AS ip FROM (SELECT "
     "event_id, CASE WHEN k % 3 = 0 THEN src_ip ELSE dst_ip END AS a FROM sec)) e LEFT JOIN x ON x.ip = e.ip",
 )
 def _(spark, sf_dir):
     ev = sec_events(spark, sf_dir).withColumn("src_ip", F.when(F.col("k") % 3 == 0, F.col("src_ip")))
-    exposures = ev.where("k % 2 = 0").select(F.col("dst_ip").alias("ip"), (F.col("k") % 100).alias("ports")).distinct()
+    exposures = ev.where("outcome = 'success'").select(F.col("dst_ip").alias("ip"), (F.col("k") % 100).alias("ports")).distinct()
     return intel.enrich_exposure(ev, exposures).select("event_id", "exposed_ip", "is_exposed", "ports")
 
 
