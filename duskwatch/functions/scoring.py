@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,19 +100,31 @@ def top_features(features: Column, importances: Sequence[float], n: int = 5) ->
     return F.transform(top, lambda p: F.struct(p["name"].alias("name"), (-p["neg"]).alias("weight")))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``; inside lambdas nothing else would share it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def gap_seconds(times_us: Column) -> Column:
+    later = F.slice(times_us, 2, F.greatest(F.size(times_us) - 1, F.lit(0)))
+    return F.filter(F.zip_with(later, times_us, lambda b, a: (b - a) / 1e6), lambda g: g.isNotNull())
+
+
+def mean_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+
+
 def timing_cov(times_us: Column, min_points: int = 10, limit: float = 0.15) -> Column:
     """Regularity of the gaps between timestamps (µs): 1 at zero deviation, 0 from CoV ``limit`` up."""
-    gaps = F.transform(
-        F.sequence(F.lit(1), F.size(times_us) - 1), lambda i: (F.get(times_us, i) - F.get(times_us, i - 1)) / 1e6
-    )
-    n = F.size(times_us) - 1
-    mean = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    cov = F.sqrt(var) / mean
-    return (
-        F.when(F.size(times_us) < min_points, 0.0).when(mean == 0, 1.0)
-        .when(cov < limit, F.least(F.lit(1.0), 1.0 - cov / limit)).otherwise(0.0)
-    )
+
+    def score(gaps: Column, mean: Column) -> Column:
+        var = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(gaps)
+        return F.when(mean == 0, 1.0).otherwise(
+            bind(F.sqrt(var) / mean, lambda cov: F.when(cov < limit, F.least(F.lit(1.0), 1.0 - cov / limit)).otherwise(0.0))
+        )
+
+    scored = bind(gap_seconds(times_us), lambda gaps: bind(mean_of(gaps), lambda mean: score(gaps, mean)))
+    return F.when(F.size(times_us) < min_points, 0.0).otherwise(scored)
 
 
 def timing_ks(times_us: Column, min_points: int = 10, alpha: float = 0.05) -> Column:
@@ -120,28 +132,24 @@ def timing_ks(times_us: Column, min_points: int = 10, alpha: float = 0.05) -> Co
 
     The p-value is the asymptotic series, which is close for the 9 to 29 gaps used here.
     """
-    n = (F.size(times_us) - 1).cast("double")
-    gaps = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(1), F.size(times_us) - 1), lambda i: (F.get(times_us, i) - F.get(times_us, i - 1)) / 1e6
-        )
-    )
-    mean = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / n
-    dist = F.array_max(
-        F.transform(
-            gaps,
-            lambda x, i: F.greatest(
-                (i + 1) / n - (1.0 - F.exp(-x / mean)), (1.0 - F.exp(-x / mean)) - i / n
-            ),
+
+    def distance(gaps: Column, mean: Column) -> Column:
+        n = F.size(gaps).cast("double")
+        cdf = F.transform(gaps, lambda x: 1.0 - F.exp(-x / mean))
+        return F.array_max(F.transform(cdf, lambda c, i: F.greatest((i + 1) / n - c, c - i / n)))
+
+    def p_value(scaled: Column) -> Column:
+        series = F.aggregate(
+            F.sequence(F.lit(1), F.lit(50)), F.lit(0.0),
+            lambda a, j: a + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * scaled * scaled),
         )
-    )
-    scaled = (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n)) * dist
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(50)), F.lit(0.0),
-        lambda a, j: a + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * scaled * scaled),
-    )
-    p = F.when(scaled < 0.2, 1.0).otherwise(clamp01(series))
-    return (
-        F.when(F.size(times_us) < min_points, 0.0).when(mean == 0, 1.0)
-        .when(p < alpha, clamp01(1.0 - p / alpha)).otherwise(0.0)
-    )
+        return F.when(scaled < 0.2, 1.0).otherwise(clamp01(series))
+
+    def score(gaps: Column, mean: Column) -> Column:
+        root = F.sqrt(F.size(gaps).cast("double"))
+        scaled = (root + 0.12 + 0.11 / root) * distance(gaps, mean)
+        judged = bind(scaled, lambda s: bind(p_value(s), lambda p: F.when(p < alpha, clamp01(1.0 - p / alpha)).otherwise(0.0)))
+        return F.when(mean == 0, 1.0).otherwise(judged)
+
+    scored = bind(F.array_sort(gap_seconds(times_us)), lambda gaps: bind(mean_of(gaps), lambda mean: score(gaps, mean)))
+    return F.when(F.size(times_us) < min_points, 0.0).otherwise(scored)

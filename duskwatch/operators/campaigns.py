@@ -117,8 +117,8 @@ def campaign_rollup(events: DataFrame) -> DataFrame:
         .when((F.col("meta_score") >= 0.75) & (severity_rank(seed) < 3), "high").otherwise(seed)
     )
     stages = F.array(*[F.lit(k) for k in KILL_CHAIN])
-    # the stage starts at initial_access and only moves forward
-    stage = F.element_at(stages, (F.greatest(F.coalesce("_stage", F.lit(2)), F.lit(0)) + 1).cast("int"))
+    # without any known tactic the stage is initial_access
+    stage = F.element_at(stages, (F.coalesce("_stage", F.lit(2)) + 1).cast("int"))
     return (
         main.join(tech, ["tenant_id", "campaign_id"], "left").join(assets, ["tenant_id", "campaign_id"], "left")
         .withColumn("severity", severity).withColumn("stage", stage).drop("_stage", "_seed_severity")

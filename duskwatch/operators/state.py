@@ -173,7 +173,7 @@ def weights_fold(verdicts: DataFrame, max_rows: int = MAX_ROWS_PER_KEY) -> DataF
                         w[i] = max(w[i] - 0.01, 0.05)
             total = w[0] + w[1] + w[2] + w[3] + w[4]
             w = [x / total for x in w]
-            out.append((w,))
+            out.append((list(w),))
         return tuple(w), list(range(len(out))), out
 
     return ordered_fold(

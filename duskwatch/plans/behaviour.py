@@ -198,10 +198,10 @@ _BASE = "0.55::DOUBLE*s1 + 0.05::DOUBLE*s2 + 0.3::DOUBLE*s3 + 0.05::DOUBLE*s4 +
 
 @SUITE.query(
     "meta_score",
-    _SC + f", b AS (SELECT event_id, {_BASE} AS base, least({_BASE} + CASE WHEN hour(timestamp) >= 22 OR hour(timestamp) <= 6 THEN 0.05 ELSE 0 "
+    _SC + f", bb AS (SELECT event_id, {_BASE} AS base, least({_BASE} + CASE WHEN hour(timestamp) >= 22 OR hour(timestamp) <= 6 THEN 0.05 ELSE 0 "
     "END + CASE WHEN k / 100.0::DOUBLE > 0.5 THEN 0.03 * (k / 100.0::DOUBLE - 0.5) ELSE 0 END, 1) AS boosted FROM sc) SELECT event_id, "
     "round(least(greatest(CASE WHEN base > 0.3 THEN pow(base, 0.85) ELSE base END, 0), 1), 6) AS plain, round(least(greatest(CASE WHEN boosted > "
-    "0.3 THEN pow(boosted, 0.85) ELSE boosted END, 0), 1), 6) AS with_context FROM b",
+    "0.3 THEN pow(boosted, 0.85) ELSE boosted END, 0), 1), 6) AS with_context FROM bb",
 )
 def _(spark, sf_dir):
     ev = sec_events(spark, sf_dir)
@@ -292,8 +292,14 @@ def _(spark, sf_dir):
 
 # ---- sequences ----
 
-#: spans widened to ten days; test entities have hours between events
-PATTERNS = [Q.Pattern(p.id, p.name, p.stages, 864_000, p.severity, p.mitre_tactic) for p in Q.ATTACK_PATTERNS]
+#: spans widened to ten days and score gates lowered: test entities have hours between events
+PATTERNS = [
+    Q.Pattern(
+        p.id, p.name, tuple(Q.Stage(s.name, s.tactic, round(s.min_score * 0.3, 3), s.technique_prefix) for s in p.stages),
+        864_000, p.severity, p.mitre_tactic,
+    )
+    for p in Q.ATTACK_PATTERNS
+]
 
 
 def sequence_events(spark, sf_dir):
