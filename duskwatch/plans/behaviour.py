@@ -200,14 +200,14 @@ _BASE = "0.55::DOUBLE*s1 + 0.05::DOUBLE*s2 + 0.3::DOUBLE*s3 + 0.05::DOUBLE*s4 +
     "meta_score",
     _SC + f", bb AS (SELECT event_id, {_BASE} AS base, least({_BASE} + CASE WHEN hour(timestamp) >= 22 OR hour(timestamp) <= 6 THEN 0.05 ELSE 0 "
     "END + CASE WHEN k / 100.0::DOUBLE > 0.5 THEN 0.03 * (k / 100.0::DOUBLE - 0.5) ELSE 0 END, 1) AS boosted FROM sc) SELECT event_id, "
-    "round(least(greatest(CASE WHEN base > 0.3 THEN pow(base, 0.85) ELSE base END, 0), 1), 6) AS plain, round(least(greatest(CASE WHEN boosted > "
-    "0.3 THEN pow(boosted, 0.85) ELSE boosted END, 0), 1), 6) AS with_context FROM bb",
+    "round(least(greatest(CASE WHEN base > 0.3 THEN pow(base, 0.85) ELSE base END, 0), 1) + 1e-10, 6) AS plain, round(least(greatest(CASE WHEN boosted > "
+    "0.3 THEN pow(boosted, 0.85) ELSE boosted END, 0), 1) + 1e-10, 6) AS with_context FROM bb",
 )
 def _(spark, sf_dir):
     ev = sec_events(spark, sf_dir)
     return ev.select(
-        "event_id", F.round(S.meta_score(_streams()), 6).alias("plain"),
-        F.round(S.meta_score(_streams(), hour=F.hour("timestamp"), criticality=F.col("k") / 100.0), 6).alias("with_context"),
+        "event_id", F.round(S.meta_score(_streams()) + 1e-10, 6).alias("plain"),
+        F.round(S.meta_score(_streams(), hour=F.hour("timestamp"), criticality=F.col("k") / 100.0) + 1e-10, 6).alias("with_context"),
     )
 
 

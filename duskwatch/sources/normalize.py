@@ -175,7 +175,7 @@ def normalize_zeek(raw: DataFrame) -> Parsed:
     state = F.coalesce(j["conn_state"], F.lit("OTH"))
     hole = F.lit("?")
     fields = {
-        "timestamp": F.when(missing, F.col("received_at")).otherwise(F.timestamp_micros((epoch * 1e6).cast("bigint"))),
+        "timestamp": F.when(missing, F.col("received_at")).otherwise(F.timestamp_micros(F.round(epoch * 1e6).cast("bigint"))),
         "event_category": F.lit("conn"),
         "event_type": j["service"],
         "action": lookup(state, {k: v[0] for k, v in ZEEK_STATES.items()}, "unknown"),
@@ -402,7 +402,7 @@ def normalize_splunk_hec(raw: DataFrame) -> Parsed:
     body = F.when(e.isNotNull(), F.coalesce(e["message"], e["msg"], F.lit("Splunk HEC Event"))).otherwise(j["event"])
     epoch = j["time"].try_cast("double")
     fields = {
-        "timestamp": F.coalesce(F.when(epoch != 0, F.timestamp_micros((epoch * 1e6).cast("bigint"))), "received_at"),
+        "timestamp": F.coalesce(F.when(epoch != 0, F.timestamp_micros(F.round(epoch * 1e6).cast("bigint"))), "received_at"),
         "source_type": F.coalesce(j["sourcetype"], F.lit("splunk_hec")),
         "severity": F.lit("low"),
         "message": F.substring(body, 1, 1000),
