@@ -8,9 +8,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, PCAModel, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.functions.scoring import bind
+
 # Attack classes, and the classes whose rows weigh three times as much.
 ATTACK_CLASSES = [
     "benign", "dos", "ddos", "brute_force", "web_attack", "infiltration", "botnet", "port_scan", "sql_injection", "fuzzers",
@@ -80,31 +83,39 @@ def reconstruction_anomaly(model: PCAModel, df: DataFrame) -> DataFrame:
     return out.withColumn("vae_anomaly_score", F.when(F.isnan(error), 1.0).otherwise(score)).drop("vec", "proj")
 
 
-def halfspace_leaves(features: str, low: list[float], high: list[float], trees: int = 25, height: int = 8, seed: int = 42) -> Column:
+def halfspace_leaves(features: Column, low: list[float], high: list[float], trees: int = 25, height: int = 8, seed: int = 42) -> Column:
     """Leaf number per tree. Level by level a tree halves the range of a randomly drawn dimension.
 
     Drawing the same dimension again halves its remaining range, so a path bit is one binary digit of
-    the scaled value. Each tree shifts the ranges a little, so trees cut at different places.
+    the scaled value. Each tree shifts the ranges a little, so trees cut at different places. The
+    draws are literal arrays walked by lambdas, which keeps the plan small.
     """
     rng = random.Random(seed)
     dims = [i for i, (a, b) in enumerate(zip(low, high)) if b > a]
-    leaves = []
+    cuts = []
     for _ in range(trees):
         shift = rng.random() * 0.5
         used: dict[int, int] = {}
-        bits = []
-        for level in range(height):
+        for _ in range(height):
             d = rng.choice(dims)
             used[d] = used.get(d, 0) + 1
             width = (high[d] - low[d]) * 1.5
-            unit = (F.get(features, F.lit(d)) - low[d]) / width + shift / 1.5
-            unit = F.least(F.greatest(unit, F.lit(0.0)), F.lit(0.999999))
-            bits.append((F.floor(unit * 2 ** used[d]) % 2) * 2 ** (height - 1 - level))
-        total = bits[0]
-        for b in bits[1:]:
-            total = total + b
-        leaves.append(total.cast("int"))
-    return F.array(*leaves)
+            cuts.append((d, low[d], width, shift / 1.5, float(2 ** used[d])))
+    table = F.array(
+        *[
+            F.struct(F.lit(d).alias("d"), F.lit(lo).alias("lo"), F.lit(w).alias("w"), F.lit(sh).alias("s"), F.lit(m).alias("m"))
+            for d, lo, w, sh, m in cuts
+        ]
+    )
+
+    def leaf(f: Column, t: Column) -> Column:
+        def bit(acc: Column, c: Column) -> Column:
+            unit = F.least(F.greatest((F.get(f, c["d"]) - c["lo"]) / c["w"] + c["s"], F.lit(0.0)), F.lit(0.999999))
+            return acc * 2 + (F.floor(unit * c["m"]) % 2).cast("int")
+
+        return F.aggregate(F.slice(table, t * height + 1, F.lit(height)), F.lit(0), bit)
+
+    return bind(features, lambda f: F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: leaf(f, t)))
 
 
 def halfspace_anomaly(
@@ -114,31 +125,33 @@ def halfspace_anomaly(
     """Rarity of an event's leaves in the window before: score first, learn later.
 
     Leaf masses are counted per time window with map-side combining. A window's profile is one
-    map of at most trees × 2^height entries, joined to the next window's events by window.
+    array of trees × 2^height counts, joined to the next window's events by window.
     """
     size = 2**height
     leaf = df.withColumns(
-        {"_w": F.date_trunc(width, "timestamp"), "_leaves": halfspace_leaves("features", low, high, trees, height, seed)}
+        {"_w": F.date_trunc(width, "timestamp"), "_leaves": halfspace_leaves(F.col("features"), low, high, trees, height, seed)}
     )
-    mass = leaf.select("_w", F.posexplode("_leaves").alias("t", "leaf")).groupBy("_w", (F.col("t") * size + F.col("leaf")).alias("slot")).agg(
+    counted = leaf.select("_w", F.posexplode("_leaves").alias("t", "leaf")).groupBy("_w", (F.col("t") * size + F.col("leaf")).alias("slot")).agg(
         F.count("*").alias("n")
     )
+    # every slot once per window, so that a profile is a dense array looked up by position
+    blank = counted.select("_w").distinct().select("_w", F.explode(F.sequence(F.lit(0), F.lit(trees * size - 1))).alias("slot"), F.lit(0).cast("long").alias("n"))
+    mass = counted.unionByName(blank).groupBy("_w", "slot").agg(F.sum("n").alias("n"))
     step = F.expr(f"INTERVAL 1 {width.upper()}")
     profile = mass.groupBy((F.col("_w") + step).alias("_w")).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("_mass"), (F.sum("n") / trees).alias("_seen")
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("_mass"), (F.sum("n") / trees).alias("_seen")
     )
     joined = leaf.join(profile, "_w", "left")
     rarity = F.transform(
         F.col("_leaves"),
-        lambda x, t: 1.0 / (1.0 + F.coalesce(F.try_element_at(F.col("_mass"), t * size + x), F.lit(0)) * float(size) / F.col("_seen") / 8.0),
+        lambda x, t: 1.0 / (1.0 + F.coalesce(F.get(F.col("_mass"), t * size + x), F.lit(0)) * float(size) / F.col("_seen") / 8.0),
     )
     mean = F.aggregate(rarity, F.lit(0.0), lambda a, x: a + x) / trees
     damp = F.least(F.col("_seen") / cold_start, F.lit(1.0))
     return joined.withColumn("hst_anomaly_score", F.coalesce(mean * damp, F.lit(0.0))).drop("_w", "_leaves", "_mass", "_seen")
 
 
-def feature_ranges(df: DataFrame, dim: int) -> tuple[list[float], list[float]]:
-    """Minimum and maximum per dimension: one aggregate row."""
-    cols = [F.get("features", F.lit(i)) for i in range(dim)]
-    row = df.agg(*[F.min(c).alias(f"l{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"h{i}") for i, c in enumerate(cols)]).first()
-    return [float(row[f"l{i}"]) for i in range(dim)], [float(row[f"h{i}"]) for i in range(dim)]
+def feature_ranges(df: DataFrame) -> tuple[list[float], list[float]]:
+    """Minimum and maximum per dimension: one vector aggregate, one row."""
+    row = df.select(Summarizer.metrics("min", "max").summary(array_to_vector("features")).alias("s")).select("s.*").first()
+    return [float(x) for x in row["min"]], [float(x) for x in row["max"]]

@@ -10,6 +10,9 @@ from typing import Any, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.functions.plan import pin
+from duskwatch.functions.scoring import bind
+
 # Rule ids, names, technique references, conditions and confidences.
 # (id, name, technique id, technique name, tactic, conditions, confidence)
 RULES: list[tuple[str, str, str, str, str, dict[str, Any], float]] = [
@@ -122,10 +125,16 @@ def _literal_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _pattern(rx: str) -> str:
+    """The text is lower-cased already; a lower-case pattern does not need the slower (?i)."""
+    body = rx.removeprefix("(?i)")
+    return body if body == body.lower() else f"(?i){body}"
+
+
 def rule_predicate(conditions: dict[str, Any]) -> Column:
-    """AND of the known conditions; unknown condition keys are ignored."""
+    """AND of the known conditions over ``_text`` (lower-cased message) and event columns; unknown keys are ignored."""
     tests = {
-        "message": lambda p: F.lower(F.coalesce("message", F.lit(""))).rlike(p),
+        "message": lambda p: F.col("_text").rlike(_pattern(p)),
         "action": lambda p: F.coalesce(F.col("action") == p, F.lit(False)),
         "dst_port": lambda p: F.coalesce(F.col("dst_port") == p, F.lit(False)),
         "outcome_failure": lambda p: F.coalesce(F.col("outcome") == "failure", F.lit(False)),
@@ -139,24 +148,45 @@ def rule_predicate(conditions: dict[str, Any]) -> Column:
     return out
 
 
-def rule_matches(rules: Sequence[tuple] = tuple(RULES)) -> Column:
-    """array<struct> of matching rules in rule order; one expression for all rules."""
-    hits = [
-        F.when(
-            rule_predicate(cond),
+MASK_BITS = 62
+
+
+def _rule_masks(rules: Sequence[tuple]) -> Column:
+    """array<bigint> with one bit per rule. Plain conditions and sums, so it compiles to one loop-free block."""
+    masks = []
+    for at in range(0, len(rules), MASK_BITS):
+        bits = [F.when(rule_predicate(r[5]), F.lit(1 << i).cast("bigint")).otherwise(0) for i, r in enumerate(rules[at : at + MASK_BITS])]
+        total = bits[0]
+        for b in bits[1:]:
+            total = total + b
+        masks.append(total)
+    return F.array(*masks)
+
+
+def _matches_of(masks: Column, rules: Sequence[tuple]) -> Column:
+    table = F.array(
+        *[
             F.struct(
-                F.lit(rid).alias("rule_id"), F.lit(name).alias("rule_name"),
-                F.lit(tid).alias("mitre_technique_id"), F.lit(tname).alias("mitre_technique_name"),
-                F.lit(tactic).alias("mitre_tactic"), F.lit(float(conf)).alias("confidence"),
-            ),
-        )
-        for rid, name, tid, tname, tactic, cond, conf in rules
-    ]
-    return F.filter(F.array(*hits), lambda m: m.isNotNull())
+                F.lit(rid).alias("rule_id"), F.lit(name).alias("rule_name"), F.lit(tid).alias("mitre_technique_id"),
+                F.lit(tname).alias("mitre_technique_name"), F.lit(tactic).alias("mitre_tactic"), F.lit(float(conf)).alias("confidence"),
+            )
+            for rid, name, tid, tname, tactic, _, conf in rules
+        ]
+    )
+    hit = lambda m, i: F.get(masks, F.floor(i / MASK_BITS).cast("int")).bitwiseAND(
+        F.expr("1L") * F.pow(F.lit(2.0), i % MASK_BITS).cast("bigint")
+    ) != 0
+    return F.filter(table, hit)
 
 
 def match_rules(events: DataFrame, rules: Sequence[tuple] = tuple(RULES)) -> DataFrame:
-    return events.withColumn("rule_matches", rule_matches(rules))
+    """Add ``rule_matches``: array<struct> of matching rules in rule order.
+
+    All rules are tested in one pass into bit masks, and only the set bits are turned into structs.
+    """
+    out = pin(events, "_text", F.lower(F.coalesce("message", F.lit(""))))
+    out = pin(out, "_masks", _rule_masks(rules))
+    return out.withColumn("rule_matches", _matches_of(F.col("_masks"), rules)).drop("_masks", "_text")
 
 
 def to_mitre(matches: str = "rule_matches") -> Column:
@@ -173,22 +203,17 @@ def to_mitre(matches: str = "rule_matches") -> Column:
 
 def compliance_tags(matches: str = "rule_matches") -> Column:
     """Sorted distinct tags; needs temporal_score and bytes_out beside the matches."""
-    m = F.col(matches)
     empty = F.array().cast("array<string>")
-    parts = []
-    ids = F.transform(m, lambda r: F.lower(r["rule_id"]))
-    names = F.array_join(F.transform(m, lambda r: F.lower(r["rule_name"])), "\n")
-    for rule_id, tags in COMPLIANCE_BY_RULE.items():
-        parts.append(F.when(F.array_contains(ids, rule_id), _literal_array(tags)).otherwise(empty))
-    for words, tags in COMPLIANCE_BY_NAME:
-        parts.append(F.when(names.rlike(words), _literal_array(tags)).otherwise(empty))
-    parts.append(
-        F.when(F.col("temporal_score") > 0.8, _literal_array(COMPLIANCE_TEMPORAL)).otherwise(empty)
-    )
-    parts.append(
-        F.when(F.col("bytes_out") > 50_000_000, _literal_array(COMPLIANCE_EXFIL)).otherwise(empty)
-    )
-    return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+    def tags(ids: Column, names: Column) -> Column:
+        parts = [F.when(F.array_contains(ids, k), _literal_array(t)).otherwise(empty) for k, t in COMPLIANCE_BY_RULE.items()]
+        parts += [F.when(names.rlike(words), _literal_array(t)).otherwise(empty) for words, t in COMPLIANCE_BY_NAME]
+        parts.append(F.when(F.col("temporal_score") > 0.8, _literal_array(COMPLIANCE_TEMPORAL)).otherwise(empty))
+        parts.append(F.when(F.col("bytes_out") > 50_000_000, _literal_array(COMPLIANCE_EXFIL)).otherwise(empty))
+        return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+    hits = F.transform(matches, lambda r: F.struct(F.lower(r["rule_id"]).alias("i"), F.lower(r["rule_name"]).alias("n")))
+    return bind(hits, lambda h: tags(h["i"], F.array_join(h["n"], "\n")))
 
 
 def percent(score: Column, digits: int) -> Column:

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from duskwatch.functions import features as FE
 from duskwatch.functions import scoring as S
 from duskwatch.operators import ml as M
-from duskwatch.plans.base import Suite
+from duskwatch.plans.base import Suite, sec_events
 from duskwatch.plans.behaviour import _vector_inputs
-from duskwatch.plans.base import sec_events
 
 SUITE = Suite()
 
@@ -45,5 +44,5 @@ def _(spark, sf_dir):
 @SUITE.query("halfspace_anomaly")
 def _(spark, sf_dir):
     data = labelled(spark, sf_dir)
-    low, high = M.feature_ranges(data, FE.DIM)
+    low, high = M.feature_ranges(data)
     return M.halfspace_anomaly(data, low, high).select("event_id", F.round("hst_anomaly_score", 6).alias("hst_anomaly_score"))

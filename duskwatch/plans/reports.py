@@ -339,7 +339,8 @@ def _(spark, sf_dir):
     "temporal_score > 0.8 ORDER BY meta_score DESC, event_id DESC LIMIT 50",
 )
 def _(spark, sf_dir):
-    ev = sec_events(spark, sf_dir).withColumn("bytes_out", F.lit(0)).withColumn("rule_matches", rules.rule_matches([("none", "none", "", "", "", {"dst_port": -1}, 0.0)]))
+    ev = sec_events(spark, sf_dir).withColumn("bytes_out", F.lit(0))
+    ev = rules.match_rules(ev, [("none", "none", "", "", "", {"dst_port": -1}, 0.0)])
     tagged = ev.withColumn("compliance_tags", rules.compliance_tags())
     return R.compliance_digest(tagged, 50).select("event_id", "tags")
 

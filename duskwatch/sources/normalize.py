@@ -12,6 +12,7 @@ from typing import Callable, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.functions.plan import pin
 from duskwatch.functions.text import first_ip, mask_pii
 from duskwatch.schema import canonical, entity, metadata, network
 
@@ -58,8 +59,16 @@ RFC3164 = r"^<(\d{1,3})>(\w{3}\s+\d{1,2}\s\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:
 
 
 class Parsed(NamedTuple):
+    """Events, and the rejected lines as (original_topic, value, error_reason)."""
+
     events: DataFrame
-    dead_letters: DataFrame
+    rejected: DataFrame
+
+    @property
+    def dead_letters(self) -> DataFrame:
+        """Letters carry the first 10000 characters, masked; that length is part of the format."""
+        text_part = F.substring("value", 1, DEAD_LETTER_CHARS)
+        return self.rejected.select("original_topic", mask_pii(text_part).alias("raw_log"), "error_reason")
 
 
 def lookup(key: Column, table: dict[str, str], default: str | None) -> Column:
@@ -92,17 +101,14 @@ def with_defaults(raw: DataFrame) -> DataFrame:
 def parse_json(raw: DataFrame, ddl: str) -> DataFrame:
     """Add ``j`` (parsed fields) and ``bad`` (not a JSON object)."""
     parsed = F.from_json("value", f"{ddl}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    out = with_defaults(raw).withColumn("j", parsed)
+    out = pin(with_defaults(raw), "j", parsed)
     bad = F.col("j").isNull() | F.col("j._corrupt").isNotNull() | ~F.ltrim(F.col("value")).startswith("{")
     return out.withColumn("bad", F.coalesce(bad, F.lit(True)))
 
 
-def dead_letter(df: DataFrame, topic: str | Column, reason: Column) -> DataFrame:
-    """Letters carry the first 10000 characters, masked; that length is part of the format."""
-    return df.select(
-        (F.lit(topic) if isinstance(topic, str) else topic).alias("original_topic"),
-        mask_pii(F.substring("value", 1, DEAD_LETTER_CHARS)).alias("raw_log"), reason.alias("error_reason"),
-    )
+def reject(df: DataFrame, topic: str | Column, reason: Column) -> DataFrame:
+    name = F.lit(topic) if isinstance(topic, str) else topic
+    return df.select(name.alias("original_topic"), "value", reason.alias("error_reason"))
 
 
 def finish(df: DataFrame, source: str, fields: dict[str, Column], extra: Column | None = None, parser: str | None = None,
@@ -119,7 +125,7 @@ def finish(df: DataFrame, source: str, fields: dict[str, Column], extra: Column
         "metadata": metadata(parser or source, F.col("value"), F.col("tenant_id"), connector),
         **fields,
     }
-    return Parsed(canonical(good, fields), dead_letter(judged.where("_reason IS NOT NULL"), source, F.col("_reason")))
+    return Parsed(canonical(good, fields), reject(judged.where("_reason IS NOT NULL"), source, F.col("_reason")))
 
 
 def iso_time(col: Column) -> Column:
@@ -317,7 +323,7 @@ def normalize_syslog_generic(raw: DataFrame) -> Parsed:
         "event_id": F.sha2(F.concat_ws("|", F.lit("syslog"), "tenant_id", "value"), 256), "source_type": F.lit("syslog"),
         "metadata": metadata("generic_syslog", F.col("value"), F.col("tenant_id")),
     }
-    return Parsed(canonical(good, {**base, **fields}), dead_letter(judged.where("_reason IS NOT NULL"), "syslog", F.col("_reason")))
+    return Parsed(canonical(good, {**base, **fields}), reject(judged.where("_reason IS NOT NULL"), "syslog", F.col("_reason")))
 
 
 def normalize_syslog_rfc(raw: DataFrame) -> Parsed:
@@ -493,15 +499,14 @@ PARSERS: dict[str, Callable[[DataFrame], Parsed]] = {
 
 
 def route_and_normalize(raw: DataFrame) -> Parsed:
-    """Parse each row by the last part of its ``topic``; unknown topics are dead letters."""
+    """Parse each row by the last part of its ``topic``; unknown topics are dead letters.
+
+    Each parser filters its own topic, so with raw data partitioned by topic no file is read twice.
+    """
     name = F.substring_index("topic", ".", -1)
-    events, dead = None, None
+    events, lost = None, reject(raw.where(F.coalesce(~name.isin(list(PARSERS)), F.lit(True))), F.col("topic"), F.lit("no_parser_registered"))
     for source, parser in PARSERS.items():
         got = parser(raw.where(name == source))
-        letters = got.dead_letters
         events = got.events if events is None else events.unionByName(got.events)
-        dead = letters if dead is None else dead.unionByName(letters)
-    lost = raw.where(F.coalesce(~name.isin(list(PARSERS)), F.lit(True)))
-    dead = dead.unionByName(dead_letter(lost, F.col("topic"), F.lit("no_parser_registered")))
-    return Parsed(events, dead)
-
+        lost = lost.unionByName(got.rejected)
+    return Parsed(events, lost)
