@@ -173,9 +173,10 @@ def _matches_of(masks: Column, rules: Sequence[tuple]) -> Column:
             for rid, name, tid, tname, tactic, _, conf in rules
         ]
     )
-    hit = lambda m, i: F.get(masks, F.floor(i / MASK_BITS).cast("int")).bitwiseAND(
-        F.expr("1L") * F.pow(F.lit(2.0), i % MASK_BITS).cast("bigint")
-    ) != 0
+    def hit(_: Column, i: Column) -> Column:
+        word = F.get(masks, F.floor(i / MASK_BITS).cast("int")) if len(rules) > MASK_BITS else F.get(masks, F.lit(0))
+        return F.call_function("shiftright", word, i % MASK_BITS).bitwiseAND(F.lit(1)) != 0
+
     return F.filter(table, hit)
 
 
