@@ -95,13 +95,10 @@ class SequenceState(StatefulProcessor):
             self.state.update((int(state[0]), int(state[1])))
         else:
             self.state.clear()
-        fired = pdf.iloc[at]
-        yield pd.DataFrame(
-            {
-                "tenant_id": [key[0]] * len(at), "entity_key": [key[1]] * len(at), "pattern_id": [key[2]] * len(at),
-                "triggering_event_id": fired["event_id"].to_numpy(), "span_us": [v[0] for v in values],
-            }
-        )
+        ids = pdf["event_id"].tolist()
+        alerts = [(*key, ids[i], v[0]) for i, v in zip(at, values)]
+        if alerts:
+            yield pd.DataFrame(alerts, columns=["tenant_id", "entity_key", "pattern_id", "triggering_event_id", "span_us"])
 
     def close(self) -> None:
         pass

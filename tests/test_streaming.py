@@ -41,9 +41,11 @@ def test_sequence_stream(spark, tmp_path):
 
 def test_throughput_drops_late_rows(spark, tmp_path):
     cols = "event_id bigint, timestamp string, source_type string, severity string"
+    # lateness is judged by the watermark of the batch before the previous one, hence three batches
     first = [(1, "2024-01-01 00:10:00", "z", "low"), (2, "2024-01-01 05:00:00", "z", "low")]
+    between = [(5, "2024-01-01 06:00:00", "z", "low")]
     late = [(3, "2024-01-01 00:20:00", "z", "low"), (4, "2024-01-01 09:00:00", "z", "low")]
-    for i, part in enumerate((first, late)):
+    for i, part in enumerate((first, between, late)):
         df = spark.createDataFrame(part, cols).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / f"src/{i}"))
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src/*"))
