@@ -92,7 +92,7 @@ def contains_join(events: DataFrame, text: Column, dim: DataFrame, needle: str =
     if len(rows) <= LITERAL_LIMIT:
         names = dim.columns
         if not rows:
-            return events.join(dim, F.lit(False))
+            return events.where(F.lit(False)).select("*", *[F.lit(None).cast(dim.schema[c].dataType).alias(c) for c in names])
         values = F.array(
             *[F.struct(*[F.lit(r[c]).cast(dim.schema[c].dataType).alias(c) for c in names]) for r in rows]
         )
