@@ -324,8 +324,8 @@ def keep_one(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     marks = marks.withColumnRenamed("keeper", "_keeper")
     if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
-    hashed = docs.withColumn("_text", F.xxhash64("text"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     hit = hashed.join(marks, hashed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
-    single = hit.where("_hash IS NULL").select(*docs.columns)
-    again = hit.where("_keeper").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    single = hit.where("_hash IS NULL").select("_row.*")
+    again = hit.where("_keeper").dropDuplicates(["_id", "_hash"]).select("_row.*")
     return single.unionByName(again)

@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from duskwatch.llm.mixing import mix_sources
 from duskwatch.llm.ngram_join import ngram_jaccard_join
+from duskwatch.llm.quality import quality_rules
+from duskwatch.llm.sharding import shuffle_into_shards
+from duskwatch.llm.urls import judge_urls, rule_table
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,7 +21,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shuffle_into_shards(_read(spark, sf_dir, "documents"), shards=8)
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(_read(spark, sf_dir, "pages"), rule_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_feistel_sharding": op2_feistel_sharding,
+    "op7_mix_sources": op7_mix_sources,
+    "op9_url_filter": op9_url_filter,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}
