@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from duskwatch.llm.mixing import mix_sources
 from duskwatch.llm.ngram_join import ngram_jaccard_join
 from duskwatch.llm.quality import quality_rules
 from duskwatch.llm.sharding import shuffle_into_shards
+from duskwatch.llm.toxicity import score_toxicity
 from duskwatch.llm.urls import judge_urls, rule_table
 
 
@@ -25,6 +27,11 @@ def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(_read(spark, sf_dir, "documents"), shards=8)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -43,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_feistel_sharding": op2_feistel_sharding,
+    "op3_toxicity": op3_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
