@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duskwatch.llm.language import identify_language
 from duskwatch.llm.mixing import mix_sources
 from duskwatch.llm.ngram_join import ngram_jaccard_join
 from duskwatch.llm.quality import quality_rules
@@ -32,6 +33,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_read(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_feistel_sharding": op2_feistel_sharding,
     "op3_toxicity": op3_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
