@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm.components import settle
+from duskwatch.llm.rows import hash_sample
 from duskwatch.llm.tokens import BYTE_CODE, Words, slices
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -150,12 +151,12 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, clean_loss: float = 0.005) -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, anomaly, limit, kept.
 
-    ``fit_rows`` bounds the rows the forest is grown on, picked by hash of their id. Without labels
+    ``fit_rows`` bounds the rows the forest is grown on, picked by hash of id and counts. Without labels
     of both kinds nothing but the base rules rejects. Several labels of one id count as
     the worst.
     """
     stats = settle(rule_statistics(docs))
-    fit = stats.where("n_words > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(*COUNTS).toPandas()
+    fit = hash_sample(stats.where("n_words > 0"), fit_rows, "doc_id", *COUNTS).select(*COUNTS).toPandas()
     forest = Forest(features({c: fit[c].to_numpy() for c in COUNTS}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

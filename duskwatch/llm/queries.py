@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duskwatch.llm.decontaminate import find_leaks
 from duskwatch.llm.language import identify_language
 from duskwatch.llm.mixing import mix_sources
 from duskwatch.llm.ngram_join import ngram_jaccard_join
@@ -33,6 +34,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "windows", "coverage", "kind")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_feistel_sharding": op2_feistel_sharding,
     "op3_toxicity": op3_toxicity,
+    "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
     "op9_url_filter": op9_url_filter,

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.llm.components import settle
+from duskwatch.llm.rows import hash_sample
 from duskwatch.llm.tokens import BYTE_CODE, LETTER, U64, Words, mix, slices
 
 TABLE_BITS = 18
@@ -215,7 +217,8 @@ def held_out(rest: int = 4) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_chars: int) -> tuple[pa.Array, np.ndarray]:
     """At most ``fit_rows`` labelled texts of each kind, by hash of the id, none over ``fit_chars``."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    some = [marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for t in (0, 1)]
+    marked = settle(marked)
+    some = [hash_sample(marked.where(F.col("toxic") == t), fit_rows, "doc_id") for t in (0, 1)]
     ids = F.broadcast(some[0].unionByName(some[1]))
     rows = docs.select("doc_id", "text").where(F.length("text") <= fit_chars).join(ids, "doc_id")
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
