@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from duskwatch.llm.decontaminate import find_leaks
 from duskwatch.llm.language import identify_language
+from duskwatch.llm.language_model import score_texts
+from duskwatch.llm.licenses import scan_licenses
 from duskwatch.llm.mixing import mix_sources
 from duskwatch.llm.ngram_join import ngram_jaccard_join
 from duskwatch.llm.quality import quality_rules
@@ -34,6 +36,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op4_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "matched", "windows", "coverage", "kind")
@@ -48,6 +54,14 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source and language are the directories."""
+    docs = _read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    found = scan_licenses(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(_read(spark, sf_dir, "pages"), rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -62,9 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_feistel_sharding": op2_feistel_sharding,
     "op3_toxicity": op3_toxicity,
+    "op4_log_bilinear_lm": op4_log_bilinear_lm,
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
+    "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
