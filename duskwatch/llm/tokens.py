@@ -105,12 +105,12 @@ class Words:
 
     def span_hashes(self, start: np.ndarray, end: np.ndarray, code: np.ndarray = LOWER_CODE) -> np.ndarray:
         """Hash of any byte spans: a polynomial modulo 2**64 over random byte codes, mixed with the length."""
-        up, down = _powers(len(self.data) + 1)
         if self._run is None or self._run[0] is not code:
+            up, down = _powers(len(self.data) + 1)
             run = np.zeros(len(self.data) + 1, U64)
             np.cumsum(code[self.data] * up[: len(self.data)], out=run[1:])
-            self._run = code, run
-        run = self._run[1]
+            self._run = code, run, down
+        _, run, down = self._run
         return mix((run[end] - run[start]) * down[start] + (end - start).astype(U64) * BYTE_CODE[7])
 
     def windows(self, hashes: np.ndarray, size: int, whole_if_short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
