@@ -102,24 +102,26 @@ def mask_pii(col: Column) -> Column:
     return col
 
 
-def mask_field(name: str, col: Column, dtype: T.DataType, skip: frozenset[str], depth: int = 0) -> Column:
-    """Mask one field by name, else walk its type; the tree is built once, at plan time."""
+def mask_field(name: str, col: Column, dtype: T.DataType, skip: frozenset[str]) -> Column:
+    """Mask one field by name, else walk its whole type; the tree is built once, at plan time."""
     for kind, names in PII_FIELDS.items():
         if name.lower() in names:
             text = col.cast("string")
             hashed = F.when(text.isNull() | (text == ""), text).otherwise(_token(kind, text))
             return hashed.cast("string")
-    if depth > 10 or name in skip:
+    if name in skip:
         return col
     if isinstance(dtype, T.StringType):
         return mask_pii(col)
     if isinstance(dtype, T.StructType):
         fields = [
-            mask_field(f.name, col[f.name], f.dataType, skip, depth + 1).alias(f.name) for f in dtype.fields
+            mask_field(f.name, col[f.name], f.dataType, skip).alias(f.name) for f in dtype.fields
         ]
         return F.when(col.isNotNull(), F.struct(*fields))
-    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.StringType, T.StructType)):
-        return F.transform(col, lambda e: mask_field("", e, dtype.elementType, skip, depth))
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.StringType, T.StructType, T.ArrayType, T.MapType)):
+        return F.transform(col, lambda e: mask_field("", e, dtype.elementType, skip))
+    if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, (T.StringType, T.StructType, T.ArrayType, T.MapType)):
+        return F.transform_values(col, lambda _, v: mask_field("", v, dtype.valueType, skip))
     return col
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskwatch.operators.segments import segmented
+from duskwatch.operators.segments import KEY, SEG, segmented
 
 # Minimum F1 per class for release.
 EXIT_F1 = {"sql_injection": 0.55, "infiltration": 0.55, "exploits": 0.50, "ddos": 0.60}
@@ -73,7 +73,7 @@ def weighted_auc(scored: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     counts = long.groupBy("class", F.col("p").alias("score")).agg(
         F.count_if(F.col("label") == F.col("class")).alias("pos"), F.count_if(F.col("label") != F.col("class")).alias("neg")
     )
-    seg = segmented(counts, ["class"], ["score"], max_rows).running_sum(neg_cum=F.col("neg"))
+    seg = segmented(counts, ["class"], ["score"], max_rows).running(sums={"neg_cum": F.col("neg")})
     below = F.col("neg_cum") - F.col("neg")
     agg = seg.df.groupBy("class").agg(
         F.sum(F.col("pos") * (below + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
@@ -88,12 +88,12 @@ def auc_summary(per_class: DataFrame) -> DataFrame:
 def time_split(buffer: DataFrame, train_share: float = 0.8, max_rows: int = 2_000_000) -> DataFrame:
     """Buffered rows marked train or holdout by time order within the tenant."""
     seg = segmented(buffer.withColumn("us", F.unix_micros("created_at")), ["tenant_id"], ["us", "id"], max_rows)
-    seg = seg.running_sum(_pos=F.lit(1))
-    total = buffer.groupBy("tenant_id").agg(F.count("*").alias("_n"))
+    seg = seg.running(sums={"_pos": F.lit(1)})
+    total = buffer.groupBy(F.struct("tenant_id").alias(KEY)).agg(F.count("*").alias("_n"))
     cut = F.floor(F.col("_n") * train_share)
     return (
-        seg.df.join(total, "tenant_id").withColumn("part", F.when(F.col("_pos") <= cut, "train").otherwise("holdout"))
-        .drop("_pos", "_n", "_seg", "us")
+        seg.df.join(total, KEY).withColumn("part", F.when(F.col("_pos") <= cut, "train").otherwise("holdout"))
+        .drop("_pos", "_n", SEG, KEY, "us")
     )
 
 
@@ -163,7 +163,7 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42, max_rows: int = 2_000_000) -> DataFrame:
     """Exact per-class split ordered by a seeded hash of the row key."""
     h = F.xxhash64(F.col(key), F.lit(seed))
-    seg = segmented(df.withColumn("_h", h), [label], ["_h", key], max_rows).running_sum(_pos=F.lit(1))
-    total = df.groupBy(label).agg(F.count("*").alias("_n"))
+    seg = segmented(df.withColumn("_h", h), [label], ["_h", key], max_rows).running(sums={"_pos": F.lit(1)})
+    total = df.groupBy(F.struct(label).alias(KEY)).agg(F.count("*").alias("_n"))
     part = F.when(F.col("_pos") <= F.floor(F.col("_n") * share), "train").otherwise("test")
-    return seg.df.join(total, label).withColumn("part", part).drop("_h", "_pos", "_n", "_seg")
+    return seg.df.join(total, KEY).withColumn("part", part).drop("_h", "_pos", "_n", SEG, KEY)

@@ -1,9 +1,8 @@
 """Order-dependent folds over sorted keys, split over tasks when a key is hot.
 
 ``ordered_fold`` sorts rows by (key, order) inside partitions and lets a small function walk each
-key's rows with a state. Normal keys: one hash shuffle, one pass. If some key exceeds ``max_rows``
-the rows are range-partitioned, so that key lies in several consecutive partitions. Every partition
-is first folded from a guessed entry state; where the true exit of the partition before differs, only
+key's rows with a state. Rows are range-partitioned, so a hot key lies in several consecutive
+partitions. Every partition is first folded from a guessed entry state; where the true exit of the partition before differs, only
 the partitions that depend on it are folded again. The loop ends when all entries are confirmed,
 so the result is exact, and folds that forget their past (resets, clamps) confirm in a few rounds.
 """
@@ -19,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskwatch.operators.segments import MAX_ROWS_PER_KEY, SEG, has_hot_key, range_segments
-from duskwatch.session import num_partitions
+from duskwatch.operators.segments import MAX_ROWS_PER_KEY, SEG, range_segments
 
 Run = Callable[[tuple, dict[str, np.ndarray]], tuple[tuple, list[int], list[tuple]]]
 
@@ -36,13 +34,13 @@ def _walk(
         marks = np.zeros(len(pdf), dtype=bool)
         marks[0] = True
         for k in keys:
-            v = pdf[k].to_numpy()
-            marks[1:] |= v[1:] != v[:-1]
+            v, gone = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+            marks[1:] |= (v[1:] != v[:-1]) & ~(gone[1:] & gone[:-1])
         starts = np.flatnonzero(marks).tolist() + [len(pdf)]
         arrays = {c: pdf[c].to_numpy() for c in cols}
         key_arrays = [pdf[k].to_numpy() for k in keys]
         for lo, hi in zip(starts, starts[1:]):
-            key = tuple(a[lo] for a in key_arrays)
+            key = tuple(None if pd.isna(a[lo]) else a[lo] for a in key_arrays)
             if key != current:
                 first = current is None
                 current = key
@@ -52,13 +50,6 @@ def _walk(
             yield key, pdf, lo, hi, at, values, state
 
 
-def _prepare(df: DataFrame, keys: list[str], order: list[str], max_rows: int) -> tuple[DataFrame, bool]:
-    if has_hot_key(df, keys, max_rows):
-        return range_segments(df, keys, order), True
-    flat = df.repartition(num_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
-    return flat.withColumn(SEG, F.lit(0)), False
-
-
 def _settle(
     seg: DataFrame, keys: list[str], cols: list[str], initial: tuple, run: Run
 ) -> tuple[dict[int, tuple], set[int]]:
@@ -106,8 +97,8 @@ def ordered_fold(
     """keys + order + the values ``run`` emits, one row per emitted position."""
     keys, order, cols = list(keys), list(order), list(cols)
     rows = df.select(*dict.fromkeys([*keys, *order, *cols]))
-    seg, split = _prepare(rows, keys, order, max_rows)
-    entries = _settle(seg, keys, cols, initial, run)[0] if split else {}
+    seg = range_segments(rows, keys, order, max_rows)
+    entries = _settle(seg, keys, cols, initial, run)[0]
     extra = T.StructType.fromDDL(out)
     schema = T.StructType([seg.schema[c] for c in [*keys, *order]] + extra.fields)
     names = [f.name for f in extra.fields]
@@ -145,8 +136,8 @@ def final_states(
     """keys + state after the key's last row; ``out`` names the state's fields."""
     keys, order, cols = list(keys), list(order), list(cols)
     rows = df.select(*dict.fromkeys([*keys, *order, *cols]))
-    seg, split = _prepare(rows, keys, order, max_rows)
-    entries, goes_on = _settle(seg, keys, cols, initial, run) if split else ({}, set())
+    seg = range_segments(rows, keys, order, max_rows)
+    entries, goes_on = _settle(seg, keys, cols, initial, run)
     extra = T.StructType.fromDDL(out)
     schema = T.StructType([seg.schema[c] for c in keys] + extra.fields)
 
@@ -161,7 +152,7 @@ def final_states(
                     yield pd.DataFrame(pending, columns=schema.names)
                     pending = []
             last = (key, state)
-        if last is not None and not (split and sid in goes_on):
+        if last is not None and sid not in goes_on:
             pending.append((*last[0], *last[1]))
         if pending:
             yield pd.DataFrame(pending, columns=schema.names)

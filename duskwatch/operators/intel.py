@@ -84,10 +84,12 @@ def match_ioc_ip(events: DataFrame, iocs: DataFrame) -> DataFrame:
 def contains_join(events: DataFrame, text: Column, dim: DataFrame, needle: str = "indicator") -> DataFrame:
     """Rows of ``events`` × ``dim`` where ``needle`` is a substring of ``text``, without a nested loop.
 
-    A small dimension (size checked) becomes literals tested in one pass. A larger one is joined by
-    equality on grams: a needle of GRAM or more characters can only occur where its first GRAM
-    characters occur, and shorter needles are looked up by their full text at each length present.
+    Empty and null needles match nothing, at any size. A small dimension (size checked) becomes
+    literals tested in one pass. A larger one is joined by equality on grams: a needle of GRAM or
+    more characters can only occur where its first GRAM characters occur, and shorter needles are
+    looked up by their full text at each length present. Both give the same rows.
     """
+    dim = dim.where(F.length(needle) > 0)
     rows = dim.limit(LITERAL_LIMIT + 1).collect()
     if len(rows) <= LITERAL_LIMIT:
         names = dim.columns
@@ -127,17 +129,16 @@ def match_ioc_hash(events: DataFrame, iocs: DataFrame) -> DataFrame:
 
 def match_ioc_feeds(events: DataFrame, embedded: DataFrame, feeds: DataFrame) -> DataFrame:
     """Feed indicators for ends whose address no embedded indicator matched in the same event."""
-    ends = events.select("event_id", F.explode(F.array("src_ip", "dst_ip")).alias("indicator")).where(
-        "indicator IS NOT NULL"
-    )
-    seen = embedded.select("event_id", "indicator").distinct()
+    ident = [c for c in ("tenant_id", "event_id") if c in events.columns and c in embedded.columns]
+    ends = events.select(*ident, F.explode(F.array("src_ip", "dst_ip")).alias("indicator")).where("indicator IS NOT NULL")
+    seen = embedded.select(*ident, "indicator").distinct()
     feed = feeds.where("itype = 'ip'").select(
         "indicator",
         F.coalesce("threat_type", F.lit("unknown")).alias("threat_type"),
         F.coalesce("threat_name", F.lit("Feed IOC")).alias("threat_name"),
         F.coalesce("confidence", F.lit(0.5)).alias("confidence"),
     )
-    return ends.join(feed, "indicator").join(seen, ["event_id", "indicator"], "left_anti")
+    return ends.join(feed, "indicator").join(seen, [*ident, "indicator"], "left_anti")
 
 
 def ioc_match_array() -> Column:
@@ -205,10 +206,12 @@ def resolve_dhcp(events: DataFrame, leases: DataFrame, max_rows: int | None = No
         )
     )
     args = {} if max_rows is None else {"max_rows": max_rows}
-    seg = segmented(line, ["tenant_id", "ip"], ["us", "kind", "tie"], **args).last_known(_host=F.col("host"))
-    found = seg.df.where("kind = 1").select("event_id", "_host")
-    filled = need.join(found, "event_id", "left").withColumn("hostname", F.col("_host")).drop("_host")
-    return have.unionByName(filled)
+    seg = segmented(line, ["tenant_id", "ip"], ["us", "kind", "tie"], **args).running(last={"_host": F.col("host")})
+    # equal (tenant, address, time) means an equal answer, so repeated event ids cannot multiply rows
+    found = seg.rows.where("kind = 1").groupBy(F.struct("tenant_id", "ip", "us").alias("_at")).agg(F.first("_host").alias("_host"))
+    at = F.struct("tenant_id", norm_ip(F.col("src_ip")).alias("ip"), F.unix_micros("timestamp").alias("us"))
+    filled = need.withColumn("_at", at).join(found, "_at", "left").withColumn("hostname", F.col("_host")).drop("_host", "_at")
+    return have.unionByName(filled.select(*have.columns))
 
 
 def resolve_user_alias(events: DataFrame, aliases: DataFrame, user: str) -> DataFrame:
@@ -216,7 +219,7 @@ def resolve_user_alias(events: DataFrame, aliases: DataFrame, user: str) -> Data
     dim = aliases.select(
         "tenant_id", norm_username(F.col("alias")).alias("_alias"),
         norm_username(F.col("canonical")).alias("_canonical"),
-    )
+    ).groupBy("tenant_id", "_alias").agg(F.min("_canonical").alias("_canonical"))
     out = events.withColumn("_alias", key).join(dim, ["tenant_id", "_alias"], "left")
     return out.withColumn("canonical_user", F.coalesce("_canonical", "_alias")).drop("_alias", "_canonical")
 
@@ -226,8 +229,9 @@ def enrich_asset_criticality(
 ) -> DataFrame:
     code = F.expr("try_cast(business_criticality AS INT)")
     cmdb_score = F.when(code == 1, 0.9).when(code == 2, 0.7).when(code == 3, 0.5).when(code.isNotNull(), 0.3)
-    dim = cmdb.select(F.col("name").alias(asset), cmdb_score.alias("_cmdb"))
-    reg = registry.select("tenant_id", F.col("asset_name").alias(asset), F.col("criticality_score").alias("_reg"))
+    # one row per key, the highest score of several, so that rows are kept as they are
+    dim = cmdb.groupBy(F.col("name").alias(asset)).agg(F.max(cmdb_score).alias("_cmdb"))
+    reg = registry.groupBy("tenant_id", F.col("asset_name").alias(asset)).agg(F.max("criticality_score").alias("_reg"))
     return (
         events.join(dim, asset, "left")
         .join(reg, ["tenant_id", asset], "left")
@@ -239,25 +243,32 @@ def enrich_asset_criticality(
 CVE_RX = r"CVE-\d{4}-\d{4,7}"
 
 
-def cve_ids() -> Column:
-    """First ten distinct CVE ids of message and raw_log in sorted order."""
+def cve_ids(limit: int | None = None) -> Column:
+    """Distinct CVE ids of message and raw_log in sorted order, all of them or the first ``limit``."""
     found = F.concat(
         F.regexp_extract_all(F.coalesce("message", F.lit("")), F.lit(CVE_RX), F.lit(0)),
         F.regexp_extract_all(F.coalesce("raw_log", F.lit("")), F.lit(CVE_RX), F.lit(0)),
     )
-    return F.slice(F.array_sort(F.array_distinct(found)), 1, 10)
+    ids = F.array_sort(F.array_distinct(found))
+    return ids if limit is None else F.slice(ids, 1, limit)
 
 
-def enrich_cve(events: DataFrame, cves: DataFrame) -> DataFrame:
-    """CVE context array per event. At most ten ids per event, so the regroup is bounded."""
-    ids = events.select("event_id", F.explode(cve_ids()).alias("cve_id"))
+def enrich_cve(events: DataFrame, cves: DataFrame, limit: int | None = None) -> DataFrame:
+    """CVE context array per event, of all ids it names or the first ``limit``.
+
+    Contexts are built once per distinct list of ids, so only events that name one are joined and
+    repeated event ids cannot multiply rows.
+    """
+    tagged = events.withColumn("_ids", cve_ids(limit))
+    ids = tagged.where(F.size("_ids") > 0).select("_ids").distinct().select("_ids", F.explode("_ids").alias("cve_id"))
     ctx = (
-        ids.join(cves, "cve_id")
-        .groupBy("event_id")
+        ids.join(cves.dropDuplicates(["cve_id"]), "cve_id")
+        .groupBy("_ids")
         .agg(F.array_sort(F.collect_list(F.struct("cve_id", *[c for c in cves.columns if c != "cve_id"])))
              .alias("cve_context"))
     )
-    return events.join(ctx, "event_id", "left")
+    none = tagged.where(F.size("_ids") == 0).drop("_ids").withColumn("cve_context", F.lit(None).cast(ctx.schema["cve_context"].dataType))
+    return tagged.where(F.size("_ids") > 0).join(ctx, "_ids", "left").drop("_ids").unionByName(none)
 
 
 # Address prefixes the exposure lookup treats as private.
@@ -271,7 +282,7 @@ def enrich_exposure(events: DataFrame, exposures: DataFrame) -> DataFrame:
     ip = F.coalesce(F.when(F.col("src_ip") != "", F.col("src_ip")), F.when(F.col("dst_ip") != "", F.col("dst_ip")))
     private = reduce(lambda a, b: a | b, [ip.startswith(p) for p in PRIVATE_PREFIXES])
     keyed = events.withColumn("_ip", F.when(~private, ip))
-    dim = exposures.withColumnRenamed("ip", "_ip").withColumn("_known", F.lit(True))
+    dim = exposures.dropDuplicates(["ip"]).withColumnRenamed("ip", "_ip").withColumn("_known", F.lit(True))
     out = keyed.join(dim, "_ip", "left")
     return out.withColumn("exposed_ip", F.col("_ip")).withColumn(
         "is_exposed", F.when(F.col("_ip").isNotNull(), F.coalesce("_known", F.lit(False)))

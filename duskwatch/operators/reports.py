@@ -328,7 +328,8 @@ def remediation_queue(finding_rows: DataFrame, n: int = 50) -> DataFrame:
 
 
 def posture_snapshot(campaigns: DataFrame, events: DataFrame, previous: DataFrame, now: Column) -> DataFrame:
-    """Snapshot score per tenant with an alert when it falls from above 70 to 70 or below."""
+    """Snapshot score of every tenant known from campaigns, events or earlier snapshots, with an alert
+    when it falls from above 70 to 70 or below. A tenant without campaign and finding scores 100."""
     camp = campaigns.where("active").groupBy("tenant_id").agg(
         F.count("*").alias("active"), F.avg("severity_num").alias("avg_sev"), F.lit(0).cast("long").alias("vulns"),
     )
@@ -338,13 +339,16 @@ def posture_snapshot(campaigns: DataFrame, events: DataFrame, previous: DataFram
     vuln = recent.groupBy("tenant_id").agg(
         F.lit(0).cast("long").alias("active"), F.lit(0.0).alias("avg_sev"), F.count("*").alias("vulns")
     )
-    both = camp.unionByName(vuln).groupBy("tenant_id").agg(
+    known = events.select("tenant_id").unionByName(previous.select("tenant_id")).distinct().select(
+        "tenant_id", F.lit(0).cast("long").alias("active"), F.lit(0.0).alias("avg_sev"), F.lit(0).cast("long").alias("vulns")
+    )
+    both = camp.unionByName(vuln).unionByName(known).groupBy("tenant_id").agg(
         F.sum("active").alias("active"), F.sum("avg_sev").alias("avg_sev"), F.sum("vulns").alias("vulns")
     )
     raw = 100 - 2.0 * F.col("active") - 5.0 * F.col("avg_sev") - 0.5 * F.col("vulns")
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
     return (
-        both.join(previous, "tenant_id", "left")
+        both.join(previous.withColumnRenamed("tenant_id", "_tenant"), F.col("tenant_id").eqNullSafe(F.col("_tenant")), "left")
         .select("tenant_id", score.alias("score"), "previous_score")
         .withColumn("dropped", F.coalesce((F.col("previous_score") > 70) & (F.col("score") <= 70), F.lit(False)))
     )

@@ -1,204 +1,98 @@
 """Ordered per-key computation that survives hot keys.
 
-A window over ``PARTITION BY entity`` puts a whole entity into one task. That is fine for most
-entities and fatal for one that owns a third of the table. ``segmented`` first counts rows per key
-(a map-side-combined aggregate). If every key fits under ``max_rows`` the data is left alone and
-each key is one segment. Otherwise the rows are range-partitioned on (key, order), which splits a hot
-key over as many partitions as it needs, and the partition number becomes the segment id. Windows then
-run inside a segment and a small table (one row per key and segment) carries values over
-segment borders.
+A window over ``PARTITION BY entity`` puts a whole entity into one task, which is fatal for one that
+owns a third of the table. ``segmented`` range-partitions rows on (key, order), so that a hot key
+covers as many partitions as it needs; the partition number is the segment. Windows run inside
+a segment, and a small checkpointed table (one row per key and segment) carries values over segment
+borders. There is one path at all sizes. Keys are compared as structs, so null keys are keys like
+any other.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from duskwatch.session import ensure_checkpoint_dir, num_partitions
 
+#: Rows of a segment aimed at; more rows make more segments.
 MAX_ROWS_PER_KEY = 2_000_000
-SEG = "_seg"
+SEG, KEY = "_seg", "_key"
 
 
 @dataclass
 class Segments:
-    """Rows of ``df`` with a segment id; every (keys, segment) group is bounded."""
+    """Rows with a segment number; every (key, segment) group is bounded."""
 
     df: DataFrame
-    keys: list[str]
     order: list[str]
-    split: bool
 
     @property
-    def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, SEG).orderBy(*self.order)
-
-    @property
-    def running(self) -> WindowSpec:
-        return self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    def rows(self) -> DataFrame:
+        return self.df.drop(SEG, KEY)
 
     @property
-    def _earlier(self) -> WindowSpec:
-        return (
-            Window.partitionBy(*self.keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-        )
-
-    def _with(self, df: DataFrame) -> "Segments":
-        return Segments(df, self.keys, self.order, self.split)
-
-    def with_column(self, name: str, col: Column) -> "Segments":
-        return self._with(self.df.withColumn(name, col))
-
-    def drop(self, *names: str) -> "Segments":
-        return self._with(self.df.drop(*names))
-
-    def _carry(
-        self, per_segment: dict[str, Column], across: dict[str, Callable[[str, WindowSpec], Column]]
-    ) -> DataFrame:
-        """Join to each row what earlier segments of its key add up to."""
-        tails = self.df.groupBy(*self.keys, SEG).agg(*[c.alias(n) for n, c in per_segment.items()])
-        carried = tails.select(
-            *self.keys, SEG, *[fn(n, self._earlier).alias(n) for n, fn in across.items()]
-        )
-        return self.df.join(carried, [*self.keys, SEG], "left")
-
-    def lag(self, **cols: Column) -> "Segments":
-        """Previous row's value of each expression, per key, over segment borders."""
-        names = list(cols)
-        row = F.struct(*[c.alias(n) for n, c in cols.items()])
-        if not self.split:
-            df = self.df.withColumn("_p", F.lag(row).over(self.window))
-        else:
-            base = self.df.withColumn("_row", row)
-            tmp = self._with(base)
-            df = tmp._carry(
-                {"_c": F.max_by(F.col("_row"), F.struct(*self.order))},
-                {"_c": lambda n, w: F.last(n).over(w)},
-            )
-            df = df.withColumn("_p", F.coalesce(F.lag("_row").over(self.window), F.col("_c")))
-            df = df.drop("_row", "_c")
-        return self._with(
-            df.withColumns({n: F.col(f"_p.{n}") for n in names}).drop("_p")
-        )
-
-    def running_sum(self, **cols: Column) -> "Segments":
-        """Inclusive running sum per key."""
-        if not self.split:
-            return self._with(
-                self.df.withColumns({n: F.sum(c).over(self.running) for n, c in cols.items()})
-            )
-        base = self._with(self.df.withColumns({f"_i_{n}": c for n, c in cols.items()}))
-        df = base._carry(
-            {f"_c_{n}": F.sum(f"_i_{n}") for n in cols},
-            {f"_c_{n}": (lambda c, w: F.sum(c).over(w)) for n in cols},
-        )
-        df = df.withColumns(
-            {
-                n: F.coalesce(F.sum(f"_i_{n}").over(self.running), F.lit(0))
-                + F.coalesce(F.col(f"_c_{n}"), F.lit(0))
-                for n in cols
-            }
-        )
-        return self._with(df.drop(*[f"_i_{n}" for n in cols], *[f"_c_{n}" for n in cols]))
-
-    def running_max(self, **cols: Column) -> "Segments":
-        """Inclusive running maximum per key, nulls ignored."""
-        if not self.split:
-            return self._with(
-                self.df.withColumns({n: F.max(c).over(self.running) for n, c in cols.items()})
-            )
-        base = self._with(self.df.withColumns({f"_i_{n}": c for n, c in cols.items()}))
-        df = base._carry(
-            {f"_c_{n}": F.max(f"_i_{n}") for n in cols},
-            {f"_c_{n}": (lambda c, w: F.max(c).over(w)) for n in cols},
-        )
-        df = df.withColumns(
-            {n: F.greatest(F.max(f"_i_{n}").over(self.running), F.col(f"_c_{n}")) for n in cols}
-        )
-        return self._with(df.drop(*[f"_i_{n}" for n in cols], *[f"_c_{n}" for n in cols]))
-
-    def last_known(self, **cols: Column) -> "Segments":
-        """Latest non-null value of each expression up to and including the row."""
-        if not self.split:
-            return self._with(
-                self.df.withColumns(
-                    {n: F.last(c, ignorenulls=True).over(self.running) for n, c in cols.items()}
-                )
-            )
-        base = self._with(self.df.withColumns({f"_i_{n}": c for n, c in cols.items()}))
+    def window(self) -> WindowSpec:
+        return Window.partitionBy(KEY, SEG).orderBy(*self.order)
+
+    def running(
+        self, lag: Mapping[str, Column] | None = None, sums: Mapping[str, Column] | None = None, maxs: Mapping[str, Column] | None = None,
+        last: Mapping[str, Column] | None = None,
+    ) -> "Segments":
+        """Per key: previous row's values, inclusive running sums and maxima (nulls ignored), latest
+        non-null values. All of a call share one aggregate, one carry table and one join."""
+        lag, sums, maxs, last = lag or {}, sums or {}, maxs or {}, last or {}
         order = F.struct(*self.order)
-        df = base._carry(
-            {
-                f"_c_{n}": F.max_by(F.col(f"_i_{n}"), F.when(F.col(f"_i_{n}").isNotNull(), order))
-                for n in cols
-            },
-            {f"_c_{n}": (lambda c, w: F.last(c, ignorenulls=True).over(w)) for n in cols},
-        )
-        df = df.withColumns(
-            {
-                n: F.coalesce(
-                    F.last(f"_i_{n}", ignorenulls=True).over(self.running), F.col(f"_c_{n}")
-                )
-                for n in cols
-            }
-        )
-        return self._with(df.drop(*[f"_i_{n}" for n in cols], *[f"_c_{n}" for n in cols]))
+        inputs = {f"_i_{n}": c for n, c in {**sums, **maxs, **last}.items()}
+        if lag:
+            inputs["_row"] = F.struct(*[c.alias(n) for n, c in lag.items()])
+        base = self.df.withColumns(inputs)
+        tails = [F.sum(f"_i_{n}").alias(f"_c_{n}") for n in sums] + [F.max(f"_i_{n}").alias(f"_c_{n}") for n in maxs]
+        tails += [F.max_by(f"_i_{n}", F.when(F.col(f"_i_{n}").isNotNull(), order)).alias(f"_c_{n}") for n in last]
+        earlier = Window.partitionBy(KEY).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+        across = [F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in sums] + [F.max(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in maxs]
+        across += [F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in last]
+        if lag:
+            tails.append(F.max_by("_row", order).alias("_c"))
+            across.append(F.last("_c").over(earlier).alias("_c"))
+        carried = base.groupBy(KEY, SEG).agg(*tails).select(KEY, SEG, *across).checkpoint()
+        df = base.join(carried, [KEY, SEG], "left")
+        inside = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = {n: F.coalesce(F.sum(f"_i_{n}").over(inside), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
+        out |= {n: F.greatest(F.max(f"_i_{n}").over(inside), F.col(f"_c_{n}")) for n in maxs}
+        out |= {n: F.coalesce(F.last(f"_i_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")) for n in last}
+        if lag:
+            out["_p"] = F.coalesce(F.lag("_row").over(self.window), F.col("_c"))
+        df = df.withColumns(out)
+        df = df.withColumns({n: F.col(f"_p.{n}") for n in lag}) if lag else df
+        return Segments(df.drop(*inputs, *[f"_c_{n}" for n in {**sums, **maxs, **last}], "_c", "_p"), self.order)
 
     def last_n(self, name: str, col: Column, n: int) -> "Segments":
         """The last ``n`` values (this row included, oldest first) as an array."""
+        back = Window.partitionBy(KEY, SEG).orderBy(*[F.desc(c) for c in self.order])
+        pos = self.df.withColumn("_v", col).withColumn("_back", F.row_number().over(back))
+        tail = F.array_sort(F.collect_list(F.when(F.col("_back") < n, F.struct(*self.order, "_v"))))
+        near = Window.partitionBy(KEY).orderBy(SEG).rowsBetween(-(n - 1), -1)
+        tails = pos.groupBy(KEY, SEG).agg(tail.alias("_t"))
+        before = F.transform(F.flatten(F.collect_list("_t").over(near)), lambda x: x["_v"])
+        carried = tails.select(KEY, SEG, before.alias("_c")).checkpoint()
+        df = pos.join(carried, [KEY, SEG], "left")
         frame = self.window.rowsBetween(-(n - 1), Window.currentRow)
-        if not self.split:
-            return self.with_column(name, F.collect_list(col).over(frame))
-        pos = self._with(
-            self.df.withColumn("_v", col).withColumn(
-                "_back", F.row_number().over(self.window_desc)
-            )
-        )
-        tail = F.array_sort(
-            F.collect_list(F.when(F.col("_back") < n, F.struct(*self.order, "_v")))
-        )
-        near = Window.partitionBy(*self.keys).orderBy(SEG).rowsBetween(-(n - 1), -1)
-        tails = pos.df.groupBy(*self.keys, SEG).agg(tail.alias("_t"))
-        carried = tails.select(
-            *self.keys,
-            SEG,
-            F.transform(F.flatten(F.collect_list("_t").over(near)), lambda x: x["_v"]).alias("_c"),
-        )
-        df = pos.df.join(carried, [*self.keys, SEG], "left")
-        joined = F.concat(
-            F.coalesce(F.col("_c"), F.array().cast(df.schema["_c"].dataType)),
-            F.collect_list("_v").over(frame),
-        )
-        df = df.withColumn("_j", joined).withColumn(
-            name, F.slice("_j", F.greatest(F.size("_j") - n + 1, F.lit(1)), F.lit(n))
-        )
-        return self._with(df.drop("_v", "_back", "_c", "_j"))
-
-    @property
-    def window_desc(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, SEG).orderBy(*[F.desc(c) for c in self.order])
-
-
-def has_hot_key(df: DataFrame, keys: Sequence[str], max_rows: int) -> bool:
-    """True if some key has more than ``max_rows`` rows; counts are combined before the shuffle."""
-    counts = df.groupBy(*keys).count().where(F.col("count") > max_rows)
-    return not counts.isEmpty()
+        joined = F.concat(F.coalesce(F.col("_c"), F.array().cast(df.schema["_c"].dataType)), F.collect_list("_v").over(frame))
+        df = df.withColumn("_j", joined).withColumn(name, F.slice("_j", F.greatest(F.size("_j") - n + 1, F.lit(1)), F.lit(n)))
+        return Segments(df.drop("_v", "_back", "_c", "_j"), self.order)
 
 
-def segmented(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_ROWS_PER_KEY
-) -> Segments:
-    """Give every row a segment. ``order`` must be unique per key (end it with the event id)."""
-    keys, order = list(keys), list(order)
-    if not has_hot_key(df, keys, max_rows):
-        return Segments(df.withColumn(SEG, F.lit(0)), keys, order, False)
-    return Segments(range_segments(df, keys, order), keys, order, True)
+def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_ROWS_PER_KEY) -> Segments:
+    """Give every row a segment of about ``max_rows`` rows or fewer. ``order`` must be unique per key (end it with the event id)."""
+    return Segments(range_segments(df, keys, order, max_rows).withColumn(KEY, F.struct(*keys)), list(order))
 
 
-def range_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def range_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
     """Range-partition on (keys, order) and pin the result.
 
     The bounds of a range exchange are sampled, so a recomputed plan could cut elsewhere. The
@@ -206,9 +100,8 @@ def range_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    parts = max(num_partitions(spark), math.ceil(df.count() / max_rows))
     return (
-        df.repartitionByRange(num_partitions(spark), *keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn(SEG, F.spark_partition_id())
-        .checkpoint()
+        df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+        .withColumn(SEG, F.spark_partition_id()).checkpoint()
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions.scoring import DEFAULT_WEIGHTS
 from duskwatch.operators.folds import ordered_fold
-from duskwatch.operators.segments import MAX_ROWS_PER_KEY, SEG, Segments, segmented
+from duskwatch.operators.segments import KEY, MAX_ROWS_PER_KEY, SEG, Segments, segmented
 
 FIVE_MIN, ONE_HOUR, IDLE_TTL = 300, 3600, 86400
 DISTINCT_CAP = 100
@@ -19,27 +19,27 @@ def _runs(events: DataFrame, max_rows: int) -> Segments:
     """Position in the entity's history and where its current runs began."""
     keys = ["tenant_id", "entity"]
     seg = segmented(events.withColumn("us", F.unix_micros("timestamp")), keys, ["us", "event_id"], max_rows)
-    seg = seg.running_sum(pos=F.lit(1)).lag(prev_us=F.col("us"))
+    seg = seg.running(sums={"pos": F.lit(1)}, lag={"prev_us": F.col("us")})
     gap = F.col("us") - F.col("prev_us")
 
     def start(limit: int) -> Column:
         return F.when(gap.isNull() | (gap > F.lit(limit * 1_000_000)), F.col("pos"))
 
-    return seg.running_max(start_ttl=start(IDLE_TTL), start_1h=start(ONE_HOUR), start_5m=start(FIVE_MIN))
+    return seg.running(maxs={"start_ttl": start(IDLE_TTL), "start_1h": start(ONE_HOUR), "start_5m": start(FIVE_MIN)})
 
 
-def entity_state(events: DataFrame, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
+def entity_state(events: DataFrame, max_rows: int = MAX_ROWS_PER_KEY, distinct_cap: int | None = DISTINCT_CAP) -> DataFrame:
     """State after each event: counters, run lengths, capped distinct destinations, campaign.
 
     Runs are broken by gaps (300 s, 3600 s, and 86400 s for everything); they are not sliding windows.
-    The distinct sets keep at most 100 values and drop the oldest, so their size is
-    min(100, distinct values seen in the run), which needs only a running count of first sights.
+    The distinct sets keep at most ``distinct_cap`` values (None: all) and drop the oldest, so their size
+    is the smaller of that and the distinct values seen in the run, which needs only a running
+    count of first sights.
     """
-    return _state(events, max_rows).df.drop(SEG)
+    return _state(events, max_rows, distinct_cap).rows
 
 
-def _state(events: DataFrame, max_rows: int) -> Segments:
-    keys = ["tenant_id", "entity"]
+def _state(events: DataFrame, max_rows: int, distinct_cap: int | None = DISTINCT_CAP) -> Segments:
     seg = _runs(events, max_rows)
     sight = F.explode(
         F.array(
@@ -48,21 +48,22 @@ def _state(events: DataFrame, max_rows: int) -> Segments:
         )
     )
     firsts = (
-        seg.df.select(*keys, SEG, "start_1h", "pos", sight.alias("s")).where("s.v IS NOT NULL AND s.v NOT IN ('', '0')")
-        .groupBy(*keys, "start_1h", "s.kind", "s.v")
+        seg.df.select(KEY, SEG, "start_1h", "pos", sight.alias("s")).where("s.v IS NOT NULL AND s.v NOT IN ('', '0')")
+        .groupBy(KEY, "start_1h", "s.kind", "s.v")
         .agg(F.min(F.struct("pos", SEG)).alias("first"))
-        .groupBy(*keys, F.col(f"first.{SEG}").alias(SEG), F.col("first.pos").alias("pos"))
+        .groupBy(KEY, F.col(f"first.{SEG}").alias(SEG), F.col("first.pos").alias("pos"))
         .agg(F.count_if(F.col("kind") == "ip").alias("new_ip"), F.count_if(F.col("kind") == "port").alias("new_port"))
+        .checkpoint()
     )
-    df = seg.df.join(firsts, [*keys, SEG, "pos"], "left").fillna(0, ["new_ip", "new_port"])
-    seg = Segments(df, seg.keys, seg.order, seg.split).running_sum(ips=F.col("new_ip"), ports=F.col("new_port"))
+    df = seg.df.join(firsts, [KEY, SEG, "pos"], "left").fillna(0, ["new_ip", "new_port"])
+    seg = Segments(df, seg.order).running(sums={"ips": F.col("new_ip"), "ports": F.col("new_port")})
     begin = F.col("pos") == F.col("start_1h")
-    seg = seg.running_max(
-        ip_base=F.when(begin, F.col("ips") - F.col("new_ip")), port_base=F.when(begin, F.col("ports") - F.col("new_port"))
-    )
     has = F.col("campaign_id").isNotNull() & (F.col("campaign_id") != "")
-    seg = seg.last_known(_camp=F.when(has, F.struct("start_ttl", "campaign_id")))
-    cap = F.lit(DISTINCT_CAP)
+    seg = seg.running(
+        maxs={"ip_base": F.when(begin, F.col("ips") - F.col("new_ip")), "port_base": F.when(begin, F.col("ports") - F.col("new_port"))},
+        last={"_camp": F.when(has, F.struct("start_ttl", "campaign_id"))},
+    )
+    cap = F.lit(distinct_cap if distinct_cap is not None else 1 << 62)
     df = seg.df.withColumns(
         {
             "event_count": F.col("pos") - F.col("start_ttl") + 1,
@@ -73,17 +74,17 @@ def _state(events: DataFrame, max_rows: int) -> Segments:
             "sticky_campaign": F.when(F.col("_camp.start_ttl") == F.col("start_ttl"), F.col("_camp.campaign_id")),
         }
     ).drop("new_ip", "new_port", "ips", "ports", "ip_base", "port_base", "_camp", "start_ttl", "start_1h", "start_5m")
-    return Segments(df, seg.keys, seg.order, seg.split)
+    return Segments(df, seg.order)
 
 
 def entity_state_before(events: DataFrame, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
     """State visible to each event before it is counted; empty after the idle time-out."""
     seg = _state(events, max_rows)
-    seg = seg.lag(**{f"before_{c}": F.col(c) for c in STATE})
+    seg = seg.running(lag={f"before_{c}": F.col(c) for c in STATE})
     idle = F.col("prev_us").isNull() | (F.col("us") - F.col("prev_us") > F.lit(IDLE_TTL * 1_000_000))
     out = {f"before_{c}": F.when(~idle, F.col(f"before_{c}")) for c in STATE}
     out["before_last_seen_us"] = F.when(~idle, F.col("prev_us"))
-    return seg.df.withColumns(out).drop(SEG, "us", "prev_us", "pos", *STATE)
+    return seg.rows.withColumns(out).drop("us", "prev_us", "pos", *STATE)
 
 
 def entity_history(events: DataFrame, n: int = 50, width: int = 64, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
@@ -92,7 +93,7 @@ def entity_history(events: DataFrame, n: int = 50, width: int = 64, max_rows: in
     seg = segmented(
         events.withColumn("us", F.unix_micros("timestamp")), ["tenant_id", "entity"], ["us", "event_id"], max_rows
     ).last_n("history", padded, n)
-    return seg.df.drop(SEG, "us")
+    return seg.rows.drop("us")
 
 
 def recent_times(events: DataFrame, n: int = 30, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
@@ -100,14 +101,14 @@ def recent_times(events: DataFrame, n: int = 30, max_rows: int = MAX_ROWS_PER_KE
     seg = segmented(
         events.withColumn("us", F.unix_micros("timestamp")), ["tenant_id", "entity"], ["us", "event_id"], max_rows
     ).last_n("times_us", F.col("us"), n)
-    return seg.df.drop(SEG, "us")
+    return seg.rows.drop("us")
 
 
 def events_before(events: DataFrame, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
     """Number of earlier events per tenant and entity, for warm-up gates."""
     seg = segmented(
         events.withColumn("us", F.unix_micros("timestamp")), ["tenant_id", "entity"], ["us", "event_id"], max_rows
-    ).running_sum(_n=F.lit(1))
+    ).running(sums={"_n": F.lit(1)})
     return seg.df.withColumn("events_before", F.col("_n") - 1).drop(SEG, "us", "_n")
 
 

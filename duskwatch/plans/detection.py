@@ -231,7 +231,7 @@ def _(spark, sf_dir):
         )
         .distinct()
     )
-    return intel.match_ioc_feeds(ev, intel.match_ioc_ip(ev, intel.embedded_iocs(spark)), feed)
+    return intel.match_ioc_feeds(ev, intel.match_ioc_ip(ev, intel.embedded_iocs(spark)), feed).drop("tenant_id")
 
 
 @SUITE.query(

@@ -549,7 +549,7 @@ def _(spark, sf_dir):
         F.array(F.struct(F.array(F.struct(F.array(cpe(F.concat(F.lit("tool"), "event_id")), cpe(F.lit("other"))).alias("cpeMatch"))).alias("nodes"))).alias("configurations"),
     )
     page = F.to_json(F.struct(F.array(F.struct(cve.alias("cve"))).alias("vulnerabilities")))
-    d = feeds.cve_dim_from_nvd(raw(spark, sf_dir, page, broken=False))
+    d = feeds.cve_dim_from_nvd(raw(spark, sf_dir, page, broken=False), limits=(3, 5, 5, 10), text_chars=500)
     return d.select("cve_id", "cvss_score", F.array_join("affected_products", ",").alias("products"), "published_date", "description")
 
 

@@ -86,15 +86,22 @@ def iocs_from_stix(objects: DataFrame, collection: str) -> DataFrame:
 _METRIC = "array<struct<cvssData:struct<baseScore:double,baseSeverity:string>>>"
 
 
-def cve_dim_from_nvd(pages: DataFrame) -> DataFrame:
-    """Vulnerability records as JSON text (one answer per row) → the CVE dimension."""
+def cve_dim_from_nvd(pages: DataFrame, limits: tuple[int, int, int, int] | None = None, text_chars: int | None = None) -> DataFrame:
+    """Vulnerability records as JSON text (one answer per row, any number of records) → the CVE dimension.
+
+    ``limits`` cuts configurations, nodes, matches and products; ``text_chars`` cuts the description.
+    Without them all are kept.
+    """
+
+    def cut(items: Column, i: int) -> Column:
+        return items if limits is None else F.slice(items, 1, limits[i])
     cve = (
         f"struct<id:string,published:string,metrics:struct<cvssMetricV31:{_METRIC},cvssMetricV30:{_METRIC},cvssMetricV2:{_METRIC}>,"
         "descriptions:array<struct<lang:string,value:string>>,"
         "configurations:array<struct<nodes:array<struct<cpeMatch:array<struct<criteria:string>>>>>>>"
     )
     df = parse_json(pages, f"vulnerabilities array<struct<cve:{cve}>>").where("NOT bad")
-    df = df.withColumn("c", F.get("j.vulnerabilities", F.lit(0))["cve"]).where("c IS NOT NULL")
+    df = df.select(F.explode("j.vulnerabilities").alias("v")).select(F.col("v.cve").alias("c")).where("c IS NOT NULL")
     c = F.col("c")
 
     def metric(v: str) -> Column:
@@ -102,14 +109,14 @@ def cve_dim_from_nvd(pages: DataFrame) -> DataFrame:
 
     best = F.coalesce(metric("cvssMetricV31"), metric("cvssMetricV30"), metric("cvssMetricV2"))
     english = F.get(F.filter(c["descriptions"], lambda d: d["lang"] == "en"), F.lit(0))["value"]
-    nodes = F.flatten(F.transform(F.slice(c["configurations"], 1, 3), lambda x: F.slice(x["nodes"], 1, 5)))
-    names = F.flatten(F.transform(nodes, lambda n: F.slice(F.transform(n["cpeMatch"], lambda m: m["criteria"]), 1, 5)))
+    nodes = F.flatten(F.transform(cut(c["configurations"], 0), lambda x: cut(x["nodes"], 1)))
+    names = F.flatten(F.transform(nodes, lambda n: cut(F.transform(n["cpeMatch"], lambda m: m["criteria"]), 2)))
     parts = F.filter(F.transform(names, lambda s: F.split(s, ":")), lambda p: F.size(p) >= 5)
-    products = F.slice(F.transform(parts, lambda p: F.concat(p[3], F.lit("/"), p[4])), 1, 10)
+    products = cut(F.transform(parts, lambda p: F.concat(p[3], F.lit("/"), p[4])), 3)
     return df.select(
         c["id"].alias("cve_id"), best["baseScore"].alias("cvss_score"), best["baseSeverity"].alias("cvss_severity"),
         F.when(F.size(products) > 0, products).alias("affected_products"), F.substring(c["published"], 1, 10).alias("published_date"),
-        F.substring(english, 1, 500).alias("description"),
+        (english if text_chars is None else F.substring(english, 1, text_chars)).alias("description"),
     )
 
 

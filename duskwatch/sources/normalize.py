@@ -66,9 +66,13 @@ class Parsed(NamedTuple):
 
     @property
     def dead_letters(self) -> DataFrame:
-        """Letters carry the first 10000 characters, masked; that length is part of the format."""
-        text_part = F.substring("value", 1, DEAD_LETTER_CHARS)
-        return self.rejected.select("original_topic", mask_pii(text_part).alias("raw_log"), "error_reason")
+        """Letters of the length the format allows. Masked first: a cut through an address would leave half of it in clear."""
+        return self.letters(DEAD_LETTER_CHARS)
+
+    def letters(self, chars: int | None = None) -> DataFrame:
+        """Masked dead letters, whole or cut to ``chars`` characters."""
+        masked = mask_pii(F.col("value"))
+        return self.rejected.select("original_topic", (masked if chars is None else F.substring(masked, 1, chars)).alias("raw_log"), "error_reason")
 
 
 def lookup(key: Column, table: dict[str, str], default: str | None) -> Column:
@@ -106,6 +110,13 @@ def parse_json(raw: DataFrame, ddl: str) -> DataFrame:
     return out.withColumn("bad", F.coalesce(bad, F.lit(True)))
 
 
+def event_id(df: DataFrame, source: str) -> Column:
+    """Hash of source, tenant, place and text. The place is partition and offset, or file and row, where the
+    raw table has them: equal lines are then different events."""
+    place = [F.col(c).cast("string") for c in ("partition", "offset", "file", "row") if c in df.columns]
+    return F.sha2(F.concat_ws("|", F.lit(source), "tenant_id", *place, "value"), 256)
+
+
 def reject(df: DataFrame, topic: str | Column, reason: Column) -> DataFrame:
     name = F.lit(topic) if isinstance(topic, str) else topic
     return df.select(name.alias("original_topic"), "value", reason.alias("error_reason"))
@@ -120,7 +131,7 @@ def finish(df: DataFrame, source: str, fields: dict[str, Column], extra: Column
     judged = df.withColumn("_reason", reason)
     good = judged.where("_reason IS NULL")
     fields = {
-        "event_id": F.sha2(F.concat_ws("|", F.lit(source), "tenant_id", "value"), 256),
+        "event_id": event_id(df, source),
         "source_type": F.lit(source),
         "metadata": metadata(parser or source, F.col("value"), F.col("tenant_id"), connector),
         **fields,
@@ -320,7 +331,7 @@ def normalize_syslog_generic(raw: DataFrame) -> Parsed:
     judged = judged.withColumn("_reason", F.when(F.col("_wrong"), "invalid_severity").when(F.col("value").isNull(), "empty"))
     good = judged.where("_reason IS NULL")
     base = {
-        "event_id": F.sha2(F.concat_ws("|", F.lit("syslog"), "tenant_id", "value"), 256), "source_type": F.lit("syslog"),
+        "event_id": event_id(df, "syslog"), "source_type": F.lit("syslog"),
         "metadata": metadata("generic_syslog", F.col("value"), F.col("tenant_id")),
     }
     return Parsed(canonical(good, {**base, **fields}), reject(judged.where("_reason IS NOT NULL"), "syslog", F.col("_reason")))
@@ -387,7 +398,7 @@ def normalize_ms_sentinel(raw: DataFrame) -> Parsed:
         ),
     }
     alert_id = F.coalesce(j["SystemAlertId"], j["id"])
-    fields["event_id"] = F.coalesce(alert_id, F.sha2(F.concat_ws("|", F.lit("ms_sentinel"), "tenant_id", "value"), 256))
+    fields["event_id"] = F.coalesce(alert_id, event_id(df, "ms_sentinel"))
     return finish(df, "ms_sentinel", fields)
 
 

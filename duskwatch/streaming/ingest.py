@@ -15,20 +15,23 @@ from duskwatch.sources.tables import month_of
 
 
 def score_events(events: DataFrame) -> DataFrame:
-    """Flat events → rules, indicators, fused score, tags, response and narrative. Stateless."""
-    flat = flatten_events(events).withColumns(
-        {
-            "message": mask_pii(F.col("message")),
-            "raw_log": mask_pii(F.col("raw_log")),
-            "source_entity": canonical_identifier(F.col("source_entity"), F.lit("host")),
-        }
+    """Flat events → rules, indicators, fused score, tags, response and narrative. Stateless.
+
+    Entities are canonicalised by their own type. Rules and indicators read the text as it came; it is
+    masked after them, before the narrative quotes it and before anything is written.
+    """
+    name, kind = F.col("source_entity.identifier"), F.coalesce("source_entity.entity_type", F.lit("host"))
+    named = events.withColumn(
+        "source_entity", F.when(F.col("source_entity").isNotNull(), F.col("source_entity").withField("identifier", canonical_identifier(name, kind)))
     )
+    flat = flatten_events(named)
     flat = rules.match_rules(flat).withColumn("ioc_matches", intel.ioc_match_array())
     streams = [F.col(c) for c in ("ensemble_score", "vae_anomaly_score", "hst_anomaly_score", "temporal_score", "adversarial_score")]
     flat = flat.withColumns({"meta_score": scoring.meta_score(streams), "mitre_predictions": rules.to_mitre()})
     flat = flat.withColumn("compliance_tags", rules.compliance_tags())
     flat = rules.recommend_response(flat)
-    return flat.withColumn("narrative", narrative.narrative())
+    masked = flat.withColumns({c: mask_pii(F.col(c)) for c in ("message", "raw_log")})
+    return masked.withColumn("narrative", narrative.narrative())
 
 
 def write_batch(paths: dict[str, str]):

@@ -205,3 +205,35 @@ def test_auc_and_split_exact(spark):
         assert weighted_auc(s, limit).first().auc == pytest.approx(want)
     parts = [sorted(map(tuple, stratified_split(df, "label", "id", max_rows=n).select("id", "part").collect())) for n in (10**6, 30)]
     assert parts[0] == parts[1]
+
+
+def test_null_keys_are_keys_at_any_segment_size(spark):
+    rows = [(None if i % 3 else f"t{i % 2}", None if i % 2 else "e", i * 1000 % 977, i, f"10.0.0.{i % 7}", i % 5, f"c{i}" if i % 9 == 0 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "tenant_id string, entity string, s long, event_id long, dst_ip string, dst_port int, campaign_id string").withColumn(
+        "timestamp", F.timestamp_seconds("s")
+    )
+    names = [*ST.STATE, "tenant_id", "entity", "event_id"]
+    whole, split = (sorted(map(str, ST.entity_state(df, max_rows=n).select(*names).collect())) for n in (10**6, 7))
+    assert whole == split and len(whole) == 120
+    seen = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[3])):
+        seen.setdefault(r[:2], []).append(r[4])
+    nobody = ST.entity_state(df, max_rows=7).where("tenant_id IS NULL AND entity IS NULL")
+    assert nobody.agg(F.max("unique_dst_ips")).first()[0] == len(set(seen[(None, None)]))
+
+
+def test_split_plan_stays_small(spark):
+    df = spark.createDataFrame([("t", "e", 1, 1, "10.0.0.1", 5, None)], "tenant_id string, entity string, s long, event_id long, dst_ip string, dst_port int, campaign_id string").withColumn(
+        "timestamp", F.timestamp_seconds("s")
+    )
+    plan = ST.entity_state_before(df, max_rows=1)._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert plan <= 8
+
+
+def test_splits_keep_rows_without_label(spark):
+    from duskwatch.operators.evaluation import stratified_split, time_split
+
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else f"l{i % 3}") for i in range(40)], "id long, label string")
+    assert stratified_split(df, "label", "id", max_rows=6).count() == 40
+    late = df.select("id", F.col("label").alias("tenant_id"), F.timestamp_seconds("id").alias("created_at"))
+    assert time_split(late, max_rows=6).count() == 40

@@ -76,3 +76,34 @@ def test_contains_join_large_dimension_equals_small(spark, monkeypatch):
         monkeypatch.setattr(intel, "LITERAL_LIMIT", limit)
         got = intel.contains_join(ev, F.lower("message"), dim).select("event_id", "indicator").collect()
         assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_dimensions_with_repeated_keys_keep_rows(spark):
+    ev = spark.createDataFrame([("t", 1, "h", "10.9.9.9", "CVE-2024-1234 seen", None)] * 3, "tenant_id string, event_id long, u string, src_ip string, message string, raw_log string")
+    ev = ev.withColumns({"hostname": F.lit(None).cast("string"), "dst_ip": F.lit(""), "timestamp": F.timestamp_seconds(F.lit(100))})
+    alias = spark.createDataFrame([("t", "H", "a"), ("t", "h", "b")], "tenant_id string, alias string, canonical string")
+    assert intel.resolve_user_alias(ev, alias, "u").count() == 3
+    leases = spark.createDataFrame([("t", "10.9.9.9", 50, "box")], "tenant_id string, ip string, s long, host string").withColumn("ts", F.timestamp_seconds("s"))
+    assert [r.hostname for r in intel.resolve_dhcp(ev, leases).collect()] == ["box"] * 3
+    cves = spark.createDataFrame([("CVE-2024-1234", 9.0), ("CVE-2024-1234", 9.0)], "cve_id string, cvss_score double")
+    assert [len(r.cve_context) for r in intel.enrich_cve(ev, cves).collect()] == [1] * 3
+    seen = spark.createDataFrame([("10.9.9.9", "22"), ("10.9.9.9", "80")], "ip string, ports string")
+    assert intel.enrich_exposure(ev, seen).count() == 3
+
+
+def test_empty_needles_match_nothing_at_any_size(spark, monkeypatch):
+    ev = spark.createDataFrame([(1, "abc"), (2, "xyz")], "event_id long, message string")
+    dim = spark.createDataFrame([("",), ("ab",), ("zz",), (None,)], "indicator string")
+    found = []
+    for limit in (1000, 0):
+        monkeypatch.setattr(intel, "LITERAL_LIMIT", limit)
+        found.append(sorted(map(tuple, intel.contains_join(ev, F.lower("message"), dim).select("event_id", "indicator").collect())))
+    assert found == [[(1, "ab")], [(1, "ab")]]
+
+
+def test_every_vulnerability_of_a_page_is_read(spark):
+    from duskwatch.sources.feeds import cve_dim_from_nvd
+
+    page = '{"vulnerabilities": [{"cve": {"id": "CVE-1"}}, {"cve": {"id": "CVE-2"}}]}'
+    raw = spark.createDataFrame([(page,)], "value string")
+    assert sorted(r.cve_id for r in cve_dim_from_nvd(raw).collect()) == ["CVE-1", "CVE-2"]
