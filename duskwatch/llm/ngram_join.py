@@ -3,8 +3,11 @@
 1. Each text becomes its set of distinct n-gram hashes. The hash space is cut into parts, as many as
    the largest difference a linked pair of this size may have, plus one and some to spare. A linked
    pair then has an equal part that is not empty in both, so one hash per part blocks the join
-   without losing a link. Texts with so many empty parts that this could fail also get parts
-   under other hash functions; those that fail under all of them meet under one more key.
+   without losing a link. N-grams known to be common are left
+   out of the parts: that can only shrink differences, so the argument holds for any such list, and
+   shared passages do not tie unrelated texts together. Texts with so many empty parts that it could
+   fail also get parts of all their n-grams under other hash functions; those that fail under all of
+   them meet under one more key.
 2. Texts that share a part, directly or over others, form a cell. Every cell is searched in one
    task, or, beyond ``CELL`` n-grams, block by block: inverted lists over the full sets, for each
    text the short lists are merged, the long ones are probed by binary search (or merged where that
@@ -25,12 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm.components import components, local_roots, settle
+from duskwatch.llm.rows import unit_hash
 from duskwatch.llm.tokens import BYTE_CODE, U64, Words, distinct, list_column, mix, slices
 
 CELL = 1_000_000
 #: Rows of (key, group) up to which the sets to search are picked by a broadcast join.
 BROADCAST_ROWS = 1_000_000
 LEVELS = 3
+#: Rows whose n-grams are counted to find common ones: this share, and at least this many if there are.
+COMMON_SHARE, COMMON_ROWS = 0.05, 10_000
+COMMON_GRAMS = 1_000_000
 
 
 @lru_cache
@@ -55,15 +62,15 @@ def _parts(value: np.ndarray, offsets: np.ndarray, kind: np.ndarray, level: int,
     new[1:] = (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])
     at = np.flatnonzero(new)
     if not len(at):
-        return doc[:0], value[:0], np.zeros(len(n), bool)
+        return doc[:0], value[:0], np.ones(len(n), bool)
     inner = np.add.reduceat(mix(value * BYTE_CODE[3]), at)
     label = mix(part[at] * BYTE_CODE[5] + kind[doc[at]].astype(U64) * BYTE_CODE[6] + U64(level))
     filled = np.bincount(doc[at], minlength=len(n))
     return doc[at], mix(inner + label), m - filled >= m - apart[kind]
 
 
-def _signatures(value: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature) rows for the size class of each set and the one above it."""
+def _signatures(value: np.ndarray, offsets: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, signature) rows for the size class of each set and the one above it. ``common``: sorted n-grams that level 0 leaves out."""
     size, apart, _ = _classes(percent)
     n = np.diff(offsets)
     own = np.searchsorted(size, n)
@@ -81,6 +88,10 @@ def _signatures(value: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[n
             span = n[left]
             pick = np.repeat(offsets[left] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
             v, o = value[pick], np.concatenate([[0], np.cumsum(span)])
+            if not level and common is not None and len(common):
+                rare = common[np.minimum(np.searchsorted(common, v), len(common) - 1)] != v
+                o = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(left)), span)[rare], minlength=len(left)))])
+                v = v[rare]
             if level:
                 v, o = distinct(np.repeat(np.arange(len(left)), span), mix(v + BYTE_CODE[level]), len(left))
             d, s, unsafe = _parts(v, o, kind, level, percent)
@@ -101,13 +112,14 @@ def _sets(column: pa.Array, size: int):
     return value, offsets, n, mix(total[offsets[1:]] - total[offsets[:-1]] + n.astype(U64) * BYTE_CODE[4]).view(np.int64)
 
 
-def _sign(size: int, percent: int):
+def _sign(size: int, percent: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = common.value
         for batch in batches:
             text = batch.column("text").fill_null("")
             for low, high in slices(text):
                 value, offsets, n, key = _sets(text.slice(low, high - low), size)
-                doc, sig = _signatures(value, offsets, percent)
+                doc, sig = _signatures(value, offsets, percent, listed)
                 order = np.argsort(doc, kind="stable")
                 cut = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))])
                 yield pa.RecordBatch.from_arrays(
@@ -121,6 +133,31 @@ def _sign(size: int, percent: int):
     return run
 
 
+def _common_grams(text: DataFrame, size: int) -> np.ndarray:
+    """N-grams that at least three rows and two different sets of a sample hold, the most frequent ``COMMON_GRAMS``.
+
+    Which ones are found changes the work, never the result.
+    """
+    total = text.count()
+    some = text.where(unit_hash("text_hash") < max(COMMON_SHARE, COMMON_ROWS / max(total, 1)))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text").fill_null("")
+            for low, high in slices(column):
+                value, _, n, key = _sets(column.slice(low, high - low), size)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.repeat(key, n))], ["gram", "key"])
+
+    seen = some.select("text").mapInArrow(grams, "gram long, key long").groupBy("gram").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
+    often = settle(seen.where("n >= 3 AND a <> b").select("gram", "n"))
+    floor, held = 1 << 62, 0
+    for power, n in often.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*")).orderBy(F.desc("power")).collect():
+        if held + n > COMMON_GRAMS:
+            break
+        floor, held = 1 << power, held + n
+    return np.sort(often.where(F.col("n") >= floor).select("gram").toArrow().column("gram").to_numpy().view(U64))
+
+
 def _full_sets(size: int, least: int):
     """(key, grams) once per task and distinct set of at least ``least`` n-grams."""
 
@@ -263,8 +300,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     """
     spark = docs.sparkSession
     text = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    common = spark.sparkContext.broadcast(_common_grams(text, size))
     signed = settle(
-        text.mapInArrow(_sign(size, percent), "doc_id long, text_hash long, n long, key long, sigs array<long>")
+        text.mapInArrow(_sign(size, percent, common), "doc_id long, text_hash long, n long, key long, sigs array<long>")
     )
     rows = signed.select("doc_id", "text_hash", "n", "key")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")

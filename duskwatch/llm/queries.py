@@ -16,7 +16,7 @@ from duskwatch.llm.ngram_join import ngram_jaccard_join
 from duskwatch.llm.quality import quality_rules
 from duskwatch.llm.sharding import shuffle_into_shards
 from duskwatch.llm.toxicity import score_toxicity
-from duskwatch.llm.urls import judge_urls, rule_table
+from duskwatch.llm.urls import RULES, judge_urls, rule_table
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,4 +84,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORD}') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w),
+        e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p WHERE 100 * c >= 85 * (nx + ny - c)),
+        r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        m AS (SELECT x, min(y) AS y FROM r GROUP BY x), k AS (SELECT x, count(*) AS k FROM l GROUP BY x)
+        SELECT doc_id, len(g) AS n_shingles, least(doc_id, coalesce(m.y, doc_id)) AS component_id, coalesce(k.k, 0) AS n_links
+        FROM s LEFT JOIN m ON m.x = doc_id LEFT JOIN k ON k.x = doc_id""",
+    "op7_mix_sources": f"""
+        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size,
+            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'none') || '|' || coalesce(md5(text), 'none')), 1, 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
+        w AS (SELECT *, 2.0::DOUBLE * ss AS cap, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),
+        o AS (SELECT *, 1.5::DOUBLE * sum(ss) OVER () AS total,
+            coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fixed,
+            sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM w),
+        l AS (SELECT (total - fixed) / free AS level FROM o WHERE (total - fixed) / free * w <= cap ORDER BY cap / w, source LIMIT 1),
+        t AS (SELECT source, ss, round(least(cap, level * w), 6) AS target FROM o, l),
+        g AS (SELECT source, h, sum(size) AS words FROM d GROUP BY ALL),
+        c AS (SELECT g.source, h, words, ss, target, sum(words) OVER (PARTITION BY g.source ORDER BY h) AS upto FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source),
+        b AS (SELECT *, unnest([least(target, ss), least(greatest(target - ss, 0), ss)]) AS budget FROM c),
+        f AS (SELECT source, h, sum(CASE WHEN budget <= 0 THEN 0 WHEN budget >= ss OR upto < budget THEN 1
+            WHEN upto - words < budget AND upto - budget <= budget - upto + words THEN 1 ELSE 0 END) AS times FROM b GROUP BY ALL)
+        SELECT doc_id, size, ss AS source_size, target, (size * times)::BIGINT AS taken
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.h = f.h""",
+    # pages hold no canonical link and no redirect, so spelling alone makes aliases here
+    "op9_url_filter": rf"""
+        WITH r(verdict, rule) AS (VALUES {', '.join(str(x) for x in RULES)}),
+        q AS (SELECT verdict, rule, split_part(rule, '/', 1) AS rh, substr(rule, strpos(rule, '/')) AS rp FROM r),
+        u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_LOWER}), '') AS host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1) AS query FROM pages),
+        n AS (SELECT *, regexp_replace(host, ':(80|443)$', '') || regexp_replace(regexp_replace(path, '/index\.html?$', ''), '/+$', '') || '?' || array_to_string(list_sort(
+            list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|mc_cid|mc_eid)(=|$)'))), '&') AS node FROM u),
+        f AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS v FROM (SELECT DISTINCT host, path FROM n) x
+            JOIN q ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL),
+        c AS (SELECT node, bool_or(v = 'allow') AS a, bool_or(v = 'block') AS b FROM n JOIN f USING (host, path) WHERE host <> '' GROUP BY node)
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN a THEN 'allow' WHEN b THEN 'block' END, 'allow') AS verdict
+        FROM n LEFT JOIN f USING (host, path) LEFT JOIN c USING (node)""",
+}

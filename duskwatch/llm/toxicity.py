@@ -10,6 +10,7 @@ words with a marginal of at least one half.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,12 +161,12 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 4, rate: float = 0.3
     if not len(texts) or not 0 < toxic.sum() < len(toxic):
         return model
     part = np.arange(len(texts)) % 3 < 2
-    fit = [b for b in _batches(texts.filter(pa.array(part)))]
-    labels = _token_labels(fit, toxic[part])
+    chosen = list(_batches(texts.filter(pa.array(part))))
+    labels = _token_labels(chosen, toxic[part])
     squares = np.full(1 << TABLE_BITS, 1e-2)
     move_squares, bias_square = np.full((2, 2), 1.0), 1.0
     for _ in range(epochs):
-        for (_, _, w, keys), y in zip(fit, labels, strict=True):
+        for (_, _, w, keys), y in zip(chosen, labels, strict=True):
             if not len(w):
                 continue
             slots = _slots(keys)
@@ -214,20 +215,28 @@ def held_out(rest: int = 4) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % rest == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_chars: int) -> tuple[pa.Array, np.ndarray]:
-    """At most ``fit_rows`` labelled texts of each kind, by hash of the id, none over ``fit_chars``."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_chars: int) -> dict:
+    """The model, trained in one task on at most ``fit_rows`` labelled texts of each kind, by hash of the id, none over ``fit_chars``."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     marked = settle(marked)
     some = [hash_sample(marked.where(F.col("toxic") == t), fit_rows, "doc_id") for t in (0, 1)]
     ids = F.broadcast(some[0].unionByName(some[1]))
     rows = docs.select("doc_id", "text").where(F.length("text") <= fit_chars).join(ids, "doc_id")
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    table = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").toArrow().combine_chunks()
-    text = table.column("text").combine_chunks() if len(table) else pa.array([], pa.string())
-    return text, table.column("toxic").to_numpy().astype(float) if len(table) else np.zeros(0)
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b for b in batches if b.num_rows])
+        model = train(pa.concat_arrays(table.column("text").chunks), table.column("toxic").to_numpy().astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 2500, fit_chars: int = 100_000) -> DataFrame:
+    # the sample's size is bounded, so it fits one task
+    sample = rows.select("text", "toxic", F.xxhash64("doc_id").alias("h"), "doc_id").repartition(1).sortWithinPartitions("h", "doc_id").select("text", "toxic")
+    if sample.isEmpty():
+        return train(pa.array([], pa.string()), np.zeros(0))
+    return pickle.loads(sample.mapInArrow(learn, "model binary").first()[0])
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, fit_chars: int = 100_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, spans.
 
     ``spans`` lists (begin, end, probability) of offending runs of words, in code points. Null and empty
@@ -235,8 +244,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 2500, fit
     the labelled sample; all rows are scored whole. Without labels of both kinds all scores
     are alike and low. A doc_id with several labels counts as toxic if one of them says so.
     """
-    model = train(*labelled_sample(docs, labels, fit_rows, fit_chars))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows, fit_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -281,10 +289,10 @@ def _spans(w: Words, p: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cut), items)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 2500, fit_chars: int = 100_000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, fit_chars: int = 100_000) -> DataFrame:
     """Rows of ``docs``, all columns, whose text is not predicted toxic."""
     packed = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    model = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, fit_rows, fit_chars)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows, fit_chars))
 
     @F.pandas_udf("boolean")
     def toxic(text):
