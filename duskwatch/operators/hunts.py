@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions.text import is_internal
+from duskwatch.operators.sequence import Pattern, Stage, match_sequence
 
 LOGINS = ["login", "authenticate"]
 
@@ -207,6 +208,27 @@ def p_field(name: str, cmp: str, value) -> Column:
     return _compare(F.col(FIELD_ALIASES[name]), cmp, value)
 
 
+# Seconds of the duration units.
+DURATION_UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
+
+
+def span_seconds(text: str) -> int:
+    """``90s``, ``15m``, ``2h`` or ``1d`` in seconds."""
+    amount, unit = text[:-1], text[-1:]
+    if not amount.isdigit() or unit not in DURATION_UNITS:
+        raise ValueError(f"not a duration: {text!r}")
+    return int(amount) * DURATION_UNITS[unit]
+
+
+def p_sequence(events: DataFrame, stages: Sequence[Column], entity: str = "src_ip", span: str = "900s") -> DataFrame:
+    """(tenant_id, entity column, triggering_event_id, span_seconds) wherever rows of one entity meet the
+    predicates in order, the last at most ``span`` after the first. Rows without the entity are skipped."""
+    pattern = Pattern("p_sequence", "p_sequence", tuple(Stage(f"stage{i}", predicate=p) for i, p in enumerate(stages)), span_seconds(span))
+    rows = events.where(F.col(entity) != "").withColumns({"entity": F.col(entity), "meta_score": F.coalesce("meta_score", F.lit(0.0))})
+    found = match_sequence(rows, [pattern])
+    return found.select("tenant_id", F.col("entity_key").alias(entity), "triggering_event_id", "span_seconds")
+
+
 def hunt(events: DataFrame, tenant: str, predicates: Sequence[Column], limit: int = 100) -> DataFrame:
     """Tenant AND predicates, newest first; limit 1..1000."""
     if not 1 <= limit <= 1000:

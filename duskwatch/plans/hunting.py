@@ -140,3 +140,10 @@ _hunted(
     lambda: [hunts.p_ml(">", 0.3), hunts.p_tactic("discovery"), hunts.p_field("action", "!=", "allow")],
     1000,
 )
+
+
+@SUITE.query("p_sequence")
+def _(spark, sf_dir):
+    """A low score followed within two days by a high one of the same address; rows only, see the tests."""
+    ev = predicted(spark, sf_dir)
+    return hunts.p_sequence(ev, [hunts.p_ml("<", 0.5), hunts.p_ml(">=", 0.6)], span="2d")

@@ -107,3 +107,15 @@ def test_every_vulnerability_of_a_page_is_read(spark):
     page = '{"vulnerabilities": [{"cve": {"id": "CVE-1"}}, {"cve": {"id": "CVE-2"}}]}'
     raw = spark.createDataFrame([(page,)], "value string")
     assert sorted(r.cve_id for r in cve_dim_from_nvd(raw).collect()) == ["CVE-1", "CVE-2"]
+
+
+def test_p_sequence(spark):
+    from duskwatch.operators.hunts import p_sequence, span_seconds
+
+    assert [span_seconds(x) for x in ("90s", "15m", "2h", "1d")] == [90, 900, 7200, 86400]
+    rows = [("t", "a", 0, 1, "x"), ("t", "a", 900, 2, "y"), ("t", "b", 0, 3, "x"), ("t", "b", 901, 4, "y"), ("t", "c", 5, 5, "y"), ("t", "c", 6, 6, "x"), ("u", "c", 7, 7, "y"), ("t", None, 0, 8, "x"), ("t", None, 1, 9, "y")]
+    ev = spark.createDataFrame(rows, "tenant_id string, src_ip string, s long, event_id long, kind string").withColumns(
+        {"timestamp": F.timestamp_seconds("s"), "meta_score": F.lit(None).cast("double"), "mitre_predictions": F.lit(None).cast("array<struct<technique_id:string,tactic:string>>")}
+    )
+    got = p_sequence(ev, [F.col("kind") == "x", F.col("kind") == "y"]).collect()
+    assert [tuple(r) for r in got] == [("t", "a", 2, 900.0)]
