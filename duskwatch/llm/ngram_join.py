@@ -6,8 +6,8 @@
    without losing a link. N-grams known to be common are left
    out of the parts: that can only shrink differences, so the argument holds for any such list, and
    shared passages do not tie unrelated texts together. Texts with so many empty parts that it could
-   fail also get parts of all their n-grams under other hash functions; those that fail under all of
-   them meet under one more key.
+   fail also get parts under other hash functions, at last of all their n-grams; those that fail
+   under all of them meet under one more key.
 2. Texts that share a part, directly or over others, form a cell. Every cell is searched in one
    task, or, beyond ``CELL`` n-grams, block by block: inverted lists over the full sets, for each
    text the short lists are merged, the long ones are probed by binary search (or merged where that
@@ -34,7 +34,8 @@ from duskwatch.llm.tokens import BYTE_CODE, U64, Words, distinct, list_column, m
 CELL = 1_000_000
 #: Rows of (key, group) up to which the sets to search are picked by a broadcast join.
 BROADCAST_ROWS = 1_000_000
-LEVELS = 3
+#: Hash functions tried before texts meet under one key; the first leave common n-grams out.
+LEVELS, RARE_LEVELS = 5, 3
 #: Rows whose n-grams are counted to find common ones: this share, and at least this many if there are.
 COMMON_SHARE, COMMON_ROWS = 0.05, 10_000
 COMMON_GRAMS = 1_000_000
@@ -48,7 +49,7 @@ def _classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         upper.append(max(upper[-1] + 1, upper[-1] * 100 // percent))
     size = np.array(upper, np.int64)
     apart = 2 * size * (100 - percent) // (100 + percent)
-    return size, apart, apart + 2 + apart // 20
+    return size, apart, apart + 2 + apart // 10
 
 
 def _parts(value: np.ndarray, offsets: np.ndarray, kind: np.ndarray, level: int, percent: int):
@@ -70,7 +71,7 @@ def _parts(value: np.ndarray, offsets: np.ndarray, kind: np.ndarray, level: int,
 
 
 def _signatures(value: np.ndarray, offsets: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature) rows for the size class of each set and the one above it. ``common``: sorted n-grams that level 0 leaves out."""
+    """(document, signature) rows for the size class of each set and the one above it. ``common``: sorted n-grams that the first levels leave out."""
     size, apart, _ = _classes(percent)
     n = np.diff(offsets)
     own = np.searchsorted(size, n)
@@ -88,12 +89,12 @@ def _signatures(value: np.ndarray, offsets: np.ndarray, percent: int, common: np
             span = n[left]
             pick = np.repeat(offsets[left] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
             v, o = value[pick], np.concatenate([[0], np.cumsum(span)])
-            if not level and common is not None and len(common):
+            if level < RARE_LEVELS and common is not None and len(common):
                 rare = common[np.minimum(np.searchsorted(common, v), len(common) - 1)] != v
                 o = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(left)), span)[rare], minlength=len(left)))])
                 v = v[rare]
             if level:
-                v, o = distinct(np.repeat(np.arange(len(left)), span), mix(v + BYTE_CODE[level]), len(left))
+                v, o = distinct(np.repeat(np.arange(len(left)), np.diff(o)), mix(v + BYTE_CODE[level]), len(left))
             d, s, unsafe = _parts(v, o, kind, level, percent)
             docs.append(left[d])
             out.append(s)
@@ -134,7 +135,7 @@ def _sign(size: int, percent: int, common):
 
 
 def _common_grams(text: DataFrame, size: int) -> np.ndarray:
-    """N-grams that at least three rows and two different sets of a sample hold, the most frequent ``COMMON_GRAMS``.
+    """N-grams that at least two different sets of a sample hold, the most frequent ``COMMON_GRAMS``.
 
     Which ones are found changes the work, never the result.
     """
@@ -149,7 +150,7 @@ def _common_grams(text: DataFrame, size: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.repeat(key, n))], ["gram", "key"])
 
     seen = some.select("text").mapInArrow(grams, "gram long, key long").groupBy("gram").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
-    often = settle(seen.where("n >= 3 AND a <> b").select("gram", "n"))
+    often = settle(seen.where("a <> b").select("gram", "n"))
     floor, held = 1 << 62, 0
     for power, n in often.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*")).orderBy(F.desc("power")).collect():
         if held + n > COMMON_GRAMS:
