@@ -52,6 +52,15 @@ def _classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return size, apart, apart + 2 + apart // 10
 
 
+def _least(percent: int) -> int:
+    """Smallest set that can link with a different one: those of the class below the first whose sets may differ have signatures too."""
+    size, apart, _ = _classes(percent)
+    if not apart.any():
+        return int(size[-1]) + 1
+    below = int(np.argmax(apart > 0)) - 2
+    return int(size[below]) + 1 if below >= 0 else 1
+
+
 def _parts(value: np.ndarray, offsets: np.ndarray, kind: np.ndarray, level: int, percent: int):
     """Per non-empty part: document and signature; per document: whether empty parts could hide a link. ``value`` is sorted by document."""
     _, apart, parts = _classes(percent)
@@ -318,8 +327,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     cells = settle(components(met.where("kind = 0").select("a", "b").unionByName(seams)))
 
     placed = settle(_place(cells.join(classes.select("key", "n", "copies"), cells["node"] == classes["key"]).select("key", "component", "n", "copies")))
-    least = int(_classes(percent)[0][np.argmax(_classes(percent)[1] > 0) - 1]) + 1
-    full = text.select("text").mapInArrow(_full_sets(size, least), "key long, grams array<long>")
+    full = text.select("text").mapInArrow(_full_sets(size, _least(percent)), "key long, grams array<long>")
     small = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     links = settle(
         full.join(F.broadcast(placed) if small else placed, "key").groupBy("grp")

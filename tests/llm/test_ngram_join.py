@@ -53,6 +53,22 @@ def test_blocks_find_the_same(odd, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == want
 
 
+@pytest.mark.parametrize("size, percent, shingles", [(4, 85, 6), (5, 80, 4)])
+def test_smallest_sets_that_link(spark, size, percent, shingles):
+    words = [f"w{i}" for i in range(shingles + size)]
+    rows = [(1, " ".join(words[:-1])), (2, " ".join(words)), (3, "something else " + " ".join(words[: size + 1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard_join(docs, size, percent).collect()}
+    assert got[1] == (shingles, 1, 1) and got[2] == (shingles + 1, 1, 1) and got[3][1:] == (3, 0)
+    assert sorted(r.doc_id for r in keep_one(docs, size, percent).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("percent", [20, 33, 50, 60, 80, 85, 95])
+def test_no_set_that_could_link_is_too_small(percent):
+    linked = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1) or percent < 50 and n == 1)
+    assert ngram_join._least(percent) <= linked
+
+
 def test_signatures_lose_no_link():
     rng = np.random.default_rng(3)
     for n in range(1, 60):
