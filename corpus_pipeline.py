@@ -24,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), sparse=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,21 +106,37 @@ class Template:
         lead = np.flatnonzero(~more)
         last = np.append(lead[1:], len(doc))[: len(lead)] - 1
         self.token, self.value, self.doc = token[lead], value[last], doc[lead]
+        # all names of the slot in their order, for windows that must be equal word for word
+        run = mix(value + (np.arange(len(doc)) - np.repeat(lead, last - lead + 1)).astype(U64) * BYTE_CODE[39])
+        self.exact = mix(np.add.reduceat(run, lead) + token[lead]) if len(lead) else token
         self.slot = (number | unit | name)[lead]
         self.rows = w.rows
         self.count = np.bincount(self.doc, minlength=w.rows)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
 
-    def windows(self, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash) of windows inside one text that hold at least ``least`` literal tokens."""
+    def windows(self, size: int, least: int, sparse: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of windows inside one text that hold at least ``least`` literal tokens.
+
+        With ``sparse`` also of the others, whose hash covers the slot values.
+        """
         at = np.arange(len(self.token))
         at = at[at + size <= self.first[self.doc + 1]]
         literal = np.concatenate([[0], np.cumsum(~self.slot)])
-        at = at[literal[at + size] - literal[at] >= least]
+        rich = literal[at + size] - literal[at] >= least
+        if not sparse:
+            at, rich = at[rich], rich[rich]
         total = np.zeros(len(at), U64)
         for k in range(size):
             total += self.token[at + k] * BYTE_CODE[40 + k]
-        return at, mix(total + U64(size))
+        out = mix(total + U64(size))
+        poor = at[~rich]
+        if len(poor):
+            valued = np.where(self.slot, self.exact, self.token)
+            total = np.zeros(len(poor), U64)
+            for k in range(size):
+                total += valued[poor + k] * BYTE_CODE[40 + k]
+            out[~rich] = mix(total + U64(size) + BYTE_CODE[38])
+        return at, out
 
 
 def _among(value: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -134,7 +150,7 @@ def _slots(t: Template, at: np.ndarray, size: int) -> pa.Array:
     return list_column(t.value[grid][flag] if len(at) else t.value[:0], np.concatenate([[0], np.cumsum(flag.sum(1))]).astype(np.int64))
 
 
-def _item_windows(size: int):
+def _item_windows(size: int, sparse: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -142,7 +158,7 @@ def _item_windows(size: int):
                 n = min(size, len(t.token))
                 if not n:
                     continue
-                at, h = t.windows(n, min(LEAST_LITERALS, max(1, n - 1)))
+                at, h = t.windows(n, min(LEAST_LITERALS, max(1, n - 1)), sparse)
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([batch.column("item_id")[i].as_py()] * len(at), pa.int64()), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), _slots(t, at, n)],
@@ -152,7 +168,7 @@ def _item_windows(size: int):
     return run
 
 
-def _text_windows(sizes: list[int], listed):
+def _text_windows(sizes: list[int], listed, sparse: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if listed is None else listed.value
         for batch in batches:
@@ -160,7 +176,7 @@ def _text_windows(sizes: list[int], listed):
             for low, high in slices(text):
                 t = Template(text.slice(low, high - low))
                 for n in sizes:
-                    at, h = t.windows(n, min(LEAST_LITERALS, max(1, n - 1)))
+                    at, h = t.windows(n, min(LEAST_LITERALS, max(1, n - 1)), sparse)
                     if wanted is not None:
                         ok = _among(h, wanted)
                         at, h = at[ok], h[ok]
@@ -174,17 +190,18 @@ def _text_windows(sizes: list[int], listed):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: float = 0.5, sparse: bool = False) -> DataFrame:
     """(doc_id, text_hash, item_id, matched, windows, coverage, kind) of each text and item it gives away.
 
     ``kind`` is copy when all slot values are the item's own, else reparameterised. Items shorter than
     ``size`` tokens are one window; items and texts without tokens match nothing, null counts as
-    empty. Rows equal in id and text give one result. Windows with fewer than
-    ``LEAST_LITERALS`` literal tokens are left out on both sides.
+    empty. Rows equal in id and text give one result. Windows with fewer than ``LEAST_LITERALS`` literal
+    tokens match only with equal slot values, which ``sparse`` asks for; without it they are left out on
+    both sides, and an item that has no others is never found.
     """
     spark = docs.sparkSession
     named = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
-    items = named.mapInArrow(_item_windows(size), "item_id long, window long, item_at int, size int, item_slots array<long>").distinct()
+    items = named.mapInArrow(_item_windows(size, sparse), "item_id long, window long, item_at int, size int, item_slots array<long>").distinct()
     totals = items.groupBy("item_id").agg(F.count_distinct("item_at").alias("windows"))
     sizes = [r[0] for r in items.select("size").distinct().collect()]
     distinct = items.select("window").distinct()
@@ -194,7 +211,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: f
         values = distinct.toArrow().column("window").to_numpy().view(U64) if sizes else np.zeros(0, U64)
         listed = spark.sparkContext.broadcast(np.sort(values) if len(values) else np.zeros(1, U64))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        _text_windows(sizes, listed), "doc_id long, text_hash long, window long, text_at int, text_slots array<long>"
+        _text_windows(sizes, listed, sparse), "doc_id long, text_hash long, window long, text_at int, text_slots array<long>"
     )
     hit = texts.join(F.broadcast(items) if few else items, "window")
     pairs = F.explode_outer(F.arrays_zip("item_slots", "text_slots"))

@@ -52,3 +52,29 @@ def test_odd_and_empty_tables(odd, none, spark):
     assert without_leaks(odd, items.limit(0)).count() == odd.count()
     own = odd.where("text IS NOT NULL").select(F.col("doc_id").alias("item_id"), "text").where("item_id IN (1, 103, 111)")
     assert {1, 103}.issubset({r.doc_id for r in find_leaks(odd, own).collect()})
+
+
+SPARSE = [
+    (1, "77 88 99"), (2, "12 + 30 = 42 , 8 + 9 = 17 , 5 + 6 = 11"), (3, "when Alice 12 Bob 14 Carol 15 Dave 16 Erin 17 Frank 18"),
+    (4, "we read the following list of numbers aloud 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20"),
+]
+
+
+@pytest.mark.parametrize("listed", [2_000_000, 0])
+def test_items_of_numbers_and_names(spark, tmp_path, monkeypatch, listed):
+    import corpus_pipeline
+    from duskwatch.llm.queries import op5_decontaminate
+
+    monkeypatch.setattr(decontaminate, "LISTED_WINDOWS", listed)
+    other = "we read the following list of numbers aloud 31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 47 48 49 50"
+    texts = [(i, "before all that " + t + " and after") for i, t in SPARSE] + [
+        (5, "77 88 100"), (6, "12 + 31 = 43 , 8 + 7 = 15 , 5 + 9 = 14"), (7, "when Alice 13 Bob 15 Carol 16 Dave 17 Erin 18 Frank 19"), (8, other),
+        (9, "when Bob Alice 12 Alice Bob 14 Bob Carol 15 Erin Dave 16 Dave Erin 17 Carol Frank 18"),
+    ]
+    spark.createDataFrame(SPARSE, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.doc_id, r.item_id): r for r in op5_decontaminate(spark, str(tmp_path)).collect()}
+    assert set(found) == {(i, i) for i in range(1, 5)}
+    assert {r.kind for r in found.values()} == {"copy"} and found[4, 4].windows == 21
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()) == [5, 6, 7, 8, 9]
