@@ -2,9 +2,9 @@
 
 Numbers, names and units become typed placeholders; windows of template tokens are hashed and joined
 with those of the benchmark. Matches on one diagonal (place in the text minus place in the item)
-form an alignment; it counts if equal slot values of the item always stand for equal values in the
-text, so a question with other numbers and names is still found, while unrelated texts with like
-templates are not. A text is contaminated by an item when alignments cover enough of its windows.
+form an alignment. A window with the item's own slot values counts; one with other values counts if
+equal slot values of the item always stand for equal values in the alignment, so a question with
+other numbers and names is still found, while unrelated texts with like templates are not. A text is contaminated by an item when alignments cover enough of its windows.
 """
 
 from __future__ import annotations
@@ -190,10 +190,48 @@ def _text_windows(sizes: list[int], listed, sparse: bool):
     return run
 
 
+def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Values of a list column, and the row of each."""
+    return column.flatten(), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per window of an alignment that counts; ``same`` if all slot values of the alignment are the item's own.
+
+    A window with the item's own values counts whatever the others hold; one with other values does
+    unless a value of its slots in the item stands for two values in the alignment.
+    """
+    for batch in batches:
+        place, row = _flat(batch.column("places"))
+        item, window = _flat(_flat(batch.column("item_slots"))[0])
+        item = item.to_numpy(zero_copy_only=False)
+        text = _flat(_flat(batch.column("text_slots"))[0])[0].to_numpy(zero_copy_only=False)
+        owner = row[window]
+        order = np.lexsort((text, item, owner))
+        value = np.ones(len(order), bool)
+        value[1:] = (owner[order][1:] != owner[order][:-1]) | (item[order][1:] != item[order][:-1])
+        pair = value.copy()
+        pair[1:] |= text[order][1:] != text[order][:-1]
+        group = np.cumsum(value) - 1
+        torn = np.zeros(len(order), bool)
+        torn[order] = np.bincount(group, pair)[group] > 1 if len(order) else False
+        other, conflict = np.zeros(len(row), bool), np.zeros(len(row), bool)
+        other[window[item != text]] = True
+        conflict[window[torn]] = True
+        same = np.ones(batch.num_rows, bool)
+        same[row[other]] = False
+        keep = ~(other & conflict)
+        at = pa.array(row[keep])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(at) for c in ("doc_id", "text_hash", "item_id")), pa.array(same[row[keep]]), place.filter(pa.array(keep))],
+            ["doc_id", "text_hash", "item_id", "same", "place"],
+        )
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: float = 0.5, sparse: bool = False) -> DataFrame:
     """(doc_id, text_hash, item_id, matched, windows, coverage, kind) of each text and item it gives away.
 
-    ``kind`` is copy when all slot values are the item's own, else reparameterised. Items shorter than
+    ``kind`` is copy when all slot values of an alignment are the item's own, else reparameterised. Items shorter than
     ``size`` tokens are one window; items and texts without tokens match nothing, null counts as
     empty. Rows equal in id and text give one result. Windows with fewer than ``LEAST_LITERALS`` literal
     tokens match only with equal slot values, which ``sparse`` asks for; without it they are left out on
@@ -214,14 +252,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, coverage: f
         _text_windows(sizes, listed, sparse), "doc_id long, text_hash long, window long, text_at int, text_slots array<long>"
     )
     hit = texts.join(F.broadcast(items) if few else items, "window")
-    pairs = F.explode_outer(F.arrays_zip("item_slots", "text_slots"))
-    lined = hit.select("doc_id", "text_hash", "item_id", (F.col("text_at") - F.col("item_at")).alias("diagonal"), "item_at", pairs.alias("p"))
-    aligned = lined.groupBy("doc_id", "text_hash", "item_id", "diagonal").agg(
-        F.collect_set("item_at").alias("places"), F.collect_set(F.when(F.col("p.item_slots").isNotNull(), F.col("p"))).alias("pairs")
-    )
-    held = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
-    same = F.forall("pairs", lambda p: p["item_slots"] == p["text_slots"])
-    kept = aligned.where(held).withColumn("same", same).select("doc_id", "text_hash", "item_id", "same", F.explode("places").alias("place"))
+    lined = hit.select("doc_id", "text_hash", "item_id", (F.col("text_at") - F.col("item_at")).alias("diagonal"), F.struct("item_at", "item_slots", "text_slots").alias("w"))
+    aligned = lined.groupBy("doc_id", "text_hash", "item_id", "diagonal").agg(F.collect_set("w").alias("w"))
+    kept = aligned.select(
+        "doc_id", "text_hash", "item_id", F.col("w.item_at").alias("places"), F.col("w.item_slots").alias("item_slots"), F.col("w.text_slots").alias("text_slots")
+    ).mapInArrow(_matches, "doc_id long, text_hash long, item_id long, same boolean, place int")
     found = kept.groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("place").alias("matched"), F.bool_or("same").alias("copy"))
     rated = found.join(F.broadcast(totals) if few else totals, "item_id").withColumn("coverage", F.col("matched") / F.col("windows"))
     return rated.where(F.col("coverage") >= coverage).select(

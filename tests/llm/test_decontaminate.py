@@ -78,3 +78,19 @@ def test_items_of_numbers_and_names(spark, tmp_path, monkeypatch, listed):
     assert set(found) == {(i, i) for i in range(1, 5)}
     assert {r.kind for r in found.values()} == {"copy"} and found[4, 4].windows == 21
     assert sorted(r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()) == [5, 6, 7, 8, 9]
+
+
+def test_one_deviating_value_voids_only_its_windows(spark):
+    middle = " and then we walked along the river until the sun went down behind the hills"
+    item = "Yesterday they paid 12 dollars to Alice" + middle + " and at last they paid 12 dollars more to Alice before the long way back home began"
+    texts = [
+        (1, item), (2, item.replace("12 dollars more", "13 dollars more")), (3, item.replace("more to Alice", "more to Bob")),
+        (4, item.replace("12", "40").replace("Alice", "Bob")),
+    ]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: r for r in find_leaks(docs, items).collect()}
+    assert set(found) == {1, 2, 3, 4} and found[1].kind == "copy" and found[1].matched == found[1].windows
+    assert {found[i].kind for i in (2, 3, 4)} == {"reparameterised"} and found[4].matched == found[4].windows
+    # the windows over the value that differs, and no others
+    assert found[2].windows - found[2].matched == 8 and found[3].windows - found[3].matched == 8
