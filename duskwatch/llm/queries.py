@@ -58,7 +58,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: source and language are the directories."""
     docs = _read(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-    found = scan_licenses(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text"))
+    found = scan_licenses(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text"), every_term=True)
     return found.withColumnRenamed("id", "doc_id")
 
 
