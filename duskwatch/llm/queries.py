@@ -18,6 +18,7 @@ from duskwatch.llm.runs import periodic_runs
 from duskwatch.llm.sharding import shuffle_into_shards
 from duskwatch.llm.toxicity import score_toxicity
 from duskwatch.llm.urls import RULES, judge_urls, rule_table
+from duskwatch.llm.whitening import whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,6 +74,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract wants ``deviation`` as a long; where the exact sum needs more than 63 bits it is null here."""
+    return whiten(_read(spark, sf_dir, "embeddings"), components=16).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(_read(spark, sf_dir, "documents"), planted=True, texts=False)
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
