@@ -12,6 +12,7 @@ from duskwatch.llm.language import identify_language
 from duskwatch.llm.language_model import score_texts
 from duskwatch.llm.licenses import scan_licenses
 from duskwatch.llm.mixing import mix_sources
+from duskwatch.llm.neighbours import nearest
 from duskwatch.llm.ngram_join import ngram_jaccard_join
 from duskwatch.llm.quality import quality_rules
 from duskwatch.llm.runs import periodic_runs
@@ -79,6 +80,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_read(spark, sf_dir, "embeddings"), components=16).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
 
 
+def op12_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings"), asks="vec_id % 50 = 0", k=5)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(_read(spark, sf_dir, "documents"), planted=True, texts=False)
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_kmeans_tree_search": op12_kmeans_tree_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
