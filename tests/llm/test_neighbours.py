@@ -101,7 +101,7 @@ def test_small_and_empty(spark):
 
 
 def test_doubles_and_copies(spark):
-    rows = [(i, [1.0 + 1e-12 * (i % 3), 1.0]) for i in range(60)]
+    rows = [(i, [1.0 + 1e-6 * (i % 3), 1.0]) for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("embedding", F.col("embedding"))
     got = lists(nearest(df, k=3))
     assert sorted(got) == [0, 50] and [x.vec_id for x in got[0]] == [3, 6, 9]
