@@ -44,7 +44,7 @@ def op4_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), sparse=True)
+    found = find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), sparse=True, verbatim=True)
     return found.select("doc_id", "item_id", "matched", "windows", "coverage", "kind")
 
 

@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm.components import settle
-from duskwatch.llm.rows import hash_sample
+from duskwatch.llm.rows import drop_rows, hash_sample
 from duskwatch.llm.tokens import BYTE_CODE, LETTER, U64, Words, mix, slices
 
 TABLE_BITS = 18
 WIDTH = 32
 THRESHOLD = 0.3
+#: Bytes of text scored together; a longer text stands alone.
+SCORED_BYTES = 1 << 18
 PREFIXES = (3, 4, 5)
 
 
@@ -250,7 +252,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, fit
         m = shared.value
         for batch in batches:
             text = batch.column("text").fill_null("")
-            for low, high in slices(text):
+            for low, high in slices(text, SCORED_BYTES):
                 w = Words(text.slice(low, high - low), ~LETTER)
                 x, p = _evidence(m, w, token_keys(w))
                 z = m["scale"][0] + x @ m["scale"][1:]
@@ -291,19 +293,18 @@ def _spans(w: Words, p: np.ndarray) -> pa.Array:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, fit_chars: int = 100_000) -> DataFrame:
     """Rows of ``docs``, all columns, whose text is not predicted toxic."""
-    packed = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows, fit_chars))
 
-    @F.pandas_udf("boolean")
-    def toxic(text):
-        import pandas as pd
-
-        column = pa.Array.from_pandas(text, type=pa.string()).fill_null("")
-        out = []
-        for low, high in slices(column):
-            w = Words(column.slice(low, high - low), ~LETTER)
-            z = model.value["scale"][0] + _evidence(model.value, w, token_keys(w))[0] @ model.value["scale"][1:]
-            out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= THRESHOLD)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
-
-    return packed.where(~toxic("text")).select("_row.*")
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            column = batch.column("text").fill_null("")
+            for low, high in slices(column, SCORED_BYTES):
+                w = Words(column.slice(low, high - low), ~LETTER)
+                z = m["scale"][0] + _evidence(m, w, token_keys(w))[0] @ m["scale"][1:]
+                hit = pa.array(np.flatnonzero(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= THRESHOLD) + low)
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(hit) for c in ("doc_id", "text_hash")], ["doc_id", "text_hash"])
+
+    toxic = settle(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(marks, "doc_id long, text_hash long").distinct())
+    model.destroy()
+    return drop_rows(docs, toxic)

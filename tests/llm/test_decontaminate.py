@@ -94,3 +94,107 @@ def test_one_deviating_value_voids_only_its_windows(spark):
     assert {found[i].kind for i in (2, 3, 4)} == {"reparameterised"} and found[4].matched == found[4].windows
     # the windows over the value that differs, and no others
     assert found[2].windows - found[2].matched == 8 and found[3].windows - found[3].matched == 8
+
+
+def leaks(spark, items, texts, **options):
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), **options).collect()
+    return sorted(((r.doc_id, r.item_id, r.kind) for r in found), key=str)
+
+
+NAMED = "Alice has 5 apples and Bob has 7 apples. How many apples do Alice and Bob have together?"
+
+
+def test_items_are_known_by_their_text(spark):
+    other = "the quick brown fox jumps over the lazy dog while all the others sleep under a very old tree by the river"
+    items = [(1, NAMED), (1, other), (None, "to be or not to be that is the question that we ask every single day"), (2, other), (2, other)]
+    texts = [(10, "first " + NAMED + " last"), (11, other), (12, "well to be or not to be that is the question that we ask every single day indeed"), (13, "nothing")]
+    want = [(10, 1, "copy"), (11, 1, "copy"), (11, 2, "copy"), (12, None, "copy")]
+    assert leaks(spark, items, texts) == want
+    assert leaks(spark, items, texts, verbatim=True, sparse=True) == want
+
+
+def test_copies_in_other_capitals(spark):
+    texts = [(1, NAMED), (2, NAMED.lower()), (3, NAMED.upper()), (4, "so " + NAMED.title() + " ok"), (5, NAMED.replace("apples", "pears").lower())]
+    assert [r[0] for r in leaks(spark, [(1, NAMED)], texts, verbatim=True)] == [1, 2, 3, 4]
+    assert leaks(spark, [(1, "7 8 9")], [(1, "1 7 8 9"), (2, "7 8 10")], verbatim=True) == [(1, 1, "copy")]
+
+
+QUESTIONS = [
+    ("Ein Zug fährt mit zwei Wagen und braucht drei Stunden für die ganze lange Strecke, wie schnell ist er im Mittel?", [("zwei", "drei"), ("drei Stunden", "vier Tage")]),
+    ("Un train roule pendant deux heures et parcourt trois cents kilomètres, quelle est donc sa vitesse moyenne ?", [("deux heures", "sept jours"), ("trois", "quatre")]),
+    ("Un tren recorre cinco kilómetros en dos horas y luego se para, ¿cuál es entonces su velocidad media?", [("cinco", "ocho"), ("dos horas", "tres minutos")]),
+    ("A train travels 300 km in four hours at a steady speed and then it stops for a while, how fast was it?", [("300 km", "120 miles"), ("four", "nine")]),
+]
+
+
+def test_other_numbers_in_four_languages(spark):
+    texts = []
+    for i, (text, swaps) in enumerate(QUESTIONS):
+        # from the last to the first, so that no swap meets another's outcome
+        for old, new in reversed(swaps):
+            text = text.replace(old, new, 1)
+        texts.append((i, "Davor steht etwas. " + text))
+    found = leaks(spark, [(i, q[0]) for i, q in enumerate(QUESTIONS)], texts, sparse=True, verbatim=True)
+    assert found == [(i, i, "reparameterised") for i in range(4)]
+
+
+def test_windows_that_all_items_share(spark):
+    frame = "please answer the following question in one short sentence and give your reason as well"
+    items = [(i, f"{frame} word{'abcdefghij'[i]} is the {'klmnopqrst'[i]}th thing that was asked here today by them all") for i in range(10)]
+    texts = [(i, "x " + t) for i, t in items] + [(50, frame), (51, "no " + frame + " at all")]
+    assert leaks(spark, items, texts) == [(i, i, "copy") for i in range(10)]
+
+
+def brute_tokens(text):
+    """Template tokens of a text by single steps: (kind or lower-cased word, value)."""
+    import re
+
+    from duskwatch.llm.decontaminate import BEFORE_NOUNS, NUMBER_WORDS, UNITS
+
+    low = lambda s: "".join(c.lower() if c.isascii() else c for c in s)
+    out, before, raw_before, gap = [], None, "", ""
+    for m in re.finditer(r"([\x20\x09-\x0D]*)([^\x20\x09-\x0D]+)", re.sub(r"(\d)(?=[^\W\d_])", r"\1 ", text)):
+        raw = m.group(2)
+        word = re.sub(r"^[^A-Za-z0-9\x80-\U0010ffff]+|[^A-Za-z0-9\x80-\U0010ffff]+$", "", raw)
+        gap += m.group(1)
+        if not word:
+            gap += raw
+            continue
+        value = low(word)
+        number = bool(re.fullmatch(r"[0-9.,:/-]*[0-9][0-9.,:/-]*", word)) or value in NUMBER_WORDS
+        unit = before == "number" and value in UNITS
+        capital = word[0].isascii() and word[0].isupper() or 0xC0 <= ord(word[0]) <= 0xDE
+        inside = before is not None and raw_before[-1] not in ".!?:;\"'()|" and "\n" not in gap and last not in BEFORE_NOUNS
+        name = capital and len(word) > 1 and not ("A" <= word[1] <= "Z") and inside and not number and not unit
+        kind = "number" if number else "unit" if unit else "name" if name else "word"
+        if kind == "name" and before == "name":
+            out[-1] = ("name", value)
+        else:
+            out.append((kind if kind != "word" else value, value))
+        before, raw_before, gap, last = kind, raw, "", value
+    return out
+
+
+def test_template_tokens_equal_brute_force():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from duskwatch.llm.decontaminate import NAME, NUMBER, UNIT, Template
+    from duskwatch.llm.tokens import Words
+
+    rng = random.Random(4)
+    parts = ["Alice", "Bob", "der", "Hund", "12", "3.5", "km", "hours", "zwei", "5kg", "apples,", "ran.", "(and)", "\n", "Zoë", "Élan", "USA", "--", "how?", "A", "1/2", "B2b", "x"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "  ", "\t"]) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [NAMED, "", "?!"]
+    t = Template(pa.array(texts))
+    code = {"number": NUMBER, "unit": UNIT, "name": NAME}
+    hashed = lambda words: Words(pa.array([" ".join(words)])).hashes() if words else np.zeros(0, np.uint64)
+    for i, text in enumerate(texts):
+        want = brute_tokens(text)
+        got = slice(t.first[i], t.first[i + 1])
+        assert (t.value[got] == hashed([v for _, v in want])).all() if want else t.first[i] == t.first[i + 1], text
+        kinds = [code.get(k) for k, _ in want]
+        literal = hashed([k for k, _ in want])
+        assert [int(x) for x in t.token[got]] == [int(k if k is not None else h) for k, h in zip(kinds, literal)], text
