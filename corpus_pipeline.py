@@ -24,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), sparse=True)
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), sparse=True, verbatim=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot."""
-    return shuffle_into_shards(docs, shards=8, keep=["text", "lang", "source"])
+    """The documents, all columns, with their shard and slot; a column named like one of the result's own gives way to it."""
+    own = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    return shuffle_into_shards(docs, shards=8, keep=[c for c in docs.columns if c not in own])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
