@@ -86,12 +86,8 @@ KEYS = ["tenant_id", "entity_key", "pattern_id"]
 ORDER = ["us", "event_id"]
 
 
-def stage_hits(events: DataFrame, patterns: Sequence[Pattern], own: dict[str, Sequence[Pattern]] | None = None) -> DataFrame:
-    """One row per (event, pattern) that fits at least one stage, with a bit per fitting stage.
-
-    Everything else is dropped before the shuffle. ``own`` holds the active patterns of tenants that
-    have their own; those tenants do not use the defaults.
-    """
+def hit_structs(patterns: Sequence[Pattern], own: dict[str, Sequence[Pattern]] | None = None) -> Column:
+    """array<struct<pattern_id, mask, stages, span_us>> of the patterns an event fits a stage of, with a bit per fitting stage."""
     own = own or {}
     entries = []
     todo = [(p, ~F.col("tenant_id").isin(sorted(own)) if own else F.lit(True)) for p in patterns]
@@ -108,11 +104,21 @@ def stage_hits(events: DataFrame, patterns: Sequence[Pattern], own: dict[str, Se
                 ),
             )
         )
-    fits = F.filter(F.array(*entries), lambda e: e.isNotNull() & (e["mask"] > 0))
+    return F.filter(F.array(*entries), lambda e: e.isNotNull() & (e["mask"] > 0))
+
+
+def stage_hits(
+    events: DataFrame, patterns: Sequence[Pattern], own: dict[str, Sequence[Pattern]] | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
+    """One row per (event, pattern) that fits at least one stage, with a bit per fitting stage.
+
+    Everything else is dropped before the shuffle. ``own`` holds the active patterns of tenants that
+    have their own; those tenants do not use the defaults. ``carry`` names further columns to keep.
+    """
     return events.select(
         "tenant_id", F.coalesce("entity", "tenant_id").alias("entity_key"), F.unix_micros("timestamp").alias("us"), "event_id",
-        "meta_score", F.explode(fits).alias("h"),
-    ).select("tenant_id", "entity_key", "us", "event_id", "meta_score", "h.*")
+        "meta_score", *carry, F.explode(hit_structs(patterns, own)).alias("h"),
+    ).select("tenant_id", "entity_key", "us", "event_id", "meta_score", *carry, "h.*")
 
 
 def advance(state: tuple, cols: dict[str, np.ndarray]) -> tuple[tuple, list[int], list[tuple]]:

@@ -3,88 +3,59 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions.scoring import DEFAULT_WEIGHTS
+from duskwatch.operators.entitypass import FIVE_MIN, IDLE_TTL, ONE_HOUR, STATE, entity_pass  # noqa: F401
 from duskwatch.operators.folds import ordered_fold
-from duskwatch.operators.segments import KEY, MAX_ROWS_PER_KEY, SEG, Segments, segmented
+from duskwatch.operators.segments import MAX_ROWS_PER_KEY, segmented
 
-FIVE_MIN, ONE_HOUR, IDLE_TTL = 300, 3600, 86400
 DISTINCT_CAP = 100
-STATE = ["event_count", "events_5m", "events_1h", "unique_dst_ips", "unique_dst_ports", "sticky_campaign"]
 
 
-def _runs(events: DataFrame, max_rows: int) -> Segments:
-    """Position in the entity's history and where its current runs began."""
-    keys = ["tenant_id", "entity"]
-    seg = segmented(events.withColumn("us", F.unix_micros("timestamp")), keys, ["us", "event_id"], max_rows)
-    seg = seg.running(sums={"pos": F.lit(1)}, lag={"prev_us": F.col("us")})
-    gap = F.col("us") - F.col("prev_us")
-
-    def start(limit: int) -> Column:
-        return F.when(gap.isNull() | (gap > F.lit(limit * 1_000_000)), F.col("pos"))
-
-    return seg.running(maxs={"start_ttl": start(IDLE_TTL), "start_1h": start(ONE_HOUR), "start_5m": start(FIVE_MIN)})
-
-
-def entity_state(events: DataFrame, max_rows: int = MAX_ROWS_PER_KEY, distinct_cap: int | None = DISTINCT_CAP) -> DataFrame:
+def entity_state(events: DataFrame, max_rows: int = MAX_ROWS_PER_KEY, distinct_cap: int = DISTINCT_CAP) -> DataFrame:
     """State after each event: counters, run lengths, capped distinct destinations, campaign.
 
     Runs are broken by gaps (300 s, 3600 s, and 86400 s for everything); they are not sliding windows.
-    The distinct sets keep at most ``distinct_cap`` values (None: all) and drop the oldest, so their size
-    is the smaller of that and the distinct values seen in the run, which needs only a running
-    count of first sights.
+    The distinct sets keep at most ``distinct_cap`` values and drop the oldest, so their size is the
+    smaller of that and the distinct values seen in the run. All columns of ``events`` travel along: select those needed before.
     """
-    return _state(events, max_rows, distinct_cap).rows
-
-
-def _state(events: DataFrame, max_rows: int, distinct_cap: int | None = DISTINCT_CAP) -> Segments:
-    seg = _runs(events, max_rows)
-    sight = F.explode(
-        F.array(
-            F.struct(F.lit("ip").alias("kind"), F.col("dst_ip").alias("v")),
-            F.struct(F.lit("port").alias("kind"), F.col("dst_port").cast("string").alias("v")),
-        )
-    )
-    firsts = (
-        seg.df.select(KEY, SEG, "start_1h", "pos", sight.alias("s")).where("s.v IS NOT NULL AND s.v NOT IN ('', '0')")
-        .groupBy(KEY, "start_1h", "s.kind", "s.v")
-        .agg(F.min(F.struct("pos", SEG)).alias("first"))
-        .groupBy(KEY, F.col(f"first.{SEG}").alias(SEG), F.col("first.pos").alias("pos"))
-        .agg(F.count_if(F.col("kind") == "ip").alias("new_ip"), F.count_if(F.col("kind") == "port").alias("new_port"))
-        .checkpoint()
-    )
-    df = seg.df.join(firsts, [KEY, SEG, "pos"], "left").fillna(0, ["new_ip", "new_port"])
-    seg = Segments(df, seg.order).running(sums={"ips": F.col("new_ip"), "ports": F.col("new_port")})
-    begin = F.col("pos") == F.col("start_1h")
-    has = F.col("campaign_id").isNotNull() & (F.col("campaign_id") != "")
-    seg = seg.running(
-        maxs={"ip_base": F.when(begin, F.col("ips") - F.col("new_ip")), "port_base": F.when(begin, F.col("ports") - F.col("new_port"))},
-        last={"_camp": F.when(has, F.struct("start_ttl", "campaign_id"))},
-    )
-    cap = F.lit(distinct_cap if distinct_cap is not None else 1 << 62)
-    df = seg.df.withColumns(
-        {
-            "event_count": F.col("pos") - F.col("start_ttl") + 1,
-            "events_5m": F.col("pos") - F.col("start_5m") + 1,
-            "events_1h": F.col("pos") - F.col("start_1h") + 1,
-            "unique_dst_ips": F.least(F.col("ips") - F.col("ip_base"), cap),
-            "unique_dst_ports": F.least(F.col("ports") - F.col("port_base"), cap),
-            "sticky_campaign": F.when(F.col("_camp.start_ttl") == F.col("start_ttl"), F.col("_camp.campaign_id")),
-        }
-    ).drop("new_ip", "new_port", "ips", "ports", "ip_base", "port_base", "_camp", "start_ttl", "start_1h", "start_5m")
-    return Segments(df, seg.order)
+    return entity_pass(events, max_rows, distinct_cap).drop("events_before")
 
 
 def entity_state_before(events: DataFrame, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
     """State visible to each event before it is counted; empty after the idle time-out."""
-    seg = _state(events, max_rows)
-    seg = seg.running(lag={f"before_{c}": F.col(c) for c in STATE})
-    idle = F.col("prev_us").isNull() | (F.col("us") - F.col("prev_us") > F.lit(IDLE_TTL * 1_000_000))
-    out = {f"before_{c}": F.when(~idle, F.col(f"before_{c}")) for c in STATE}
-    out["before_last_seen_us"] = F.when(~idle, F.col("prev_us"))
-    return seg.rows.withColumns(out).drop("us", "prev_us", "pos", *STATE)
+    return entity_pass(events, max_rows, before=True).drop("events_before", *STATE)
+
+
+def final_entity_state(events: DataFrame, now: Column, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
+    """State of each entity after its last event, as a stream starts from it; entities idle for a day at ``now`` have none.
+
+    The distinct values of the last hour's run are rows until the newest ``DISTINCT_CAP`` are picked, so no array outgrows the cap.
+    """
+    rows = entity_pass(events, max_rows, recent=30, in_run=True).withColumn("us", F.unix_micros("timestamp"))
+    keys = ["tenant_id", "entity"]
+    key = F.struct(*keys)
+    order = F.struct("us", "event_id")
+    last = rows.groupBy(key.alias("_k")).agg(F.max_by(F.struct(*STATE, "us", "event_id", "times_us"), order).alias("s"))
+    last = last.where(F.unix_micros(now) - F.col("s.us") <= IDLE_TTL * 1_000_000)
+    # the run of the last hour holds the newest events_1h rows
+    by = Window.partitionBy("_k").orderBy(F.desc("us"), F.desc("event_id"))
+    newest = rows.select(key.alias("_k"), "us", "event_id", "dst_ip", F.col("dst_port").cast("string").alias("dst_port")).join(last, "_k")
+    newest = newest.withColumn("_back", F.row_number().over(by)).where(F.col("_back") <= F.col("s.events_1h"))
+    out = last
+    for name in ("dst_ip", "dst_port"):
+        first = newest.where(F.col(name).isNotNull() & ~F.col(name).isin("", "0")).groupBy("_k", name).agg(F.max("_back").alias("_sight"))
+        pick = Window.partitionBy("_k").orderBy("_sight")
+        some = first.withColumn("_at", F.row_number().over(pick)).where(F.col("_at") <= DISTINCT_CAP)
+        listed = some.groupBy("_k").agg(F.transform(F.sort_array(F.collect_list(F.struct("_sight", name)), asc=False), lambda x: x[name]).alias(f"{name}s"))
+        out = out.join(listed, "_k", "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        "_k.*", *[F.col(f"s.{c}").alias(c) for c in STATE], F.col("s.us").alias("last_seen_us"), F.coalesce("dst_ips", none).alias("dst_ips"),
+        F.coalesce("dst_ports", none).alias("dst_ports"), F.col("s.times_us").alias("times_us"),
+    )
 
 
 def entity_history(events: DataFrame, n: int = 50, width: int = 64, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
@@ -98,18 +69,12 @@ def entity_history(events: DataFrame, n: int = 50, width: int = 64, max_rows: in
 
 def recent_times(events: DataFrame, n: int = 30, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
     """Last ``n`` event times (µs) of the entity, oldest first, for the timing scores."""
-    seg = segmented(
-        events.withColumn("us", F.unix_micros("timestamp")), ["tenant_id", "entity"], ["us", "event_id"], max_rows
-    ).last_n("times_us", F.col("us"), n)
-    return seg.rows.drop("us")
+    return entity_pass(events, max_rows, recent=n).drop(*STATE, "events_before")
 
 
 def events_before(events: DataFrame, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
     """Number of earlier events per tenant and entity, for warm-up gates."""
-    seg = segmented(
-        events.withColumn("us", F.unix_micros("timestamp")), ["tenant_id", "entity"], ["us", "event_id"], max_rows
-    ).running(sums={"_n": F.lit(1)})
-    return seg.df.withColumn("events_before", F.col("_n") - 1).drop(SEG, "us", "_n")
+    return entity_pass(events, max_rows).drop(*STATE)
 
 
 # ---- order-dependent folds -------------------------------------------------------------------

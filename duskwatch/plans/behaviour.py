@@ -20,6 +20,13 @@ def entities(spark, sf_dir):
     return sec_events(spark, sf_dir).withColumn("entity", F.col("source_type"))
 
 
+#: what the entity state reads, and what the feature vector reads beside it
+STATE_INPUT = ["tenant_id", "entity", "timestamp", "event_id", "dst_ip", "dst_port", "campaign_id"]
+VECTOR_INPUT = [
+    *STATE_INPUT, "src_ip", "src_port", "bytes_in", "bytes_out", "packets_in", "packets_out", "protocol", "geo_country", "hostname", "meta_score",
+    "temporal_score", "signature_id", "severity", "action", "message", "source_type",
+]
+
 # ---- entity state ----
 
 _W = "PARTITION BY tenant_id, source_type ORDER BY timestamp, event_id"
@@ -40,7 +47,7 @@ _COLS = "event_count, events_5m, events_1h, unique_dst_ips, unique_dst_ports, st
 
 @SUITE.query("entity_state", _STATE + f" SELECT event_id, {_COLS} FROM st")
 def _(spark, sf_dir):
-    return ST.entity_state(entities(spark, sf_dir)).select("event_id", *ST.STATE)
+    return ST.entity_state(entities(spark, sf_dir).select(*STATE_INPUT)).select("event_id", *ST.STATE)
 
 
 _BEFORE = _STATE + ", bf AS (SELECT st.*, " + ", ".join(
@@ -53,7 +60,7 @@ _BEFORE = _STATE + ", bf AS (SELECT st.*, " + ", ".join(
     _BEFORE + " SELECT event_id, before_last_seen_us, " + ", ".join(f"before_{c}" for c in ST.STATE) + " FROM bf",
 )
 def _(spark, sf_dir):
-    b = ST.entity_state_before(entities(spark, sf_dir))
+    b = ST.entity_state_before(entities(spark, sf_dir).select(*STATE_INPUT))
     return b.select("event_id", "before_last_seen_us", *[f"before_{c}" for c in ST.STATE])
 
 
@@ -129,8 +136,7 @@ _CTX = [
 
 
 def vectors(spark, sf_dir):
-    ev = entities(spark, sf_dir)
-    return _vector_inputs(ST.entity_state_before(ev))
+    return _vector_inputs(ST.entity_state_before(entities(spark, sf_dir).select(*VECTOR_INPUT)))
 
 
 def _vector_inputs(ev):
@@ -254,7 +260,7 @@ _EVA = (
 
 @SUITE.query("evasion_score", _EVA + " SELECT event_id, evasion FROM e")
 def _(spark, sf_dir):
-    ev = ST.events_before(entities(spark, sf_dir))
+    ev = ST.events_before(entities(spark, sf_dir).select("tenant_id", "entity", "timestamp", "event_id", "k", "meta_score", "temporal_score"))
     return ev.select("event_id", S.evasion_score(_streams()[:3], F.col("events_before")).alias("evasion"))
 
 
@@ -269,7 +275,7 @@ def _(spark, sf_dir):
 
 @SUITE.query("adversarial_composite", _EVA + f" SELECT event_id, round(greatest(temporal_score, evasion, {_OOD}), 6) AS score FROM e")
 def _(spark, sf_dir):
-    ev = ST.events_before(entities(spark, sf_dir))
+    ev = ST.events_before(entities(spark, sf_dir).select("tenant_id", "entity", "timestamp", "event_id", "k", "meta_score", "temporal_score"))
     s = S.adversarial_composite(
         F.col("temporal_score"), S.evasion_score(_streams()[:3], F.col("events_before")), S.ood_score(F.array(*_streams()))
     )
