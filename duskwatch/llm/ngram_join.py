@@ -32,6 +32,8 @@ from duskwatch.llm.rows import unit_hash
 from duskwatch.llm.tokens import BYTE_CODE, U64, Words, distinct, list_column, mix, slices
 
 CELL = 1_000_000
+#: Signatures that one task looks through for keys that share one.
+SIGS_PER_TASK = 1_000_000
 #: Rows of (key, group) up to which the sets to search are picked by a broadcast join.
 BROADCAST_ROWS = 1_000_000
 #: Hash functions tried before texts meet under one key; the first leave common n-grams out.
@@ -188,8 +190,8 @@ def _full_sets(size: int, least: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, key): a forest of the keys that share a signature, and the ends of the range for the seams."""
-    first = last = None
+    """Stretches sorted by (sig, key): a forest of the keys that share a signature, and the ends of each batch for the seams."""
+    last = None
     lefts, rights, held = [], [], 0
     shape = ["kind", "a", "b"]
 
@@ -204,10 +206,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, key = (batch.column(i).to_numpy() for i in (0, 1))
         if not len(sig):
             continue
+        ends = np.array([(sig[0], key[0]), (sig[-1], key[-1])], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(2, np.int32)), pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], shape)
         if last is not None:
             sig, key = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], key])
-        else:
-            first = (sig[0], key[0])
         same = (sig[1:] == sig[:-1]) & (key[1:] != key[:-1])
         lefts.append(key[:-1][same])
         rights.append(key[1:][same])
@@ -219,9 +221,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = forest()
     if a:
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a[0]), np.int32)), pa.array(a[0]), pa.array(b[0])], shape)
-    if first is not None:
-        ends = np.array([first, last], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(2, np.int32)), pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], shape)
 
 
 def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -318,10 +317,13 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"))
 
+    # keys that share many signatures meet in every task, so there are no more tasks than the signatures need
+    tasks = max(1, (signed.agg(F.sum(F.size("sigs"))).first()[0] or 0) // SIGS_PER_TASK)
     met = settle(
         signed.select(F.explode("sigs").alias("sig"), "key").repartitionByRange("sig", "key").sortWithinPartitions("sig", "key")
-        .mapInArrow(_meet, "kind int, a long, b long")
+        .coalesce(tasks).mapInArrow(_meet, "kind int, a long, b long")
     )
+    common.destroy()
     ends = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("key")).distinct()
     seams = ends.join(ends.groupBy("sig").agg(F.min("key").alias("b")), "sig").where("key <> b").select(F.col("key").alias("a"), "b")
     cells = settle(components(met.where("kind = 0").select("a", "b").unionByName(seams)))
