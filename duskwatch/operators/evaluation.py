@@ -1,7 +1,12 @@
-"""Model evaluation, retraining gate and analyst feedback."""
+"""Model evaluation and analyst feedback."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,21 +102,6 @@ def time_split(buffer: DataFrame, train_share: float = 0.8, max_rows: int = 2_00
     )
 
 
-def retrain_gate(
-    buffer: DataFrame, old_f1: float, new_f1: float, min_rows: int = 100, min_valid: int = 50, slack: float = 0.05
-) -> DataFrame:
-    """Decision per tenant: skip on too little data, swap when the new F1 is not clearly worse."""
-    s = buffer.groupBy("tenant_id").agg(
-        F.count("*").alias("buffered"), F.count_if(F.col("label").isNotNull() & F.col("features_json").isNotNull()).alias("valid")
-    )
-    swap = new_f1 >= old_f1 - slack
-    decision = (
-        F.when(F.col("buffered") < min_rows, "skip_few_rows").when(F.col("valid") < min_valid, "skip_few_valid")
-        .otherwise("swap" if swap else "keep")
-    )
-    return s.withColumns({"decision": decision, "old_f1": F.lit(old_f1), "new_f1": F.lit(new_f1)})
-
-
 def verdict_from_action(actions: DataFrame, events: DataFrame) -> DataFrame:
     """Analyst action on an event finding → verdict with the entity it concerns."""
     verdict = (
@@ -129,19 +119,66 @@ def verdict_from_action(actions: DataFrame, events: DataFrame) -> DataFrame:
 # ---- training-set preparation ----------------------------------------------------------------
 
 
-def clip_p99(df: DataFrame, cols: list[str], factor: float = 10.0) -> DataFrame:
-    """Clip each column to ± factor × p99 of its non-zero magnitudes.
+#: bits of a double looked at per pass
+LEVEL_BITS = 12
 
-    The bounds are one row of exact percentiles; Spark counts distinct values before the shuffle.
+
+def order_statistics(df: DataFrame, wanted: dict[str, list[int]]) -> dict[str, dict[int, float]]:
+    """The values at the given 0-based ranks of each column's non-zero magnitudes, exactly; nulls and NaN count as absent.
+
+    The bits of a non-negative double are ordered like the number. Each pass counts the rows that share the leading
+    bits found so far by their next ``LEVEL_BITS`` bits, adds the counts up by shuffle and goes on in the bucket that holds the
+    rank. Tasks and driver see counts, never values.
     """
-    bounds = df.agg(
-        *[F.percentile(F.when(F.col(c) != 0, F.abs(F.col(c).cast("double"))), F.lit(0.99)).alias(c) for c in cols]
-    ).first()
+    names = list(wanted)
+    state = {(i, r): (0, r) for i, c in enumerate(names) for r in wanted[c]}
+    shift = 64
+    while shift > 0:
+        width = min(LEVEL_BITS, shift)
+        shift -= width
+        open_ = {i: sorted({p for (j, _), (p, _) in state.items() if j == i}) for i in range(len(names))}
+
+        def count(batches: Iterator[pa.RecordBatch], shift: int = shift, width: int = width, open_: dict = open_) -> Iterator[pa.RecordBatch]:
+            totals = {(i, p): np.zeros(1 << width, np.int64) for i, ps in open_.items() for p in ps}
+            for batch in batches:
+                for i, ps in open_.items():
+                    x = np.abs(batch.column(i).fill_null(0.0).to_numpy(zero_copy_only=False).astype(float))
+                    bits = x[x > 0].view(np.uint64)
+                    lead = bits >> np.uint64(min(shift + width, 63)) if shift + width < 64 else np.zeros(len(bits), np.uint64)
+                    for p in ps:
+                        part = (bits[lead == np.uint64(p)] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                        totals[i, p] += np.bincount(part.astype(np.int64), minlength=1 << width)
+            for (i, p), t in totals.items():
+                at = np.flatnonzero(t)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(np.full(len(at), p, np.int64)), pa.array(at), pa.array(t[at])], ["i", "p", "b", "n"])
+
+        numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+        rows = numbers.mapInArrow(count, "i long, p long, b long, n long").groupBy("i", "p", "b").agg(F.sum("n").alias("n")).collect()
+        counts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in rows:
+            counts.setdefault((r["i"], r["p"]), []).append((r["b"], r["n"]))
+        for key, (p, rest) in state.items():
+            for b, n in sorted(counts[key[0], p]):
+                if rest < n:
+                    state[key] = ((p << width) | b, rest)
+                    break
+                rest -= n
+    value = lambda bits: float(np.array([bits], np.uint64).view(np.float64)[0])
+    return {c: {r: value(state[i, r][0]) for r in wanted[c]} for i, c in enumerate(names)}
+
+
+def clip_p99(df: DataFrame, cols: list[str], factor: float = 10.0) -> DataFrame:
+    """Clip each column to ± factor × p99 of its non-zero magnitudes, the exact interpolated percentile."""
+    magnitude = lambda c: F.abs(F.col(c).cast("double"))
+    sizes = df.agg(*[F.count_if((magnitude(c) > 0) & ~F.isnan(magnitude(c))).alias(c) for c in cols]).first()
+    at = {c: 0.99 * (sizes[c] - 1) for c in cols if sizes[c]}
+    ranks = {c: sorted({math.floor(x), math.ceil(x)}) for c, x in at.items()}
+    found = order_statistics(df, ranks) if ranks else {}
     out = {}
-    for c in cols:
-        if bounds[c]:
-            b = float(bounds[c]) * factor
-            out[c] = F.least(F.greatest(F.col(c).cast("double"), F.lit(-b)), F.lit(b))
+    for c, x in at.items():
+        low, high = found[c][math.floor(x)], found[c][math.ceil(x)]
+        b = (low + (x - math.floor(x)) * (high - low)) * factor
+        out[c] = F.least(F.greatest(F.col(c).cast("double"), F.lit(-b)), F.lit(b))
     return df.withColumns(out)
 
 

@@ -49,14 +49,15 @@ def entity_paths(edges: DataFrame, tenant: str, start: str, max_depth: int = 3)
     return out
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) within ``depth`` undirected hops; each round joins only the newly reached ids."""
+def neighborhood(nodes: DataFrame, edges: DataFrame, tenant: str, node_id: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of one tenant within ``depth`` undirected hops; each round joins only the newly reached ids."""
     if not 1 <= depth <= 5:
         raise ValueError("depth must be in 1..5")
+    nodes, edges = (df.where(F.col("tenant_id") == tenant) for df in (nodes, edges))
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(
         edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
     ).distinct()
-    seen = nodes.where(F.col("id") == node_id).select("id").withColumn("hops", F.lit(0))
+    seen = nodes.where(F.col("id") == node_id).select("id").distinct().withColumn("hops", F.lit(0))
     frontier = seen
     for d in range(1, depth + 1):
         reached = frontier.select(F.col("id").alias("a")).join(both, "a").select(F.col("b").alias("id")).distinct()
@@ -69,10 +70,10 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int =
 
 
 def node_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """In plus out edges per node; isolated nodes count zero."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
-    deg = ends.groupBy("id").agg(F.count("*").alias("degree"))
-    return nodes.join(deg, "id", "left").fillna(0, ["degree"])
+    """In plus out edges per tenant and node; isolated nodes count zero."""
+    ends = edges.select("tenant_id", F.explode(F.array("src", "dst")).alias("id"))
+    deg = ends.groupBy("tenant_id", "id").agg(F.count("*").alias("degree"))
+    return nodes.join(deg, ["tenant_id", "id"], "left").fillna(0, ["degree"])
 
 
 STIX_OBJECT = (

@@ -1,6 +1,7 @@
 """Hunt templates and the hunt predicates.
 
-Templates take ``now`` so that a run can be repeated. Lists that could grow with a hot key (all users
+Templates take ``now`` so that a run can be repeated. Every key holds the tenant: equal private addresses or
+user ids of two tenants are two entities. Lists that could grow with a hot key (all users
 behind one address) are returned as rows, not as an array.
 """
 
@@ -40,10 +41,10 @@ def hunt_001(df: DataFrame, now: Column, hours: int = 12, max_span_hours: int =
     Aggregated per (user, country) first; what is collected per user is at most one entry per country.
     """
     rows = within(df, now, hours).where(F.col("action").isin(LOGINS) & (F.col("outcome") == "success"))
-    by_country = rows.groupBy("user_id", "geo_country").agg(
+    by_country = rows.groupBy("tenant_id", "user_id", "geo_country").agg(
         F.count("*").alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")
     )
-    out = by_country.groupBy("user_id").agg(
+    out = by_country.groupBy("tenant_id", "user_id").agg(
         F.count("geo_country").alias("unique_countries"),
         F.array_sort(F.collect_list(F.struct("geo_country", "n"))).alias("countries"),
         F.min("lo").alias("first_seen"),
@@ -57,7 +58,7 @@ def hunt_002(df: DataFrame, now: Column, hours: int = 6, failures: int = 5) -> D
     """Addresses with more than ``failures`` failed logins and at least one success."""
     rows = within(df, now, hours).where(F.col("action").isin(LOGINS))
     return (
-        rows.groupBy("src_ip")
+        rows.groupBy("tenant_id", "src_ip")
         .agg(
             F.count_if(F.col("outcome") == "failure").alias("failures"),
             F.count_if(F.col("outcome") == "success").alias("successes"),
@@ -70,8 +71,8 @@ def hunt_002(df: DataFrame, now: Column, hours: int = 6, failures: int = 5) -> D
 def hunt_002_users(df: DataFrame, now: Column, hours: int = 6, failures: int = 5) -> DataFrame:
     """The users behind hunt_002, one row per address and user with the number of successes."""
     ok = within(df, now, hours).where(F.col("action").isin(LOGINS) & (F.col("outcome") == "success"))
-    users = ok.groupBy("src_ip", "user_id").agg(F.count("*").alias("successes"))
-    return users.join(hunt_002(df, now, hours, failures).select("src_ip"), "src_ip", "left_semi")
+    users = ok.groupBy("tenant_id", "src_ip", "user_id").agg(F.count("*").alias("successes"))
+    return users.join(hunt_002(df, now, hours, failures).select("tenant_id", "src_ip"), ["tenant_id", "src_ip"], "left_semi")
 
 
 def hunt_003(df: DataFrame, now: Column, hours: int = 6, fan_out: int = 5) -> DataFrame:
@@ -79,7 +80,7 @@ def hunt_003(df: DataFrame, now: Column, hours: int = 6, fan_out: int = 5) -> Da
         (F.col("dst_port") == 445) & is_internal(F.col("src_ip")) & is_internal(F.col("dst_ip"))
     )
     return (
-        rows.groupBy("src_ip")
+        rows.groupBy("tenant_id", "src_ip")
         .agg(F.count_distinct("dst_ip").alias("unique_destinations"), F.sum("bytes_out").alias("total_bytes"))
         .where(F.col("unique_destinations") >= fan_out)
     )
@@ -94,7 +95,7 @@ def _outbound_web(df: DataFrame, now: Column, hours: int) -> DataFrame:
 def hunt_004(df: DataFrame, now: Column, hours: int = 24, min_bytes: int = 10_485_760) -> DataFrame:
     return (
         _outbound_web(df, now, hours)
-        .groupBy("src_ip", "dst_ip")
+        .groupBy("tenant_id", "src_ip", "dst_ip")
         .agg(F.sum("bytes_out").alias("total_outbound_bytes"))
         .where(F.col("total_outbound_bytes") > min_bytes)
     )
@@ -109,7 +110,7 @@ def hunt_005(df: DataFrame, now: Column, hours: int = 6, min_count: int = 50) ->
     span = (F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / 1e6
     return (
         _outbound_web(df, now, hours)
-        .groupBy("src_ip", "dst_ip")
+        .groupBy("tenant_id", "src_ip", "dst_ip")
         .agg(
             F.count("*").alias("connection_count"),
             F.avg(age).alias("avg_age_sec"),
@@ -123,7 +124,7 @@ def hunt_006(df: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     rows = within(df, now, hours).where(
         (F.col("action") == "process_access") & (F.col("target_process") == "lsass.exe")
     )
-    return rows.groupBy("hostname", "process_name").agg(F.count("*").alias("access_count"))
+    return rows.groupBy("tenant_id", "hostname", "process_name").agg(F.count("*").alias("access_count"))
 
 
 def hunt_007(df: DataFrame, now: Column, hours: int = 12) -> DataFrame:
@@ -131,14 +132,14 @@ def hunt_007(df: DataFrame, now: Column, hours: int = 12) -> DataFrame:
         (F.col("action") == "process_creation")
         & (F.col("process_name").ilike("%schtasks.exe%") | F.col("command_line").ilike("%Register-ScheduledTask%"))
     )
-    return rows.select("hostname", "process_name", "command_line").distinct()
+    return rows.select("tenant_id", "hostname", "process_name", "command_line").distinct()
 
 
 def hunt_008(df: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     rows = within(df, now, hours).where(
         F.col("http_referrer").ilike("%mail%") | F.col("http_referrer").ilike("%outlook%")
     )
-    return rows.groupBy("src_ip", "url", "http_referrer").agg(F.count("*").alias("clicks"))
+    return rows.groupBy("tenant_id", "src_ip", "url", "http_referrer").agg(F.count("*").alias("clicks"))
 
 
 HUNTS = {
@@ -147,21 +148,71 @@ HUNTS = {
 }
 
 
+def _hits(df: DataFrame, now: Column, hours: int | None) -> DataFrame:
+    """One row per event and template it can count for: template, tenant_id, entity, two further keys, a value to count, and measures."""
+    src, dst = is_internal(F.col("src_ip")), is_internal(F.col("dst_ip"))
+    login = F.col("action").isin(LOGINS)
+    web = F.col("dst_port").isin(80, 443) & src & ~dst
+    task = F.col("process_name").ilike("%schtasks.exe%") | F.col("command_line").ilike("%Register-ScheduledTask%")
+    mail = F.col("http_referrer").ilike("%mail%") | F.col("http_referrer").ilike("%outlook%")
+    none = F.lit(None)
+    # condition, entity, further keys, value whose distinct number counts
+    shapes = {
+        "HUNT-001": (login & (F.col("outcome") == "success"), "user_id", (none, none), F.col("geo_country")),
+        "HUNT-002": (login, "src_ip", (none, none), none),
+        "HUNT-003": ((F.col("dst_port") == 445) & src & dst, "src_ip", (none, none), F.col("dst_ip")),
+        "HUNT-004": (web, "src_ip", (F.col("dst_ip"), none), none),
+        "HUNT-005": (web, "src_ip", (F.col("dst_ip"), none), none),
+        "HUNT-006": ((F.col("action") == "process_access") & (F.col("target_process") == "lsass.exe"), "hostname", (F.col("process_name"), none), none),
+        "HUNT-007": ((F.col("action") == "process_creation") & task, "hostname", (F.col("process_name"), F.col("command_line")), none),
+        "HUNT-008": (mail, "src_ip", (F.col("url"), F.col("http_referrer")), none),
+    }
+    entries = []
+    for hid, *_, lookback in TEMPLATES:
+        cond, entity, (k2, k3), value = shapes[hid]
+        recent = F.col("timestamp") >= now - F.make_interval(hours=F.lit(hours or lookback))
+        fields = [F.col(entity).alias("entity"), k2.alias("k2"), k3.alias("k3"), value.alias("value")]
+        entries.append(F.when(cond & recent, F.struct(F.lit(hid).alias("template"), *[f.cast("string") for f in fields])))
+    longest = hours or max(t[-1] for t in TEMPLATES)
+    named = ["template", "entity", "k2", "k3", "value"]
+    found = F.array_compact(F.array(*[e.cast("struct<" + ",".join(f"{n}:string" for n in named) + ">") for e in entries]))
+    measures = ["tenant_id", "timestamp", "bytes_out", "outcome"]
+    return within(df, now, longest).select(*measures, F.explode(found).alias("h")).select(*measures, "h.*")
+
+
 def run_hunts(df: DataFrame, now: Column, hours: int | None = None, **overrides: dict) -> DataFrame:
-    """All templates as decision rows, one per hit."""
-    out = None
-    for hid, name, tactic, confidence, default_hours in TEMPLATES:
-        hits = HUNTS[hid](df, now, hours or default_hours, **overrides.get(hid.replace("-", "_").lower(), {}))
-        ids = [F.col(c).cast("string") for c in ("src_ip", "user_id", "hostname") if c in hits.columns]
-        rows = hits.select(
-            F.coalesce(*[F.when(c != "", c) for c in ids], F.lit("unknown")).alias("entity"),
-            F.lit(hid).alias("template"),
-            F.lit(tactic).alias("tactic"),
-            F.lit("approve" if confidence == "high" else "pending").alias("decision"),
-            F.concat(F.lit(f"Hunt Match [{tactic}]: {name}. Entity: "), F.coalesce(*ids, F.lit("unknown"))).alias("comment"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """All templates as decision rows, one per hit, from one scan of the events.
+
+    Events are counted per template, tenant, keys and value first, which combines before the shuffle; the values are
+    counted after it. ``overrides`` change the thresholds of a template by its function's argument names.
+    """
+    keys = ["template", "tenant_id", "entity", "k2", "k3"]
+    first = _hits(df, now, hours).groupBy(*keys, "value").agg(
+        F.count("*").alias("n"), F.count_if(F.col("outcome") == "failure").alias("bad"), F.count_if(F.col("outcome") == "success").alias("good"),
+        F.sum("bytes_out").alias("bytes"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"),
+    )
+    group = first.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("value").alias("values"), F.sum("bytes").alias("bytes"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+    )
+    arg = lambda hid, name, default: overrides.get(hid.replace("-", "_").lower(), {}).get(name, default)
+    hours_apart = F.timestamp_diff("HOUR", F.date_trunc("hour", "lo"), F.date_trunc("hour", "hi"))
+    limits = {
+        "HUNT-001": (F.col("values") > 1) & (hours_apart <= arg("HUNT-001", "max_span_hours", 2)),
+        "HUNT-002": (F.col("bad") > arg("HUNT-002", "failures", 5)) & (F.col("good") > 0),
+        "HUNT-003": F.col("values") >= arg("HUNT-003", "fan_out", 5),
+        "HUNT-004": F.col("bytes") > arg("HUNT-004", "min_bytes", 10_485_760),
+        "HUNT-005": F.col("n") > arg("HUNT-005", "min_count", 50),
+    }
+    kept = F.lit(True)
+    for hid, test in limits.items():
+        kept = F.when(F.col("template") == hid, test).otherwise(kept)
+    dim = {hid: (name, tactic, "approve" if confidence == "high" else "pending") for hid, name, tactic, confidence, _ in TEMPLATES}
+    of = lambda i: F.create_map(*[F.lit(x) for hid, t in dim.items() for x in (hid, t[i])])[F.col("template")]
+    return group.where(kept).select(
+        "tenant_id", F.coalesce(F.when(F.col("entity") != "", F.col("entity")), F.lit("unknown")).alias("entity"), "template", of(1).alias("tactic"), of(2).alias("decision"),
+        F.concat(F.lit("Hunt Match ["), of(1), F.lit("]: "), of(0), F.lit(". Entity: "), F.coalesce("entity", F.lit("unknown"))).alias("comment"),
+    )
 
 
 # ---- predicates ------------------------------------------------------------------------------

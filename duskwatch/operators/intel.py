@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskwatch.functions.text import norm_hostname, norm_ip, norm_username
 from duskwatch.operators.segments import segmented
@@ -54,7 +58,10 @@ IOC_SCHEMA = "indicator string, itype string, threat_type string, threat_name st
 
 #: substring dimensions up to this many rows are folded into the plan as literals
 LITERAL_LIMIT = 1_000
+#: bytes of a needle that are looked up; with its length they fit one number
 GRAM = 6
+#: grams of needles up to which tasks get their list; 8 bytes each
+LISTED_GRAMS = 4_000_000
 
 
 def embedded_iocs(spark: SparkSession) -> DataFrame:
@@ -85,9 +92,10 @@ def contains_join(events: DataFrame, text: Column, dim: DataFrame, needle: str =
     """Rows of ``events`` × ``dim`` where ``needle`` is a substring of ``text``, without a nested loop.
 
     Empty and null needles match nothing, at any size. A small dimension (size checked) becomes
-    literals tested in one pass. A larger one is joined by equality on grams: a needle of GRAM or
-    more characters can only occur where its first GRAM characters occur, and shorter needles are
-    looked up by their full text at each length present. Both give the same rows.
+    literals tested in one pass. A larger one is found by grams: a needle of GRAM or more bytes can
+    only occur where its first GRAM bytes occur, and a shorter one where all of it does. Up to ``LISTED_GRAMS`` of these are
+    broadcast, and tasks pass on only rows that hold one, once per gram; with more, the distinct texts are joined by their
+    grams. What is passed on is verified. All ways give the same rows.
     """
     dim = dim.where(F.length(needle) > 0)
     rows = dim.limit(LITERAL_LIMIT + 1).collect()
@@ -100,19 +108,67 @@ def contains_join(events: DataFrame, text: Column, dim: DataFrame, needle: str =
         )
         hits = F.filter(values, lambda d: F.contains(text, d[needle]))
         return events.withColumn("_d", F.explode(hits)).select(*events.columns, *[f"_d.{c}" for c in names])
-    keyed = dim.withColumn("_gram", F.substring(needle, 1, GRAM))
-    lengths = sorted(
-        r[0] for r in keyed.select(F.length("_gram").alias("n")).distinct().where("n > 0").collect()
-    )
+    head = F.substring(F.col(needle).cast("binary"), 1, GRAM)
+    keyed = dim.withColumn("_gram", _gram_code(head))
+    grams = keyed.select("_gram").distinct()
+    listed = grams.limit(LISTED_GRAMS + 1).toArrow().column("_gram").to_numpy()
     hay = events.withColumn("_text", text)
-
-    def grams_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("_text") - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(F.col("_text"), i, F.lit(n)))
-
-    grams = [grams_of(n) for n in lengths]
-    probes = hay.withColumn("_gram", F.explode(F.array_distinct(F.concat(*grams))))
-    return probes.join(keyed, "_gram").where(F.contains(F.col("_text"), F.col(needle))).drop("_gram", "_text")
+    kept = events.columns
+    if len(listed) <= LISTED_GRAMS:
+        shared = events.sparkSession.sparkContext.broadcast(np.sort(listed))
+        schema = T.StructType([*hay.schema.fields, T.StructField("_gram", T.LongType())])
+        probes = hay.where(F.col("_text").isNotNull()).mapInArrow(_gram_rows(shared, None), schema)
+    else:
+        texts = hay.where(F.col("_text").isNotNull()).select("_text").distinct()
+        schema = T.StructType([T.StructField("_text", T.StringType()), T.StructField("_gram", T.LongType())])
+        lengths = [r[0] for r in keyed.select(F.least(F.octet_length(needle), F.lit(GRAM))).distinct().collect()]
+        found = texts.mapInArrow(_gram_rows(None, lengths), schema).join(keyed, "_gram").where(F.contains(F.col("_text"), F.col(needle)))
+        return hay.join(found.drop("_gram"), "_text").select(*kept, *dim.columns)
+    return probes.join(keyed, "_gram").where(F.contains(F.col("_text"), F.col(needle))).select(*kept, *dim.columns)
+
+
+def _gram_code(head: Column) -> Column:
+    """The first bytes of a needle as one number: their length, then the bytes."""
+    return F.conv(F.concat(F.hex(F.octet_length(head)), F.rpad(F.hex(head), 2 * GRAM, "0")), 16, 10).cast("long")
+
+
+def _gram_rows(shared, lengths):
+    """Rows of a batch once per distinct gram of ``_text``: those in the broadcast list, or all of the given lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if shared is None else shared.value
+        sizes = lengths if wanted is None else sorted(set((wanted >> (8 * GRAM)).tolist()))
+        for batch in batches:
+            for low in range(0, len(batch), 2_000):
+                part = batch.slice(low, 2_000)
+                row, gram = _grams_of(part.column("_text"), sizes, wanted)
+                # few texts hold a listed gram; with all grams the output is cut
+                for at in range(0, len(row), 100_000):
+                    picked = part.take(pa.array(row[at : at + 100_000]))
+                    yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(gram[at : at + 100_000])], [*part.schema.names, "_gram"])
+
+    return run
+
+
+def _grams_of(column: pa.Array, sizes: list[int], wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of the distinct grams of each text."""
+    texts = [x.as_py().encode() for x in column]
+    ends = np.cumsum([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts) + bytes(GRAM), np.uint8)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    left = ends[owner] - np.arange(len(owner))
+    rows, codes = [], []
+    for size in sizes:
+        code = np.full(len(owner), size, np.int64)
+        for k in range(GRAM):
+            code = (code << 8) | (data[k : k + len(owner)] if k < size else 0)
+        keep = left >= size
+        if wanted is not None and len(wanted):
+            keep &= wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code
+        pair = np.unique(np.stack([owner[keep], code[keep]]), axis=1)
+        rows.append(pair[0])
+        codes.append(pair[1])
+    return (np.concatenate(rows), np.concatenate(codes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def match_ioc_domain(events: DataFrame, iocs: DataFrame) -> DataFrame:
@@ -253,6 +309,12 @@ def cve_ids(limit: int | None = None) -> Column:
     return ids if limit is None else F.slice(ids, 1, limit)
 
 
+def _one_per_key(dim: DataFrame, key: str) -> DataFrame:
+    """One row per key: of several the smallest by its JSON text, so that reruns agree."""
+    rest = [c for c in dim.columns if c != key]
+    return dim.groupBy(key).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_r")).select(key, "_r.*")
+
+
 def enrich_cve(events: DataFrame, cves: DataFrame, limit: int | None = None) -> DataFrame:
     """CVE context array per event, of all ids it names or the first ``limit``.
 
@@ -262,7 +324,7 @@ def enrich_cve(events: DataFrame, cves: DataFrame, limit: int | None = None) ->
     tagged = events.withColumn("_ids", cve_ids(limit))
     ids = tagged.where(F.size("_ids") > 0).select("_ids").distinct().select("_ids", F.explode("_ids").alias("cve_id"))
     ctx = (
-        ids.join(cves.dropDuplicates(["cve_id"]), "cve_id")
+        ids.join(_one_per_key(cves, "cve_id"), "cve_id")
         .groupBy("_ids")
         .agg(F.array_sort(F.collect_list(F.struct("cve_id", *[c for c in cves.columns if c != "cve_id"])))
              .alias("cve_context"))
@@ -282,7 +344,7 @@ def enrich_exposure(events: DataFrame, exposures: DataFrame) -> DataFrame:
     ip = F.coalesce(F.when(F.col("src_ip") != "", F.col("src_ip")), F.when(F.col("dst_ip") != "", F.col("dst_ip")))
     private = reduce(lambda a, b: a | b, [ip.startswith(p) for p in PRIVATE_PREFIXES])
     keyed = events.withColumn("_ip", F.when(~private, ip))
-    dim = exposures.dropDuplicates(["ip"]).withColumnRenamed("ip", "_ip").withColumn("_known", F.lit(True))
+    dim = _one_per_key(exposures, "ip").withColumnRenamed("ip", "_ip").withColumn("_known", F.lit(True))
     out = keyed.join(dim, "_ip", "left")
     return out.withColumn("exposed_ip", F.col("_ip")).withColumn(
         "is_exposed", F.when(F.col("_ip").isNotNull(), F.coalesce("_known", F.lit(False)))

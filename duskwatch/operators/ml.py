@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, PCAModel, StringIndexer
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions.scoring import bind
+from duskwatch.operators.segments import MAX_ROWS_PER_KEY, segmented
 
 # Attack classes, and the classes whose rows weigh three times as much.
 ATTACK_CLASSES = [
@@ -118,37 +121,43 @@ def halfspace_leaves(features: Column, low: list[float], high: list[float], tree
     return bind(features, lambda f: F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: leaf(f, t)))
 
 
+def window_numbers(df: DataFrame, size: int, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
+    """Add ``_w``: which run of ``size`` events of its tenant, in order of time and id, a row belongs to."""
+    seg = segmented(df.withColumn("_us", F.unix_micros("timestamp")), ["tenant_id"], ["_us", "event_id"], max_rows).running(sums={"_pos": F.lit(1)})
+    return seg.rows.withColumn("_w", F.floor((F.col("_pos") - 1) / size)).drop("_us", "_pos")
+
+
 def halfspace_anomaly(
-    df: DataFrame, low: list[float], high: list[float], width: str = "day", trees: int = 25, height: int = 8, seed: int = 42,
-    cold_start: int = 500,
+    df: DataFrame, low: list[float], high: list[float], window: int = 1000, trees: int = 25, height: int = 8, seed: int = 42,
+    cold_start: int = 500, max_rows: int = MAX_ROWS_PER_KEY,
 ) -> DataFrame:
-    """Rarity of an event's leaves in the window before: score first, learn later.
+    """Rarity of an event's leaves among the ``window`` events of its tenant before its own window: score first, learn later.
 
-    Leaf masses are counted per time window with map-side combining. A window's profile is one
-    array of trees × 2^height counts, joined to the next window's events by window.
+    A window of events meets the leaves of the one before it in one task; both hold at most ``window`` rows, so a busy tenant
+    is as many groups as it has windows. The first window scores 0, a short one before is damped.
     """
     size = 2**height
-    leaf = df.withColumns(
-        {"_w": F.date_trunc(width, "timestamp"), "_leaves": halfspace_leaves(F.col("features"), low, high, trees, height, seed)}
-    )
-    counted = leaf.select("_w", F.posexplode("_leaves").alias("t", "leaf")).groupBy("_w", (F.col("t") * size + F.col("leaf")).alias("slot")).agg(
-        F.count("*").alias("n")
-    )
-    # every slot once per window, so that a profile is a dense array looked up by position
-    blank = counted.select("_w").distinct().select("_w", F.explode(F.sequence(F.lit(0), F.lit(trees * size - 1))).alias("slot"), F.lit(0).cast("long").alias("n"))
-    mass = counted.unionByName(blank).groupBy("_w", "slot").agg(F.sum("n").alias("n"))
-    step = F.expr(f"INTERVAL 1 {width.upper()}")
-    profile = mass.groupBy((F.col("_w") + step).alias("_w")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("_mass"), (F.sum("n") / trees).alias("_seen")
-    )
-    joined = leaf.join(profile, "_w", "left")
-    rarity = F.transform(
-        F.col("_leaves"),
-        lambda x, t: 1.0 / (1.0 + F.coalesce(F.get(F.col("_mass"), t * size + x), F.lit(0)) * float(size) / F.col("_seen") / 8.0),
-    )
-    mean = F.aggregate(rarity, F.lit(0.0), lambda a, x: a + x) / trees
-    damp = F.least(F.col("_seen") / cold_start, F.lit(1.0))
-    return joined.withColumn("hst_anomaly_score", F.coalesce(mean * damp, F.lit(0.0))).drop("_w", "_leaves", "_mass", "_seen")
+    leaves = window_numbers(df, window, max_rows).withColumn("_leaves", halfspace_leaves(F.col("features"), low, high, trees, height, seed))
+    key = F.coalesce("tenant_id", F.lit("")).alias("_t"), F.col("tenant_id").isNull().alias("_none")
+    own = leaves.select(*key, "_w", "_leaves", "event_id", F.unix_micros("timestamp").alias("_us"))
+    before = own.select(F.col("_t").alias("_t1"), F.col("_none").alias("_none1"), (F.col("_w") + 1).alias("_w1"), F.col("_leaves").alias("_past"))
+
+    def score(now: pa.Table, past: pa.Table) -> pa.Table:
+        at = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(-1, trees) + np.arange(trees) * size
+        seen = past.num_rows
+        value = np.zeros(now.num_rows)
+        if now.num_rows and seen:
+            mass = np.bincount(at(past, "_past").ravel(), minlength=trees * size)
+            value = (1.0 / (1.0 + mass[at(now, "_leaves")] * size / seen / 8.0)).mean(axis=1) * min(seen / cold_start, 1.0)
+        return pa.table({"event_id": now["event_id"], "_us": now["_us"], "_t": now["_t"], "_none": now["_none"], "hst_anomaly_score": value})
+
+    kind = df.schema["event_id"].dataType.simpleString()
+    keys = ["_t", "_none", "_w"]
+    scored = own.groupBy(*keys).cogroup(before.groupBy("_t1", "_none1", "_w1")).applyInArrow(score, f"event_id {kind}, _us long, _t string, _none boolean, hst_anomaly_score double")
+    # rows equal in tenant, time and id have one score
+    scored = scored.groupBy("event_id", "_us", "_t", "_none").agg(F.max("hst_anomaly_score").alias("hst_anomaly_score"))
+    keyed = df.withColumns({"_t": key[0], "_none": key[1], "_us": F.unix_micros("timestamp")})
+    return keyed.join(scored, ["event_id", "_us", "_t", "_none"], "left").select(*df.columns, "hst_anomaly_score")
 
 
 def feature_ranges(df: DataFrame) -> tuple[list[float], list[float]]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions.text import severity_rank
+from duskwatch.operators.segments import segmented
 
 
 def newest(df: DataFrame, n: int) -> DataFrame:
@@ -221,6 +222,27 @@ def stack_metrics(*parts: DataFrame) -> DataFrame:
     return long.agg(*[F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in names])
 
 
+def hunt_history(hunts: DataFrame, tenant: str, user: str, limit: int = 20) -> DataFrame:
+    """An analyst's last hunts. ``hunts``: id, tenant_id, user_id, query_text, query_mode, uql_output, result_count, executed_at."""
+    rows = latest(hunts, "executed_at", "id", limit, tenant_id=tenant, user_id=user)
+    return rows.select("id", "query_text", "query_mode", "uql_output", "result_count", "executed_at")
+
+
+def latest_cases(cases: DataFrame, tenant: str, limit: int = 50) -> DataFrame:
+    """A tenant's newest cases: tenant_id, case_id, created_at, severity, status, title."""
+    return latest(cases, "created_at", "case_id", limit, tenant_id=tenant).select("tenant_id", "case_id", "created_at", "severity", "status", "title")
+
+
+def latest_alerts(alerts: DataFrame, tenant: str, limit: int = 100) -> DataFrame:
+    """A tenant's newest alerts: tenant_id, alert_id, created_at, event_id, ml_score, severity."""
+    return latest(alerts, "created_at", "alert_id", limit, tenant_id=tenant).select("tenant_id", "alert_id", "created_at", "event_id", "ml_score", "severity")
+
+
+def reports_list(reports: DataFrame, tenant: str, limit: int = 50) -> DataFrame:
+    """A tenant's newest reports: id, report_name, report_type, generated_by, file_size_bytes, created_at."""
+    return latest(reports, "created_at", "id", limit, tenant_id=tenant).select("id", "report_name", "report_type", "generated_by", "file_size_bytes", "created_at")
+
+
 def latest_verdict_share(verdicts: DataFrame, n: int = 100) -> DataFrame:
     latest = verdicts.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
     return latest.agg(
@@ -507,6 +529,23 @@ def timeline_by_entity(events: DataFrame) -> DataFrame:
     )
 
 
+def timeline_points(events: DataFrame) -> DataFrame:
+    """The points of each entity's timeline as rows, numbered by time within (entity, sequence).
+
+    Points are rows, so an entity may have any number; the numbering is cut into segments when one is hot.
+    """
+    keys = ["tenant_id", "entity", "cep_sequence_id"]
+    rows = events.select("tenant_id", F.col("src_ip").alias("entity"), "cep_sequence_id", "tactic", "timestamp", "event_id", F.unix_micros("timestamp").alias("_us"))
+    return segmented(rows, keys, ["_us", "event_id"]).running(sums={"point": F.lit(1)}).rows.drop("_us")
+
+
+def timeline_entities(events: DataFrame) -> DataFrame:
+    """Distinct entities per tenant and sequence, with their first and last point."""
+    return events.where("src_ip IS NOT NULL").groupBy("tenant_id", "cep_sequence_id", F.col("src_ip").alias("entity")).agg(
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count("*").alias("points")
+    )
+
+
 def throughput(events: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Event counts per window, source and severity, with latency percentiles."""
     win = F.window("timestamp", width, slide) if slide else F.window("timestamp", width)
@@ -514,3 +553,27 @@ def throughput(events: DataFrame, width: str = "1 hour", slide: str | None = Non
         F.count("*").alias("events"),
         F.percentile_approx("duration_ms", F.array(F.lit(0.95), F.lit(0.99))).alias("latency"),
     )
+
+
+#: Size parameter of the latency sketches; the rank of a quantile is off by about 1.65 / SKETCH_K at 99 % confidence.
+SKETCH_K = 400
+
+
+def latency_minutes(rows: DataFrame, dims: list[str], value: str = "duration_ms") -> DataFrame:
+    """Per minute and dimensions (source, severity, status; step; method, endpoint): count, sum, maximum and a quantile sketch of ``value``.
+
+    Sketches merge, so this table serves every wider or sliding window; it works on a stream with a watermark as well.
+    """
+    return rows.groupBy(F.window("timestamp", "1 minute").alias("_w"), *dims).agg(
+        F.count("*").alias("events"), F.sum(value).alias("total"), F.max(value).alias("longest"), F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_K).alias("sketch")
+    ).withColumn("minute", F.col("_w.start")).drop("_w")
+
+
+def latency_rollup(minutes: DataFrame, dims: list[str], width: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts, mean, maximum and the 95 and 99 % quantiles per window and dimensions, from the sketches of its minutes."""
+    win = F.window("minute", width, slide) if slide else F.window("minute", width)
+    out = minutes.groupBy(win.alias("w"), *dims).agg(
+        F.sum("events").alias("events"), (F.sum("total") / F.sum("events")).alias("mean"), F.max("longest").alias("longest"),
+        F.kll_merge_agg_double("sketch", SKETCH_K).alias("_sketch"),
+    )
+    return out.withColumns({f"p{p}": F.kll_sketch_get_quantile_double("_sketch", F.lit(p / 100)) for p in (95, 99)}).drop("_sketch")

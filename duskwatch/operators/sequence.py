@@ -189,20 +189,67 @@ def tenant_patterns(rules: DataFrame, tenants: DataFrame, defaults: Sequence[str
     return active.unionByName(fallback)
 
 
-def patterns_from_rules(rules: DataFrame) -> dict[str, list[Pattern]]:
-    """Active tenant rules as patterns. Rules are configuration, so the table is small; size checked."""
-    rows = rules.where("is_active").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10000 active sequence rules")
-    out: dict[str, list[Pattern]] = {}
-    for r in rows:
-        stages = tuple(
-            Stage(s["name"], s["tactic"], s["min_ml_score"] or 0.0, s["technique_prefix"]) for s in r["stages"]
-        )
-        out.setdefault(r["tenant_id"], []).append(
-            Pattern(r["id"], r["name"], stages, r["max_span_seconds"], r["severity"], r["mitre_tactic"])
-        )
-    return out
+STAGE_COLUMNS = "tenant_id string, pattern_id string, pattern_name string, severity string, mitre_tactic string, stages int, span_us bigint, at int, tactic string, technique_prefix string, min_score double"
+
+
+def pattern_stages(rules: DataFrame, defaults: Sequence[Pattern] = tuple(ATTACK_PATTERNS)) -> DataFrame:
+    """A row per stage of all active tenant rules, and of the default patterns under a null tenant. Any number of rules.
+
+    ``rules`` holds id, tenant_id, name, stages (array of name, tactic, technique_prefix, min_ml_score),
+    max_span_seconds, severity, mitre_tactic and is_active; rules without a tenant or stages are ignored.
+    """
+    own = rules.where("is_active AND tenant_id IS NOT NULL AND size(stages) > 0").select(
+        "tenant_id", F.col("id").alias("pattern_id"), F.col("name").alias("pattern_name"), "severity", "mitre_tactic", F.size("stages").alias("stages"),
+        (F.col("max_span_seconds").cast("long") * 1_000_000).alias("span_us"), F.posexplode("stages").alias("at", "s"),
+    )
+    none = lambda c: F.when(F.col(c) != "", F.col(c))
+    own = own.select(
+        "tenant_id", "pattern_id", "pattern_name", "severity", "mitre_tactic", "stages", "span_us", "at", F.lower(none("s.tactic")).alias("tactic"),
+        none("s.technique_prefix").alias("technique_prefix"), F.coalesce(F.col("s.min_ml_score").cast("double"), F.lit(0.0)).alias("min_score"),
+    )
+    rows = [
+        (None, p.id, p.name, p.severity, p.mitre_tactic, len(p.stages), p.max_span_seconds * 1_000_000, i, s.tactic and s.tactic.lower(), s.technique_prefix, float(s.min_score))
+        for p in defaults for i, s in enumerate(p.stages)
+    ]
+    return own.unionByName(rules.sparkSession.createDataFrame(rows, STAGE_COLUMNS))
+
+
+def table_hits(events: DataFrame, stages: DataFrame) -> DataFrame:
+    """What ``stage_hits`` gives, for patterns that are rows: events meet the stages of their tenant with one of their tactics.
+
+    Tenants with rules of their own do not use the defaults. Threshold and technique are tested after the join; the
+    planner broadcasts the stage table while it is small. Equal rows of an event count once.
+    """
+    scope = F.coalesce(F.concat(F.lit("t:"), F.col("tenant_id")), F.lit("default"))
+    table = stages.select(
+        scope.alias("_scope"), F.coalesce("tactic", F.lit("")).alias("_tactic"), "pattern_id", "stages", "span_us", "at", "technique_prefix", "min_score"
+    )
+    own = stages.where("tenant_id IS NOT NULL").select("tenant_id").distinct().withColumn("_own", F.lit(True))
+    named = F.filter(F.transform("mitre_predictions", lambda p: F.lower(p["tactic"])), lambda t: t.isNotNull() & (t != ""))
+    # a stage without a tactic stands under the empty one, which every event has
+    tactics = F.array_distinct(F.concat(F.coalesce(named, F.array().cast("array<string>")), F.array(F.lit(""))))
+    rows = events.where("meta_score IS NOT NULL").join(own, "tenant_id", "left").select(
+        "tenant_id", F.coalesce("entity", "tenant_id").alias("entity_key"), F.unix_micros("timestamp").alias("us"), "event_id", "meta_score",
+        F.col("mitre_predictions.technique_id").alias("_techniques"), F.when(F.col("_own"), scope).otherwise("default").alias("_scope"), F.explode(tactics).alias("_tactic"),
+    )
+    prefix = F.col("technique_prefix").isNull() | F.coalesce(F.exists("_techniques", lambda t: F.startswith(t, F.col("technique_prefix"))), F.lit(False))
+    hit = rows.join(table, ["_scope", "_tactic"]).where((F.col("meta_score") >= F.col("min_score")) & prefix)
+    return hit.groupBy("tenant_id", "entity_key", "us", "event_id", "pattern_id").agg(
+        F.max("meta_score").alias("meta_score"), F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("at"))).alias("mask"), F.max("stages").alias("stages"), F.max("span_us").alias("span_us")
+    )
+
+
+def match_sequence_rules(events: DataFrame, stages: DataFrame, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
+    """``match_sequence`` for patterns given as rows, see ``pattern_stages``."""
+    fired = ordered_fold(table_hits(events, stages), KEYS, ORDER, FOLD_COLS, (0, 0), advance, "span_us bigint", max_rows)
+    own = F.coalesce(F.concat(F.lit("t:"), F.col("tenant_id")), F.lit("default"))
+    dim = stages.where("at = 0").select(own.alias("_scope"), "pattern_id", "pattern_name", "severity", "mitre_tactic", F.col("stages").alias("stage_count"))
+    mine = stages.where("tenant_id IS NOT NULL").select("tenant_id").distinct().withColumn("_own", F.lit(True))
+    named = fired.join(mine, "tenant_id", "left").withColumn("_scope", F.when(F.col("_own"), own).otherwise("default"))
+    return (
+        named.join(dim, ["_scope", "pattern_id"]).withColumn("span_seconds", F.round(F.col("span_us") / 1e6, 1))
+        .withColumnRenamed("event_id", "triggering_event_id").drop("span_us", "_scope", "_own")
+    )
 
 
 def publish_sequences(alerts: DataFrame) -> DataFrame:

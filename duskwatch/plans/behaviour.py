@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import features as FE
 from duskwatch.functions import scoring as S
+from duskwatch.operators import baseline as BL
 from duskwatch.operators import campaigns as C
 from duskwatch.operators import sequence as Q
 from duskwatch.operators import state as ST
@@ -273,6 +274,20 @@ def _(spark, sf_dir):
     return sec_events(spark, sf_dir).select("event_id", F.round(S.ood_score(F.array(*_streams())), 6).alias("ood"))
 
 
+_MV = (
+    _SC + ", m AS (SELECT avg(s1) AS m1, avg(s2) AS m2, var_samp(s1) AS v11, var_samp(s2) AS v22, covar_samp(s1, s2) AS v12 FROM sc), d AS (SELECT event_id, sqrt((v22 * (s1 - m1) * (s1 - m1) - 2 * "
+    "v12 * (s1 - m1) * (s2 - m2) + v11 * (s2 - m2) * (s2 - m2)) / (v11 * v22 - v12 * v12)) AS dist FROM sc, m)"
+)
+
+
+@SUITE.query("ood_mahalanobis", _MV + " SELECT event_id, round(least(1, greatest(0, (dist - 1.5 * sqrt(3)) / sqrt(3))), 6) AS ood FROM d")
+def _(spark, sf_dir):
+    """Two correlated scores and a constant third dimension, which makes the covariance singular."""
+    ev = sec_events(spark, sf_dir).select("event_id", F.array(*_streams()[:2], F.lit(0.25)).alias("features"))
+    baseline = BL.fit_baseline(ev)
+    return ev.select("event_id", F.round(BL.ood_score(F.col("features"), baseline), 6).alias("ood"))
+
+
 @SUITE.query("adversarial_composite", _EVA + f" SELECT event_id, round(greatest(temporal_score, evasion, {_OOD}), 6) AS score FROM e")
 def _(spark, sf_dir):
     ev = ST.events_before(entities(spark, sf_dir).select("tenant_id", "entity", "timestamp", "event_id", "k", "meta_score", "temporal_score"))
@@ -345,6 +360,27 @@ def _(spark, sf_dir):
     return m.select("tenant_id", "entity_key", "pattern_id", "triggering_event_id", "span_seconds", "stage_count")
 
 
+def sequence_rules(spark, sf_dir):
+    """The patterns as rows, as tenant-1's own rules; the other tenants use the defaults."""
+    stage = "struct<name:string,tactic:string,technique_prefix:string,min_ml_score:double>"
+    rows = [("tenant-1", p.id, p.name, [(s.name, s.tactic, s.technique_prefix or "", s.min_score) for s in p.stages], p.max_span_seconds, p.severity, p.mitre_tactic, True) for p in PATTERNS[:3]]
+    rows += [("tenant-1", "off", "off", [], 1, "LOW", "", False)]
+    return spark.createDataFrame(
+        rows, f"tenant_id string, id string, name string, stages array<{stage}>, max_span_seconds int, severity string, mitre_tactic string, is_active boolean"
+    )
+
+
+@SUITE.query(
+    "match_sequence_rules",
+    _SEQ + " SELECT tenant_id, entity_key, pattern_id, event_id AS triggering_event_id, round(span / 1e6, 1) AS span_seconds, 3 AS stage_count FROM w "
+    "WHERE fired AND (tenant_id <> 'tenant-1' OR pattern_id IN (" + ", ".join(f"'{p.id}'" for p in PATTERNS[:3]) + "))",
+)
+def _(spark, sf_dir):
+    stages = Q.pattern_stages(sequence_rules(spark, sf_dir), PATTERNS)
+    m = Q.match_sequence_rules(sequence_events(spark, sf_dir), stages)
+    return m.select("tenant_id", "entity_key", "pattern_id", "triggering_event_id", "span_seconds", "stage_count")
+
+
 @SUITE.query(
     "sequence_progress",
     _SEQ + f", l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY tenant_id, entity_key, pattern_id ORDER BY rn DESC) = 1) SELECT tenant_id, "

@@ -8,7 +8,9 @@ from duskwatch.operators import graph as G
 from duskwatch.plans.base import NOW, SEC, Suite, sec_events, table
 from duskwatch.plans.side import AUDIT_SQL, audit
 from duskwatch.schema import flatten_events, validate_events
+from duskwatch.session import shared_folder
 from duskwatch.sources import feeds, normalize as N, ocsf as O, tables as TB
+from duskwatch.sources.current import CurrentTable
 
 SUITE = Suite()
 
@@ -577,14 +579,66 @@ def _(spark, sf_dir):
 # ---- tables ----
 
 
+_EVENT_COLUMNS = ["event_id", "tenant_id", "timestamp", "source_type", "severity", "action", "src_ip", "dst_ip", "meta_score", "message"]
+
+
+def stored_events(spark, sf_dir):
+    """Path of an event table written in two batches below the shared folder."""
+    path = shared_folder(spark, "events")
+    ev = sec_events(spark, sf_dir).select(*_EVENT_COLUMNS)
+    for half in (0, 1):
+        TB.write_events(ev.where(F.col("event_id") % 2 == half), path)
+    return path
+
+
+@SUITE.query(
+    "write_events",
+    SEC + " SELECT event_id, severity, message, epoch_us(timestamp) AS us, strftime(timestamp, '%Y%m')::INT AS month FROM sec",
+)
+def _(spark, sf_dir):
+    back = TB.read_events(spark, stored_events(spark, sf_dir))
+    return back.select("event_id", "severity", "message", F.unix_micros("timestamp").alias("us"), F.col("month").cast("int").alias("month"))
+
+
 @SUITE.query(
     "read_events",
     SEC + " SELECT event_id, severity FROM sec WHERE tenant_id = 'tenant-2' AND timestamp >= TIMESTAMP '2024-01-20 00:00:00' AND timestamp < TIMESTAMP '2024-01-25 00:00:00'",
 )
 def _(spark, sf_dir):
-    ev = sec_events(spark, sf_dir).where("tenant_id = 'tenant-2'")
-    lo, hi = (F.lit(d).cast("timestamp") for d in ("2024-01-20", "2024-01-25"))
-    return ev.where((F.col("timestamp") >= lo) & (F.col("timestamp") < hi)).select("event_id", "severity")
+    return TB.read_events(spark, stored_events(spark, sf_dir), "tenant-2", "2024-01-20", "2024-01-25").select("event_id", "severity")
+
+
+@SUITE.query(
+    "current_table",
+    SEC + " SELECT tenant_id, src_ip, arg_max(event_id, (epoch_us(timestamp), event_id)) AS event_id, arg_max(severity, (epoch_us(timestamp), event_id)) AS severity FROM sec GROUP BY 1, 2",
+)
+def _(spark, sf_dir):
+    """Three batches that touch the same keys are merged, the second one twice."""
+    table = CurrentTable(
+        spark, shared_folder(spark, "current"), "tenant_id string, src_ip string, event_id bigint, timestamp timestamp, severity string", ["tenant_id", "src_ip"], ["timestamp", "event_id"]
+    )
+    ev = sec_events(spark, sf_dir)
+    for batch in (1, 2, 2, 3):
+        table.merge(ev.where(F.col("event_id") % 3 == batch - 1), batch)
+    return table.read().select("tenant_id", "src_ip", "event_id", "severity")
+
+
+@SUITE.query(
+    "read_flow_csv",
+    SEC + " SELECT event_id::DOUBLE AS packets, src_port::DOUBLE AS f0, dst_port::DOUBLE AS f1, CASE WHEN k % 5 > 2 THEN value ELSE 0 END AS f8, 76 AS dim, CASE k % 4 WHEN 0 THEN 'dos' WHEN 1 THEN 'port_scan' "
+    "ELSE 'benign' END AS attack_class FROM sec",
+)
+def _(spark, sf_dir):
+    """Two day files with differing headers, written and read as CSV."""
+    path, rows = shared_folder(spark, "flows"), flows(spark, sf_dir)
+    halves = [rows.where(F.col("`Total Fwd Packets `").cast("long") % 2 == half) for half in (0, 1)]
+    halves[1] = halves[1].toDF(*[c.strip() for c in rows.columns])
+    paths = [f"{path}/day{i}" for i in (0, 1)]
+    for half, to in zip(halves, paths):
+        half.write.csv(to, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    v = feeds.read_flow_csv(spark, paths)
+    f = F.col("features")
+    return v.select(f[4].alias("packets"), f[0].alias("f0"), f[1].alias("f1"), f[8].alias("f8"), F.size(f).alias("dim"), "attack_class")
 
 
 @SUITE.query("apply_retention", SEC + f" SELECT event_id FROM sec WHERE timestamp >= {NOW} - INTERVAL 10 DAY")
@@ -607,6 +661,9 @@ def _(spark, sf_dir):
     return TB.purge_audit(audit(spark, sf_dir), F.expr(NOW), 10)[1]
 
 
-@SUITE.query("write_report_csv", SEC + " SELECT event_id, source_type, severity, action FROM sec ORDER BY timestamp DESC, event_id DESC LIMIT 200")
+@SUITE.query("write_report_csv", SEC + " SELECT event_id, source_type, severity, action, message, meta_score FROM sec ORDER BY timestamp DESC, event_id DESC LIMIT 200")
 def _(spark, sf_dir):
-    return TB.report_rows(sec_events(spark, sf_dir), 200).select("event_id", "source_type", "severity", "action")
+    path = shared_folder(spark, "report")
+    TB.write_report_csv(sec_events(spark, sf_dir), path, 200)
+    back = spark.read.csv(path, header=True)
+    return back.select(F.col("event_id").cast("long").alias("event_id"), "source_type", "severity", "action", "message", F.col("meta_score").cast("double").alias("meta_score"))

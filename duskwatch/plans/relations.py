@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from duskwatch.functions import text as TX
 from duskwatch.functions import vectors as V
 from duskwatch.operators import evaluation as E
+from duskwatch.operators import retraining as RT
 from duskwatch.operators import graph as G
 from duskwatch.operators.hunts import hunt, p_ml
 from duskwatch.plans.base import SEC, Suite, sec_events, table
 from duskwatch.plans.side import RANK_SQL
+from duskwatch.session import shared_folder
 
 SUITE = Suite()
 
@@ -129,11 +131,12 @@ def _(spark, sf_dir):
 
 
 def _ring(spark, sf_dir):
-    """Directed edges between users' addresses: each user points at the two following ones."""
+    """Directed edges between users' addresses: each user points at two others. Tenant u has the same nodes and the edges of even users only."""
     users = sec_events(spark, sf_dir).select("user_id").distinct()
+    users = users.withColumn("tenant_id", F.lit("t")).unionByName(users.where("user_id % 2 = 0").withColumn("tenant_id", F.lit("u")))
     ends = F.array(F.concat(F.lit("n"), F.col("user_id") + 1), F.concat(F.lit("n"), F.col("user_id") * 2))
     return users.select(
-        F.lit("t").alias("tenant_id"), F.concat(F.lit("n"), "user_id").alias("source_entity"), F.explode(F.array_distinct(ends)).alias("target_entity")
+        "tenant_id", F.concat(F.lit("n"), "user_id").alias("source_entity"), F.explode(F.array_distinct(ends)).alias("target_entity")
     )
 
 
@@ -151,8 +154,8 @@ def _(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    e = _ring(spark, sf_dir).select(F.col("source_entity").alias("src"), F.col("target_entity").alias("dst"), F.lit("link").alias("type"))
-    n = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("label", F.lit("Host"))
+    e = _ring(spark, sf_dir).select("tenant_id", F.col("source_entity").alias("src"), F.col("target_entity").alias("dst"), F.lit("link").alias("type"))
+    n = e.select("tenant_id", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("label", F.lit("Host"))
     return n, e
 
 
@@ -164,20 +167,21 @@ _NB = (
 
 @SUITE.query("neighborhood_nodes", _NB + " SELECT id, hops FROM n")
 def _(spark, sf_dir):
-    return G.neighborhood(*_graph(spark, sf_dir), "n7", 2)[0].select("id", "hops")
+    return G.neighborhood(*_graph(spark, sf_dir), "t", "n7", 2)[0].select("id", "hops")
 
 
 @SUITE.query("neighborhood_edges", _NB + " SELECT DISTINCT s AS src, d AS dst FROM ring WHERE s IN (SELECT id FROM n WHERE hops < 2) OR d IN (SELECT id FROM n WHERE hops < 2)")
 def _(spark, sf_dir):
-    return G.neighborhood(*_graph(spark, sf_dir), "n7", 2)[1].select("src", "dst")
+    return G.neighborhood(*_graph(spark, sf_dir), "t", "n7", 2)[1].select("src", "dst")
 
 
 @SUITE.query(
     "node_degree",
-    f"WITH {_RING} SELECT id, count(*) AS degree FROM (SELECT s AS id FROM ring UNION ALL SELECT d FROM ring) GROUP BY 1",
+    f"WITH {_RING}, r AS (SELECT 't' AS tenant_id, s, d FROM ring UNION ALL SELECT 'u', s, d FROM ring WHERE substr(s, 2)::BIGINT % 2 = 0) SELECT tenant_id, id, count(*) AS degree "
+    "FROM (SELECT tenant_id, s AS id FROM r UNION ALL SELECT tenant_id, d FROM r) GROUP BY 1, 2",
 )
 def _(spark, sf_dir):
-    return G.node_degree(*_graph(spark, sf_dir)).select("id", "degree")
+    return G.node_degree(*_graph(spark, sf_dir)).select("tenant_id", "id", "degree")
 
 
 @SUITE.query(
@@ -314,18 +318,26 @@ def _(spark, sf_dir):
 
 
 def _buffer(spark, sf_dir):
-    return sec_events(spark, sf_dir).select(
-        "tenant_id", F.col("event_id").alias("id"), F.col("timestamp").alias("created_at"), F.when(F.col("value") > 30, F.col("ensemble_label")).alias("label"),
-        F.col("raw_log").alias("features_json"),
+    """Verdicts with the event's numbers as features; a third of the rows lacks a label or features."""
+    ev = sec_events(spark, sf_dir)
+    label = F.when(F.col("value") > 100, "true_positive").otherwise("false_positive")
+    numbers = F.array(*[F.col(c).cast("double") for c in ("value", "k", "src_port", "dst_port", "bytes_in")])
+    return ev.select(
+        "tenant_id", F.col("event_id").alias("id"), F.col("timestamp").alias("created_at"), F.when(F.col("k") % 7 != 0, label).alias("label"),
+        F.when(F.col("k") % 5 != 0, numbers).alias("features"),
     )
 
 
 @SUITE.query(
     "retrain_gate",
-    SEC + " SELECT tenant_id, count(*) AS buffered, count(*) FILTER (WHERE value > 30) AS valid, 'swap' AS decision, 0.8::DOUBLE AS old_f1, 0.76::DOUBLE AS new_f1 FROM sec GROUP BY 1",
+    SEC + " SELECT tenant_id, count(*) AS buffered, count(*) FILTER (WHERE k % 7 <> 0 AND k % 5 <> 0) AS valid, CAST(floor(count(*) FILTER (WHERE k % 7 <> 0 AND k % 5 <> 0) * 0.8) AS "
+    "BIGINT) AS train_rows, count(*) FILTER (WHERE k % 7 <> 0 AND k % 5 <> 0) - CAST(floor(count(*) FILTER (WHERE k % 7 <> 0 AND k % 5 <> 0) * 0.8) AS BIGINT) AS holdout_rows, "
+    "0.0::DOUBLE AS old_f1, true AS learned, 'swap' AS decision FROM sec GROUP BY 1",
 )
 def _(spark, sf_dir):
-    return E.retrain_gate(_buffer(spark, sf_dir), 0.8, 0.76)
+    """The first version of every tenant: no model before it, so its F1 counts as 0; the new one must learn the rule behind the labels."""
+    rows = RT.retrain_gate(RT.ModelStore(spark, shared_folder(spark, "models")), _buffer(spark, sf_dir), 1, trees=10, depth=5)
+    return rows.select("tenant_id", "buffered", "valid", "train_rows", "holdout_rows", "old_f1", (F.col("new_f1") > 0.95).alias("learned"), "decision")
 
 
 @SUITE.query(

@@ -418,21 +418,32 @@ def _(spark, sf_dir):
     return R.active_campaigns(side.campaigns(spark, sf_dir), members, T1).select("campaign_id", "severity", "affected_assets")
 
 
-def _latest(name: str, where: str, limit: int, **equals):
-    """hunt_history, latest_cases, latest_alerts and reports_list are the same list over other tables."""
+def _listed(name, table_sql, source, columns, tenant, order, operator, build, where=""):
+    """A tenant's newest rows of a table of its own; times in microseconds."""
+    named = ", ".join(f"epoch_us({c}) AS {c}_us" if c.endswith("_at") else c for c in columns)
 
-    @SUITE.query(
-        name,
-        SEC + f" SELECT event_id, severity FROM sec WHERE {where} ORDER BY timestamp DESC, event_id DESC LIMIT {limit}",
-    )
+    @SUITE.query(name, SEC + ", " + table_sql + f" SELECT {named} FROM {source} WHERE tenant_id = '{tenant}'{where} ORDER BY {order} LIMIT 25")
     def _(spark, sf_dir):
-        return R.latest(sec_events(spark, sf_dir), "timestamp", "event_id", limit, **equals).select("event_id", "severity")
+        out = operator(build(spark, sf_dir))
+        return out.select(*[us(c) if c.endswith("_at") else c for c in columns])
 
 
-_latest("hunt_history", "tenant_id='tenant-1' AND user_id = 7", 20, tenant_id=T1, user_id=7)
-_latest("latest_cases", "tenant_id='tenant-2' AND severity='critical'", 25, tenant_id="tenant-2", severity="critical")
-_latest("latest_alerts", "tenant_id='tenant-0' AND action='alert'", 30, tenant_id="tenant-0", action="alert")
-_latest("reports_list", "tenant_id='tenant-1' AND source_type='windows'", 15, tenant_id=T1, source_type="windows")
+_listed(
+    "hunt_history", side.HUNTS_SQL, "hq", ["id", "query_text", "query_mode", "uql_output", "result_count", "executed_at"], T1, "executed_at DESC, id DESC",
+    lambda t: R.hunt_history(t, T1, "an-2", 25), side.hunts_table, " AND user_id = 'an-2'",
+)
+_listed(
+    "latest_cases", side.CASES_SQL, "cs", ["tenant_id", "case_id", "created_at", "severity", "status", "title"], "tenant-2", "created_at DESC, case_id DESC",
+    lambda t: R.latest_cases(t, "tenant-2", 25), side.cases_table,
+)
+_listed(
+    "latest_alerts", side.ALERTS_SQL, "al", ["tenant_id", "alert_id", "created_at", "event_id", "ml_score", "severity"], "tenant-0", "created_at DESC, alert_id DESC",
+    lambda t: R.latest_alerts(t, "tenant-0", 25), side.alerts_table,
+)
+_listed(
+    "reports_list", side.REPORTS_SQL, "rp", ["id", "report_name", "report_type", "generated_by", "file_size_bytes", "created_at"], T1, "created_at DESC, id DESC",
+    lambda t: R.reports_list(t, T1, 25), side.reports_table,
+)
 
 
 @SUITE.query(
@@ -498,6 +509,22 @@ def _(spark, sf_dir):
     return t.select("tenant_id", "entity", "cep_sequence_id", "tactic", us("first_seen"), "points")
 
 
+@SUITE.query(
+    "timeline_points",
+    SEC + " SELECT tenant_id, src_ip AS entity, cep_sequence_id, tactic, event_id, row_number() OVER (PARTITION BY tenant_id, src_ip, cep_sequence_id ORDER BY timestamp, event_id) AS point FROM sec",
+)
+def _(spark, sf_dir):
+    return R.timeline_points(sec_events(spark, sf_dir)).select("tenant_id", "entity", "cep_sequence_id", "tactic", "event_id", "point")
+
+
+@SUITE.query(
+    "timeline_entities",
+    SEC + " SELECT tenant_id, cep_sequence_id, src_ip AS entity, epoch_us(min(timestamp)) AS first_seen_us, epoch_us(max(timestamp)) AS last_seen_us, count(*) AS points FROM sec GROUP BY 1, 2, 3",
+)
+def _(spark, sf_dir):
+    return R.timeline_entities(sec_events(spark, sf_dir)).select("tenant_id", "cep_sequence_id", "entity", us("first_seen"), us("last_seen"), "points")
+
+
 @SUITE.query(
     "throughput",
     SEC + " SELECT epoch_us(date_trunc('day', timestamp)) AS start_us, source_type, severity, count(*) AS events FROM sec GROUP BY 1, 2, 3",
@@ -507,6 +534,41 @@ def _(spark, sf_dir):
     return t.select(us("w.start", "start_us"), "source_type", "severity", "events")
 
 
+_REQUESTS = "rq AS (SELECT *, outcome AS status, action AS step, 'GET' AS method, '/' || event_type AS endpoint, value AS duration_ms FROM sec)"
+
+
+def requests_view(spark, sf_dir):
+    return sec_events(spark, sf_dir).withColumns(
+        {"status": F.col("outcome"), "step": F.col("action"), "method": F.lit("GET"), "endpoint": F.concat(F.lit("/"), "event_type"), "duration_ms": F.col("value")}
+    )
+
+
+def _rolled(name, dims, width, slide=None, sliding_days=1):
+    days = ", ".join(f"timestamp - INTERVAL {d} DAY" for d in range(sliding_days))
+    cols = ", ".join(dims)
+
+    @SUITE.query(
+        name,
+        SEC + f", {_REQUESTS} SELECT epoch_us(date_trunc('day', t)) AS start_us, {cols}, count(*) AS events, round(avg(duration_ms) + 1e-9, 4) AS mean, max(duration_ms) AS longest, "
+        f"true AS p95_near, true AS p99_near FROM (SELECT *, unnest([{days}]) AS t FROM rq) GROUP BY 1, {cols}",
+    )
+    def _(spark, sf_dir):
+        rows = requests_view(spark, sf_dir)
+        out = R.latency_rollup(R.latency_minutes(rows, dims), dims, width, slide)
+        # how many rows lie at or below the sketched quantile must be within the stated rank error
+        win = F.window("timestamp", width, slide) if slide else F.window("timestamp", width)
+        exact = rows.select(win.alias("w"), *dims, "duration_ms").join(out.select("w", *dims, "p95", "p99", "events"), ["w", *dims])
+        share = lambda p: F.count_if(F.col("duration_ms") <= F.col(f"p{p}")) / F.max("events")
+        off = lambda p: (share(p) - p / 100 >= -1.65 / R.SKETCH_K) & (F.count_if(F.col("duration_ms") < F.col(f"p{p}")) / F.max("events") - p / 100 <= 1.65 / R.SKETCH_K)
+        near = exact.groupBy("w", *dims).agg(off(95).alias("p95_near"), off(99).alias("p99_near"))
+        return out.join(near, ["w", *dims]).select(us("w.start", "start_us"), *dims, "events", F.round(F.col("mean") + 1e-9, 4).alias("mean"), "longest", "p95_near", "p99_near")
+
+
+_rolled("throughput_status", ["source_type", "severity", "status"], "1 day")
+_rolled("throughput_steps", ["step"], "1 day")
+_rolled("throughput_endpoints", ["method", "endpoint"], "2 days", "1 day", 2)
+
+
 @SUITE.query("throughput_latency")
 def _(spark, sf_dir):
     t = R.throughput(sec_events(spark, sf_dir).withColumn("duration_ms", F.col("value")), "2 days", "1 day")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duskwatch.functions.text import severity_rank
+from duskwatch.operators.rules import alert_candidates
 from duskwatch.plans.base import sec_events
 
 RANK_SQL = "CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 ELSE 0 END"
@@ -96,3 +97,51 @@ FINDING_ROWS_SQL = (
     "fr AS (SELECT 'FE-' || event_id AS id, message AS title, severity, tenant_id, CASE k % 4 WHEN 0 THEN 'dismissed' WHEN 1 THEN "
     "'approved' ELSE 'open' END AS status, timestamp AS created_at FROM sec WHERE meta_score >= 0.5)"
 )
+
+
+HUNTS_SQL = (
+    "hq AS (SELECT 'h-' || event_id AS id, tenant_id, 'an-' || (k % 5) AS user_id, 'severity = ' || severity AS query_text, CASE WHEN k % 2 = 0 THEN 'uql' ELSE 'nl' END AS query_mode, "
+    "CASE WHEN k % 2 = 1 THEN 'severity:' || severity END AS uql_output, k AS result_count, timestamp AS executed_at FROM sec WHERE event_type = 'view')"
+)
+CASES_SQL = (
+    "cs AS (SELECT tenant_id, 'case-' || event_id AS case_id, timestamp AS created_at, severity, CASE k % 3 WHEN 0 THEN 'closed' ELSE 'open' END AS status, message AS title FROM sec WHERE "
+    "severity IN ('high', 'critical'))"
+)
+ALERTS_SQL = (
+    "al AS (SELECT tenant_id, 'al-' || event_id AS alert_id, timestamp AS created_at, event_id::VARCHAR AS event_id, meta_score AS ml_score, severity FROM sec WHERE NOT is_synthetic AND "
+    "(meta_score >= 0.85 OR severity IN ('high', 'critical')))"
+)
+REPORTS_SQL = (
+    "rp AS (SELECT 'r-' || event_id AS id, tenant_id, 'Report ' || severity AS report_name, CASE k % 2 WHEN 0 THEN 'csv' ELSE 'pdf' END AS report_type, 'an-' || (k % 5) AS generated_by, "
+    "bytes_in AS file_size_bytes, timestamp AS created_at FROM sec WHERE event_type = 'purchase')"
+)
+
+
+def hunts_table(spark, sf_dir):
+    return sec_events(spark, sf_dir).where("event_type = 'view'").select(
+        F.concat(F.lit("h-"), "event_id").alias("id"), "tenant_id", F.concat(F.lit("an-"), (F.col("k") % 5).cast("string")).alias("user_id"),
+        F.concat(F.lit("severity = "), "severity").alias("query_text"), F.when(F.col("k") % 2 == 0, "uql").otherwise("nl").alias("query_mode"),
+        F.when(F.col("k") % 2 == 1, F.concat(F.lit("severity:"), "severity")).alias("uql_output"), F.col("k").alias("result_count"), F.col("timestamp").alias("executed_at"),
+    )
+
+
+def cases_table(spark, sf_dir):
+    return sec_events(spark, sf_dir).where("severity IN ('high', 'critical')").select(
+        "tenant_id", F.concat(F.lit("case-"), "event_id").alias("case_id"), F.col("timestamp").alias("created_at"), "severity",
+        F.when(F.col("k") % 3 == 0, "closed").otherwise("open").alias("status"), F.col("message").alias("title"),
+    )
+
+
+def alerts_table(spark, sf_dir):
+    return alert_candidates(sec_events(spark, sf_dir)).select(
+        "tenant_id", F.concat(F.lit("al-"), "event_id").alias("alert_id"), F.col("timestamp").alias("created_at"), F.col("event_id").cast("string").alias("event_id"),
+        F.col("meta_score").alias("ml_score"), "severity",
+    )
+
+
+def reports_table(spark, sf_dir):
+    return sec_events(spark, sf_dir).where("event_type = 'purchase'").select(
+        F.concat(F.lit("r-"), "event_id").alias("id"), "tenant_id", F.concat(F.lit("Report "), "severity").alias("report_name"),
+        F.when(F.col("k") % 2 == 0, "csv").otherwise("pdf").alias("report_type"), F.concat(F.lit("an-"), (F.col("k") % 5).cast("string")).alias("generated_by"),
+        F.col("bytes_in").alias("file_size_bytes"), F.col("timestamp").alias("created_at"),
+    )

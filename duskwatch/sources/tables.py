@@ -73,8 +73,14 @@ def report_rows(events: DataFrame, n: int) -> DataFrame:
     return events.select(*REPORT_COLUMNS).orderBy(F.desc("timestamp"), F.desc("event_id")).limit(n)
 
 
+#: Rows of a report that one file may hold.
+REPORT_LIMIT = 1_000_000
+
+
 def write_report_csv(events: DataFrame, path: str, n: int) -> None:
-    """Newest ``n`` rows with a fixed header; a report is small by definition, so one file."""
+    """Newest ``n`` rows, at most ``REPORT_LIMIT``, with a fixed header, in one file."""
+    if not 0 <= n <= REPORT_LIMIT:
+        raise ValueError(f"a report holds at most {REPORT_LIMIT} rows")
     report_rows(events, n).coalesce(1).sortWithinPartitions(F.desc("timestamp"), F.desc("event_id")).write.mode("overwrite").csv(
         path, header=True, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     )
