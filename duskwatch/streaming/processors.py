@@ -1,8 +1,7 @@
 """Keyed state for Structured Streaming: entity state, sequences, posture and connector liveness.
 
-With a lateness, or a watermark on the input, an operator works in event time: rows older than the watermark are
-dropped by the engine, and a timer at the end of a state's life removes it. Without one the wall
-clock ends it. Either way the store holds only keys seen lately. Each micro-batch hands a key's
+Operators work in event time: rows older than the watermark are dropped by the engine, and a timer at the
+end of a state's life removes it, so the store holds only keys seen lately. Each micro-batch hands a key's
 new rows to one call, which orders them by event time; a batch is bounded by the source's rate
 limit. State is typed: counters in a value, distinct values in a map, recent times in a list.
 
@@ -25,7 +24,9 @@ from duskwatch.operators.sequence import ATTACK_PATTERNS, FOLD_COLS, Pattern, ad
 from duskwatch.operators.state import DISTINCT_CAP, FIVE_MIN, IDLE_TTL, ONE_HOUR, STATE
 
 SEC_US = 1_000_000
-#: A lateness that stands for the watermark the input already has.
+#: How late a row may be, if the caller does not say.
+LATENESS = "10 minutes"
+#: A lateness that stands for the watermark the input already has, and hands it on to the next operator.
 INHERITED = "inherited"
 JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 #: Event times kept per entity for the timing scores.
@@ -51,16 +52,13 @@ def unpack(df: DataFrame, schema: T.StructType) -> DataFrame:
 class Forgetting(StatefulProcessor):
     """A processor whose key has one timer: it is moved with ``expire_at`` and clears the state when it fires."""
 
-    #: by the wall clock instead of event time
-    clock = False
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.due = handle.getValueState("due", "ms bigint")
 
-    def expire_at(self, us: int, life: int, timers: Any) -> None:
-        """Forget the key ``life`` seconds after this event time, or after now by the wall clock."""
-        ms = timers.getCurrentProcessingTimeInMs() + life * 1000 if self.clock else us // 1000 + life * 1000 + 1
+    def expire_at(self, us: int, life: int) -> None:
+        """Forget the key once the watermark is ``life`` seconds past this event time."""
+        ms = us // 1000 + life * 1000 + 1
         if self.due.exists():
             old = self.due.get()[0]
             if old == ms:
@@ -94,13 +92,13 @@ ENTITY_OUT = (
 )
 
 
-def timing(processor: Forgetting, events: DataFrame, lateness: str | None) -> tuple[DataFrame, dict[str, str]]:
-    """The events, with a watermark if ``lateness`` is given, and the arguments that set the time mode."""
-    if lateness is None:
-        processor.clock = True
-        return events, {"outputMode": "Append", "timeMode": "ProcessingTime"}
-    events = events if lateness == INHERITED else events.withWatermark("timestamp", lateness)
-    return events, {"outputMode": "Append", "timeMode": "EventTime", "eventTimeColumnName": "timestamp"}
+def timing(events: DataFrame, lateness: str) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """The events with a watermark, the columns that carry it, and the arguments that set the time mode."""
+    mode = {"outputMode": "Append", "timeMode": "EventTime"}
+    if lateness == INHERITED:
+        return events, [], mode | {"eventTimeColumnName": "timestamp"}
+    # the first watermark is the epoch, and a row at the watermark is late: a row at the epoch must not be
+    return events.withColumn("_at", F.col("timestamp") + F.expr("INTERVAL 1 MICROSECOND")).withWatermark("_at", lateness), ["_at"], mode
 
 
 class EntityState(Forgetting):
@@ -123,7 +121,7 @@ class EntityState(Forgetting):
         camp = r["sticky_campaign"]
         self.counters.update((int(r["event_count"]), int(r["events_5m"]), int(r["events_1h"]), int(r["last_seen_us"]), None if pd.isna(camp) else camp, sights))
         self.times.put([(int(t),) for t in r["times_us"]])
-        self.expire_at(int(r["last_seen_us"]), IDLE_TTL, timerValues)
+        self.expire_at(int(r["last_seen_us"]), IDLE_TTL)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         c = self.counters.get() if self.counters.exists() else None
@@ -161,7 +159,7 @@ class EntityState(Forgetting):
             for v in new.items() - old.items():
                 state.updateValue((v[0],), (v[1],))
         self.times.put([(t,) for t in times])
-        self.expire_at(last, IDLE_TTL, timerValues)
+        self.expire_at(last, IDLE_TTL)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in ENTITY_OUT.split(", ")]).convert_dtypes()
 
     def forget(self) -> None:
@@ -169,17 +167,17 @@ class EntityState(Forgetting):
             s.clear()
 
 
-def with_entity_state(events: DataFrame, initial: DataFrame | None = None, lateness: str | None = None) -> DataFrame:
+def with_entity_state(events: DataFrame, initial: DataFrame | None = None, lateness: str = LATENESS) -> DataFrame:
     """Each event, all columns, with its entity's state before and after it, the number of earlier events and the recent times.
 
     ``events`` needs tenant_id, entity, event_id, timestamp, dst_ip, dst_port and campaign_id. ``initial`` is what
     ``final_entity_state`` gives for the history before the stream. ``lateness`` sets the watermark;
-    ``INHERITED`` takes that of the input, None the wall clock. Rows of a key are taken in the order of event time inside a
+    ``INHERITED`` takes that of the input. Rows of a key are taken in the order of event time inside a
     micro-batch and in order of arrival across batches.
     """
-    processor = EntityState()
-    events, mode = timing(processor, events, lateness)
-    keys = ["tenant_id", "entity", "event_id", "timestamp"]
+    kind = events.schema["event_id"].dataType.simpleString()
+    events, marks, mode = timing(events, lateness)
+    keys = ["tenant_id", "entity", "event_id", "timestamp", *marks]
     packed, rest = pack(events, keys)
     fields = F.from_json("_rest", rest, JSON_TIME)
     text = lambda c, kind="string": F.coalesce(fields[c].cast(kind), F.lit(""))
@@ -188,13 +186,13 @@ def with_entity_state(events: DataFrame, initial: DataFrame | None = None, laten
         text("campaign_id").alias("campaign_id"), F.col("_rest").alias("rest"),
     )
     out = rows.groupBy("tenant_id", "entity").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=ENTITY_OUT.format(id=events.schema["event_id"].dataType.simpleString()),
+        statefulProcessor=EntityState(), outputStructType=ENTITY_OUT.format(id=kind),
         initialState=None if initial is None else initial.groupBy("tenant_id", "entity"), **mode,
     )
     return unpack(out, rest)
 
 
-def entity_state_stream(events: DataFrame, initial: DataFrame | None = None, lateness: str | None = None) -> DataFrame:
+def entity_state_stream(events: DataFrame, initial: DataFrame | None = None, lateness: str = LATENESS) -> DataFrame:
     """Streaming twin of ``entity_state``."""
     return with_entity_state(events, initial, lateness).select("tenant_id", "entity", "event_id", *STATE)
 
@@ -213,7 +211,7 @@ class SequenceState(Forgetting):
         state, at, values = advance(state, cols)
         if state[0]:
             self.state.update((int(state[0]), int(state[1])))
-            self.expire_at(int(state[1]), int(pdf["span_us"].iloc[-1]) // SEC_US, timerValues)
+            self.expire_at(int(state[1]), int(pdf["span_us"].iloc[-1]) // SEC_US)
         else:
             self.forget()
             self.keep()
@@ -225,14 +223,13 @@ class SequenceState(Forgetting):
         self.state.clear()
 
 
-def match_sequence_stream(events: DataFrame, patterns: list[Pattern] = ATTACK_PATTERNS, lateness: str | None = None) -> DataFrame:
+def match_sequence_stream(events: DataFrame, patterns: list[Pattern] = ATTACK_PATTERNS, lateness: str = LATENESS) -> DataFrame:
     """Streaming twin of ``match_sequence``; only rows that fit a stage reach the state store."""
-    processor = SequenceState()
-    events, mode = timing(processor, events, lateness)
     kind = events.schema["event_id"].dataType.simpleString()
-    hits = stage_hits(events, patterns, carry=["timestamp"])
+    events, marks, mode = timing(events, lateness)
+    hits = stage_hits(events, patterns, carry=["timestamp", *marks])
     fired = hits.groupBy("tenant_id", "entity_key", "pattern_id").transformWithStateInPandas(
-        statefulProcessor=processor,
+        statefulProcessor=SequenceState(),
         outputStructType=f"tenant_id string, entity_key string, pattern_id string, triggering_event_id {kind}, timestamp timestamp, span_us bigint", **mode,
     )
     dim = pattern_table(events.sparkSession, patterns).drop("span_seconds")
@@ -268,7 +265,7 @@ class EntitySequences(Forgetting):
                 self.progress.removeKey((p,))
         ends = [t0 + span for done, t0, span in state.values() if done]
         if ends:
-            self.expire_at(max(ends), 0, timerValues)
+            self.expire_at(max(ends), 0)
         else:
             self.keep()
         yield pd.DataFrame(out, columns=["tenant_id", "entity", "event_id", "timestamp", "sequences", "_rest"])
@@ -316,7 +313,7 @@ class Posture(Forgetting):
             x = max(0.0, x - m * 2.5) if m > 0.7 else min(100.0, x + 0.3) if m < 0.3 else x
             scores.append(x)
         self.score.update((x,))
-        self.expire_at(int(pdf["us"].iloc[-1]), self.LIFE, timerValues)
+        self.expire_at(int(pdf["us"].iloc[-1]), self.LIFE)
         yield pd.DataFrame({"tenant_id": key[0], "event_id": pdf["event_id"], "timestamp": pdf["timestamp"], "posture": scores, "_rest": pdf["rest"]})
 
     def forget(self) -> None:

@@ -88,11 +88,14 @@ def test_current_entity_rows(spark, replayed):
     assert got == {(r.tenant_id, r.entity): tuple(r.r) for r in last.collect()}
 
 
-def test_state_of_the_stream_falls(replayed):
-    """Three operators keep rows; entities idle for a day and unfinished sequences are gone at the end."""
-    operators = [o for p in replayed[2].recentProgress for o in p["stateOperators"]]
-    assert len(replayed[2].recentProgress[-1]["stateOperators"]) == 3
-    assert sum(o["customMetrics"].get("numExpiredTimers", 0) for o in operators) > 0
+def test_chain_of_three_operators(spark, replayed):
+    """Entity state, sequences and posture in one query; what the store holds is bounded by the keys, not by the events."""
+    events, _, query, _ = replayed
+    operators = query.recentProgress[-1]["stateOperators"]
+    keys = events.select("tenant_id", "entity").distinct().count()
+    assert len(operators) == 3 and sum(o["customMetrics"]["numDeletedTimers"] for p in query.recentProgress for o in p["stateOperators"]) > 0
+    # per entity: counters, timer, at most 100 values of each kind, recent times; per pattern one entry
+    assert sum(o["numRowsTotal"] for o in operators) <= keys * (2 + 200 + 1 + 4)
 
 
 def test_initial_state_continues_history(spark, tmp_path):
@@ -127,7 +130,7 @@ def test_idle_entities_leave_and_late_rows_are_dropped(spark, tmp_path):
     day = 86_400.0
     rows = "tenant_id string, entity string, event_id bigint, t double, dst_ip string, dst_port int, campaign_id string"
     parts = [
-        [("t", f"e{i}", i, 1000.0 + i, f"ip{i}", 22, None) for i in range(20)], [("t", "late", 100, 3 * day, "ip", 22, None)],
+        [("t", f"e{i}", i, 1000.0 + i, f"ip{i}", 22, None) for i in range(20)], [("t", "late", 100, 3 * day, "ip", 22, None)], [("t", "other", 110, 3 * day + 30, "ip", 22, None)],
         [("t", "late", 101, 1005.0, "ip", 22, None), ("t", "late", 102, 3 * day + 60, "ip2", 22, None)], [("t", "e1", 103, 6 * day, "x", 1, None)],
         [("t", "e1", 104, 6 * day + 10, "y", 1, None)],
     ]
