@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duskwatch.llm.decontaminate import find_leaks
 from duskwatch.llm.language import identify_language
 from duskwatch.llm.language_model import score_texts
-from duskwatch.llm.licenses import scan_licenses
+from duskwatch.llm.licenses import full_texts, scan_licenses
 from duskwatch.llm.mixing import mix_sources
 from duskwatch.llm.neighbours import nearest
 from duskwatch.llm.ngram_join import ngram_jaccard_join
@@ -58,11 +58,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: source and language are the directories."""
+    """Documents as files. They have no paths, so each stands in a directory of its own and inherits from none."""
     docs = _read(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-    found = scan_licenses(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text"), every_term=True)
-    return found.withColumnRenamed("id", "doc_id")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("lang", F.lit("none")))
+    files = docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return scan_licenses(files, every_term=True, texts=full_texts()).withColumnRenamed("id", "doc_id")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
