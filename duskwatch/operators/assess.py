@@ -49,8 +49,10 @@ def fuse(events: DataFrame, classifier: Scorer | None = None, weights: list[Colu
 
 def match(events: DataFrame) -> DataFrame:
     """Rules, technique predictions, compliance tags and embedded indicators; these read the text as it came."""
-    out = rules.match_rules(events)
-    return out.withColumns({"mitre_predictions": rules.to_mitre(), "compliance_tags": rules.compliance_tags(), "ioc_matches": intel.ioc_match_array()})
+    out = rules.match_rules(events, mask="rule_mask")
+    return out.withColumns(
+        {"mitre_predictions": rules.to_mitre(), "compliance_tags": rules.compliance_tags(mask="rule_mask"), "ioc_matches": intel.ioc_match_array()}
+    )
 
 
 def conclude(events: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def conclude(events: DataFrame) -> DataFrame:
             "posture_delta": S.posture_delta(F.col("meta_score") * 100),
         }
     )
-    out = rules.recommend_response(out)
+    out = rules.recommend_response(out, mask="rule_mask").drop("rule_mask")
     out = out.withColumns({c: mask_pii(F.col(c)) for c in ("message", "raw_log") if c in out.columns})
     return out.withColumn("narrative", narrative.narrative())
 

@@ -5,7 +5,8 @@ Every rule becomes one boolean Column, so all rules are tested in a single pass
 
 from __future__ import annotations
 
-from typing import Any, Sequence
+import re
+from typing import Any, Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,14 +181,39 @@ def _matches_of(masks: Column, rules: Sequence[tuple]) -> Column:
     return F.filter(table, hit)
 
 
-def match_rules(events: DataFrame, rules: Sequence[tuple] = tuple(RULES)) -> DataFrame:
+def match_rules(events: DataFrame, rules: Sequence[tuple] = tuple(RULES), mask: str | None = None) -> DataFrame:
     """Add ``rule_matches``: array<struct> of matching rules in rule order.
 
-    All rules are tested in one pass into bit masks, and only the set bits are turned into structs.
+    All rules are tested in one pass into bit masks, and only the set bits are turned into structs. ``mask`` names a
+    column that keeps the masks: tags and response levels are then bit tests against constants.
     """
     out = pin(events, "_text", F.lower(F.coalesce("message", F.lit(""))))
-    out = pin(out, "_masks", _rule_masks(rules))
-    return out.withColumn("rule_matches", _matches_of(F.col("_masks"), rules)).drop("_masks", "_text")
+    out = pin(out, "_masks", _rule_masks(rules)).drop("_text")
+    out = out.withColumn("rule_matches", _matches_of(F.col("_masks"), rules))
+    return out.drop("_masks") if mask is None else out.withColumnRenamed("_masks", mask)
+
+
+def _words_of(rules: Sequence[tuple], wanted: Callable[[tuple], bool]) -> list[tuple[int, int]]:
+    """(word of the mask, bits in it) of the rules that are wanted; known when the plan is built."""
+    words: dict[int, int] = {}
+    for i, r in enumerate(rules):
+        if wanted(r):
+            words[i // MASK_BITS] = words.get(i // MASK_BITS, 0) | 1 << i % MASK_BITS
+    return sorted(words.items())
+
+
+def _any_of(mask: Column, rules: Sequence[tuple], wanted: Callable[[tuple], bool]) -> Column:
+    out = F.lit(False)
+    for word, bits in _words_of(rules, wanted):
+        out = out | (F.get(mask, F.lit(word)).bitwiseAND(F.lit(bits)) != 0)
+    return out
+
+
+def _count_of(mask: Column, rules: Sequence[tuple], wanted: Callable[[tuple], bool]) -> Column:
+    out = F.lit(0)
+    for word, bits in _words_of(rules, wanted):
+        out = out + F.bit_count(F.get(mask, F.lit(word)).bitwiseAND(F.lit(bits)))
+    return out
 
 
 def to_mitre(matches: str = "rule_matches") -> Column:
@@ -202,8 +228,27 @@ def to_mitre(matches: str = "rule_matches") -> Column:
     )
 
 
-def compliance_tags(matches: str = "rule_matches") -> Column:
-    """Sorted distinct tags; needs temporal_score and bytes_out beside the matches."""
+def _tags_of(rule: tuple) -> set[str]:
+    rid, name = rule[0].lower(), rule[1].lower()
+    found = {t for k, tags in COMPLIANCE_BY_RULE.items() if k == rid for t in tags}
+    return found | {t for words, tags in COMPLIANCE_BY_NAME if re.search(words, name) for t in tags}
+
+
+def compliance_tags(matches: str = "rule_matches", mask: str | None = None, rules: Sequence[tuple] = tuple(RULES)) -> Column:
+    """Sorted distinct tags; needs temporal_score and bytes_out beside the matches.
+
+    With the ``mask`` that ``match_rules`` kept, a tag is one bit test: which rules carry it is worked out when the plan is built.
+    """
+    if mask is not None:
+        carried = {t for r in rules for t in _tags_of(r)}
+        late, exfil = F.coalesce(F.col("temporal_score") > 0.8, F.lit(False)), F.coalesce(F.col("bytes_out") > 50_000_000, F.lit(False))
+        tests = []
+        for tag in sorted(carried | set(COMPLIANCE_TEMPORAL) | set(COMPLIANCE_EXFIL)):
+            test = _any_of(F.col(mask), rules, lambda r, tag=tag: tag in _tags_of(r)) if tag in carried else F.lit(False)
+            test = test | late if tag in COMPLIANCE_TEMPORAL else test
+            test = test | exfil if tag in COMPLIANCE_EXFIL else test
+            tests.append(F.when(test, F.lit(tag)))
+        return F.array_compact(F.array(*tests))
     empty = F.array().cast("array<string>")
 
     def tags(ids: Column, names: Column) -> Column:
@@ -223,9 +268,9 @@ def percent(score: Column, digits: int) -> Column:
 
 
 def recommend_response(
-    events: DataFrame, matches: str = "rule_matches", iocs: str = "ioc_matches"
+    events: DataFrame, matches: str = "rule_matches", iocs: str = "ioc_matches", mask: str | None = None, rules: Sequence[tuple] = tuple(RULES)
 ) -> DataFrame:
-    """Response level from score, indicator confidence, strong rules and campaign membership."""
+    """Response level from score, indicator confidence, strong rules and campaign membership; ``mask`` as in ``compliance_tags``."""
     score = F.col("meta_score")
     base = (
         F.when(score >= 0.85, 5).when(score >= 0.70, 4).when(score >= 0.50, 3)
@@ -233,7 +278,7 @@ def recommend_response(
     )
     ioc_max = F.array_max(F.transform(iocs, lambda i: i["confidence"]))
     by_ioc = F.when(ioc_max >= 0.9, 4).when(ioc_max >= 0.7, 3).otherwise(1)
-    strong = F.size(F.filter(matches, lambda m: m["confidence"] >= 0.85))
+    strong = F.size(F.filter(matches, lambda m: m["confidence"] >= 0.85)) if mask is None else _count_of(F.col(mask), rules, lambda r: r[6] >= 0.85)
     by_rule = F.when(strong >= 2, 4).when(strong == 1, 3).otherwise(1)
     in_campaign = F.coalesce(F.col("campaign_id"), F.lit("")) != ""
     level = F.greatest(base, by_ioc, by_rule, F.when(in_campaign, 3).otherwise(1))

@@ -55,7 +55,7 @@ IOC = (
 
 def matched(spark, sf_dir):
     """Events with rule and indicator matches attached, in one pass."""
-    ev = rules.match_rules(sec_events(spark, sf_dir))
+    ev = rules.match_rules(sec_events(spark, sf_dir), mask="rule_mask")
     return ev.withColumn("ioc_matches", intel.ioc_match_array())
 
 
@@ -103,7 +103,7 @@ _TAG_SQL = " UNION ALL ".join(
     "SELECT event_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM tg GROUP BY event_id",
 )
 def _(spark, sf_dir):
-    ev = rules.match_rules(sec_events(spark, sf_dir)).withColumn("t", rules.compliance_tags())
+    ev = rules.match_rules(sec_events(spark, sf_dir), mask="rule_mask").withColumn("t", rules.compliance_tags(mask="rule_mask"))
     return ev.where(F.size("t") > 0).select("event_id", F.array_join("t", ",").alias("tags"))
 
 
@@ -129,7 +129,7 @@ _RECOMMEND = (
     "lvl >= 4 AS auto_applicable FROM rec",
 )
 def _(spark, sf_dir):
-    r = rules.recommend_response(matched(spark, sf_dir))
+    r = rules.recommend_response(matched(spark, sf_dir), mask="rule_mask")
     rec = "recommendation"
     return r.select("event_id", *[f"{rec}.{c}" for c in ("action", "urgency", "reasoning", "confidence", "auto_applicable")])
 
@@ -141,7 +141,7 @@ def _(spark, sf_dir):
 )
 def response_by_severity(spark, sf_dir):
     """Flagship: scan, rules, indicators, response level, then counts per tenant and severity."""
-    r = rules.recommend_response(matched(spark, sf_dir))
+    r = rules.recommend_response(matched(spark, sf_dir), mask="rule_mask")
     return r.groupBy("tenant_id", "severity", F.col("recommendation.action").alias("action")).agg(
         F.count("*").alias("events"), F.max("meta_score").alias("top_score")
     )

@@ -461,6 +461,53 @@ def _(spark, sf_dir):
     return O.ocsf_from_gcp(raw(spark, sf_dir, line)).select(F.col("ocsf.actor.user.name").alias("usr"), "ocsf.status", F.col("ocsf.actor.user.account").alias("account"))
 
 
+_LOST = "SELECT substr({line}, 1, 12) AS raw_log, '{reason}' AS error_reason, count(*) AS letters FROM sec WHERE event_id % 16 = 5 GROUP BY 1"
+
+
+def _letters(df):
+    return df.groupBy("raw_log", "error_reason").agg(F.count("*").alias("letters"))
+
+
+def _lost(source, line, head, reason="invalid_json"):
+    """One in sixteen lines is cut after twelve characters; all of them must come back as dead letters."""
+
+    @SUITE.query(f"ocsf_dead_letters_{source}", SEC + " " + _LOST.format(line="'" + head + "'", reason=reason))
+    def _(spark, sf_dir):
+        return _letters(O.ocsf_dead_letters(raw(spark, sf_dir, line()), source))
+
+
+_lost("syslog", lambda: F.concat(F.lit("<34>Oct 11 22:14:15 mach sshd: x"), "event_id"), "<34>Oct 11 22:14:15", "invalid_syslog")
+_lost("azure_ad", lambda: js(createdDateTime=ISO()), '{"createdDateTime"')
+_lost("defender", lambda: js(identity=F.col("event_id")), '{"identity":1')
+_lost("ms_sentinel", lambda: js(identity=F.col("event_id")), '{"identity":1')
+_lost("cloudtrail", lambda: js(eventTime=ISO()), '{"eventTime":"2')
+_lost("gcp_audit", lambda: js(timestamp=ISO()), '{"timestamp":"2')
+
+
+@SUITE.query(
+    "ocsf_dead_letters_guardduty",
+    SEC + " SELECT CASE WHEN event_id % 16 = 5 THEN 'invalid_json' ELSE 'invalid_severity' END AS error_reason, count(*) AS letters FROM sec WHERE event_id % 16 = 5 OR k % 11 = 0 GROUP BY 1",
+)
+def _(spark, sf_dir):
+    line = js(identity=F.col("event_id"), severity=F.when(F.col("k") % 11 == 0, "high").otherwise("5"))
+    return O.ocsf_dead_letters(raw(spark, sf_dir, line), "guardduty").groupBy("error_reason").agg(F.count("*").alias("letters"))
+
+
+def _lost_pages(feed, page):
+    @SUITE.query(
+        f"feed_dead_letters_{feed}",
+        SEC + " SELECT CASE WHEN event_id % 16 = 5 THEN 'invalid_json' ELSE 'missing_list' END AS error_reason, count(*) AS letters FROM sec WHERE event_id % 16 = 5 OR k % 7 = 0 GROUP BY 1",
+    )
+    def _(spark, sf_dir):
+        line = F.when(F.col("k") % 7 == 0, js(nothing_here=F.col("event_id"))).otherwise(page())
+        return feeds.feed_dead_letters(raw(spark, sf_dir, line), feed).groupBy("error_reason").agg(F.count("*").alias("letters"))
+
+
+_lost_pages("otx", lambda: js(results=F.array(F.struct(F.col("tactic").alias("name")))))
+_lost_pages("misp", lambda: F.to_json(F.struct(F.struct(F.array(F.struct(F.col("dst_ip").alias("value"))).alias("Attribute")).alias("response"))))
+_lost_pages("nvd", lambda: js(vulnerabilities=F.array(F.struct(F.struct(F.col("tactic").alias("id")).alias("cve")))))
+
+
 # ---- feeds ----
 
 

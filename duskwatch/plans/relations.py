@@ -8,6 +8,7 @@ from duskwatch.functions import text as TX
 from duskwatch.functions import vectors as V
 from duskwatch.operators import evaluation as E
 from duskwatch.operators import retraining as RT
+from duskwatch.operators import similar as SI
 from duskwatch.operators import graph as G
 from duskwatch.operators.hunts import hunt, p_ml
 from duskwatch.plans.base import SEC, Suite, sec_events, table
@@ -231,6 +232,22 @@ def _(spark, sf_dir):
     return s.select("vec_id", F.round("score", 6).alias("score"))
 
 
+@SUITE.query(
+    "approx_similar_recall",
+    "WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY "
+    "list_cosine_similarity(q.embedding, e.embedding) DESC, e.vec_id) AS rank FROM q JOIN embeddings e ON e.vec_id <> q.vec_id) SELECT count(DISTINCT query_id) AS queries, count(*) AS found, "
+    "true AS recall_reached FROM s WHERE rank <= 10",
+)
+def _(spark, sf_dir):
+    """One row in twenty asks for its ten nearest; 0.9 of the true ones must be among those found."""
+    vectors = table(spark, sf_dir, "embeddings")
+    got = SI.approx_similar(vectors, F.col("vec_id") % 20 == 0, 10).select("query_id", "id")
+    index = SI.build(vectors)
+    true = SI.search(index, SI.unit_rows(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding"), 10, exact=True).select("query_id", "id", F.lit(1).alias("hit"))
+    both = got.join(true, ["query_id", "id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("found"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 @SUITE.query("hash_vector")
 def _(spark, sf_dir):
     v = table(spark, sf_dir, "documents").select("doc_id", V.hash_vector(F.col("text")).alias("v"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.sources.normalize import lookup, parse_json
+from duskwatch.sources.normalize import DEAD_LETTER_CHARS, Parsed, lookup, parse_json, reject
 
 # Indicator type maps and confidences of the feeds.
 OTX_TYPES = {
@@ -75,6 +75,20 @@ def iocs_from_misp(pages: DataFrame) -> DataFrame:
     return rows.where(kind.isNotNull()).select(*_ioc(F.col("a.value"), kind, "threat_intel", F.lit("MISP Attribute"), 0.85, "misp"))
 
 
+#: JSON feeds by name, and the field without which a page holds nothing to read.
+FEED_FIELDS = {"otx": "results array<string>", "misp": "response struct<Attribute:array<string>>", "nvd": "vulnerabilities array<string>"}
+
+
+def feed_dead_letters(pages: DataFrame, feed: str, chars: int | None = DEAD_LETTER_CHARS) -> DataFrame:
+    """Pages of a JSON feed that could not be read: malformed, or without the list the feed is made of."""
+    ddl = FEED_FIELDS[feed]
+    df = parse_json(pages, ddl)
+    field = F.col("j." + ddl.split()[0]) if feed != "misp" else F.col("j.response.Attribute")
+    reason = F.when(F.col("bad"), "invalid_json").when(field.isNull(), "missing_list")
+    lost = reject(df.withColumn("_reason", reason).where("_reason IS NOT NULL"), feed, F.col("_reason"))
+    return Parsed(pages.limit(0), lost).letters(chars)
+
+
 def iocs_from_stix(objects: DataFrame, collection: str) -> DataFrame:
     """Indicator patterns like [ipv4-addr:value = '1.2.3.4']; the bracket is not part of the type."""
     kind = lookup(F.regexp_extract("pattern", STIX_RX, 1), STIX_TYPES, None)

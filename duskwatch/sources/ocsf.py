@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.sources.normalize import lookup, parse_json, with_defaults
+from duskwatch.sources.normalize import DEAD_LETTER_CHARS, Parsed, lookup, parse_json, reject, with_defaults
 
 # Class id → (class name, category id, category name).
 CLASSES = {
@@ -306,3 +306,29 @@ def ocsf_from_gcp(raw: DataFrame) -> DataFrame:
             j["resource"]["labels"]["project_id"].alias("account_id"), *_outcome(failed), F.col("value").alias("raw_log"),
         )
     )
+
+
+#: Sources of the OCSF mappers by their name in dead letters: mapper, and a test beyond malformed JSON with its reason.
+OCSF_SOURCES = {
+    "guardduty": ("severity string", lambda j: F.when(j["severity"].try_cast("double").isNull(), "invalid_severity")),
+    "azure_ad": ("createdDateTime string", None),
+    "defender": ("id string", None),
+    "ms_sentinel": ("id string", None),
+    "cloudtrail": ("eventTime string", None),
+    "gcp_audit": ("timestamp string", None),
+}
+
+
+def ocsf_dead_letters(raw: DataFrame, source: str, chars: int | None = DEAD_LETTER_CHARS) -> DataFrame:
+    """What ``ocsf_from_<source>`` leaves out: original_topic, masked raw_log, error_reason. Syslog lines that are none count as well."""
+    if source == "syslog":
+        line = F.trim("value")
+        lost = reject(with_defaults(raw).where(~F.coalesce(line.rlike(RFC3164_LINE), F.lit(False))), source, F.lit("invalid_syslog"))
+    else:
+        ddl, test = OCSF_SOURCES[source]
+        df = parse_json(raw, ddl)
+        reason = F.when(F.col("bad"), "invalid_json")
+        if test is not None:
+            reason = F.coalesce(reason, test(F.col("j")))
+        lost = reject(df.withColumn("_reason", reason).where("_reason IS NOT NULL"), source, F.col("_reason"))
+    return Parsed(raw.limit(0), lost).letters(chars)

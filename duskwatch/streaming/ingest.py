@@ -25,11 +25,11 @@ def score_events(events: DataFrame) -> DataFrame:
         "source_entity", F.when(F.col("source_entity").isNotNull(), F.col("source_entity").withField("identifier", canonical_identifier(name, kind)))
     )
     flat = flatten_events(named)
-    flat = rules.match_rules(flat).withColumn("ioc_matches", intel.ioc_match_array())
+    flat = rules.match_rules(flat, mask="rule_mask").withColumn("ioc_matches", intel.ioc_match_array())
     streams = [F.col(c) for c in ("ensemble_score", "vae_anomaly_score", "hst_anomaly_score", "temporal_score", "adversarial_score")]
     flat = flat.withColumns({"meta_score": scoring.meta_score(streams), "mitre_predictions": rules.to_mitre()})
-    flat = flat.withColumn("compliance_tags", rules.compliance_tags())
-    flat = rules.recommend_response(flat)
+    flat = flat.withColumn("compliance_tags", rules.compliance_tags(mask="rule_mask"))
+    flat = rules.recommend_response(flat, mask="rule_mask").drop("rule_mask")
     masked = flat.withColumns({c: mask_pii(F.col(c)) for c in ("message", "raw_log")})
     return masked.withColumn("narrative", narrative.narrative())
 
