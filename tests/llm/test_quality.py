@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from duskwatch.llm.quality import Forest, calibrate, quality_rules, rule_statistics
+from duskwatch.llm.quality import Forest, calibrate, quality_report, quality_rules, rule_statistics, text_counts
 
 
 def brute(text):
@@ -50,3 +50,48 @@ def test_verdicts(odd, none, spark):
         assert r.kept == (not r.base_failed and r.anomaly < r.anomaly_limit) and 0 <= r.anomaly <= 1
     assert quality_rules(none, labels).collect() == []
     assert len(quality_rules(odd, labels.limit(0)).collect()) == odd.count()
+
+
+def path_length(tree, row):
+    """Splits passed by one row, step by step, and what the leaf adds for the rows left in it."""
+    column, value, child, leaf = tree
+    at = 0
+    while column[at] >= 0:
+        at = child[at] + int(row[column[at]] >= value[at])
+    return leaf[at]
+
+
+def test_scores_equal_path_lengths():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 1, (300, 4)), 1)
+    f = Forest(x, trees=20, sample=32)
+    mean = [np.mean([path_length(t, row) for t in f.trees]) for row in x[:60]]
+    harmonic = sum(1 / i for i in range(1, 32))
+    # the usual estimate of the average path of an unsuccessful search among 32 rows
+    usual = 2 * (np.log(31) + np.euler_gamma) - 2 * 31 / 32
+    assert abs(2 * harmonic - 2 * 31 / 32 - usual) < 0.05
+    assert np.allclose(f.score(x[:60]), 2.0 ** (-np.array(mean) / usual))
+    for column, value, child, leaf in f.trees:
+        inner = np.flatnonzero(column >= 0)
+        assert sorted(np.concatenate([child[inner], child[inner] + 1])) == list(range(1, len(column)))
+
+
+def test_further_counts():
+    import pyarrow as pa
+
+    texts = ["a bb ccc! d--e 12 3", "", "\u00e9t\u00e9 ## x#y#", "aaaa"]
+    got = text_counts(pa.array(texts))
+    for i, text in enumerate(texts):
+        w = [x.encode() for x in text.split()]
+        other = [sum(not (65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in x) for x in w]
+        b = np.array(list(text.encode()))
+        share = np.unique(b, return_counts=True)[1] / max(len(b), 1)
+        want = (sum(map(len, w)) - sum(other), sum(map(len, w)), sum(len(x) < 3 for x in w), sum(o == len(x) for o, x in zip(other, w)), sum(o > 1 for o in other))
+        assert tuple(int(got[c][i]) for c in ("n_letters", "n_solid", "n_short", "n_letterless", "n_mixed")) == want
+        assert np.isclose(got["entropy"][i], -(share * np.log2(share)).sum() if len(b) else 0)
+
+
+def test_held_out_recall(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    r = quality_report(docs, labels).first()
+    assert r.bad_rows > 10 and r.bad_base + r.bad_forest >= 0.8 * r.bad_rows and r.good_forest <= 0.03 * r.good_rows
