@@ -72,3 +72,32 @@ def test_better_than_unigram_on_held_out_rows(spark):
 
 def test_empty_table(none):
     assert lm.score_texts(none, steps=5).collect() == []
+
+
+def outcomes(n=6):
+    """The first words are classes of their own, the next ``n`` lie in shared class 2, as does its rest."""
+    shared = np.full(lm.OUTCOMES, -1)
+    shared[lm.VECTORS :] = np.arange(lm.TAIL)
+    shared[lm.OWN : lm.OWN + n] = 2
+    return shared
+
+
+def test_words_within_a_class_are_normalised_and_learned():
+    shared = outcomes()
+    a, b, rest = lm.OWN, lm.OWN + 1, lm.VECTORS + 2
+    pairs = np.array([0 * lm.OUTCOMES + a, 1 * lm.OUTCOMES + b, a * lm.OUTCOMES + rest, b * lm.OUTCOMES + 5])
+    order = np.argsort(pairs)
+    table = lm.log10_words(lm.train_words(shared, pairs[order], np.array([40.0, 40.0, 20.0, 9.0])[order], steps=400), shared)
+    inside = np.flatnonzero(shared == 2)
+    assert (10.0 ** table[:, inside].astype(float)).sum(1) == pytest.approx(np.ones(len(table)), abs=1e-4)
+    assert 10.0 ** table[0, a] > 0.8 and 10.0 ** table[1, b] > 0.8 and 10.0 ** table[a, rest] > 0.7
+    assert (table[:, : lm.OWN] == 0).all() and 10.0 ** table[3, lm.VECTORS + 7] == pytest.approx(1)
+
+
+def test_word_vectors_help_on_held_out_rows(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    with_vectors = lm.score_texts(docs, steps=600).where("held_out").agg(F.sum("score")).first()[0]
+    # without them a word has its add-one share of the class, whatever stands before it
+    monkeypatch.setattr(lm, "train_words", lambda shared, pair, count, **k: {"r": np.zeros((lm.OUTCOMES + 1, 1)), "q": np.zeros((lm.OUTCOMES, 1)), "b": np.log(np.bincount(pair % lm.OUTCOMES, count, lm.OUTCOMES) + 1.0)})
+    words_only = lm.score_texts(docs, steps=600).where("held_out").agg(F.sum("score")).first()[0]
+    assert with_vectors > words_only
