@@ -33,11 +33,11 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[root]
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that can be reached. ``edges`` has long columns a and b.
 
     Large-star and small-star rounds. Minima are combined before the shuffle, a hub meets only one
-    row per node in the join back, and each round is checkpointed. Nodes whose only edge is a loop
+    row per node in the join back, and each round is checkpointed; rounds go on until nothing changes. Nodes whose only edge is a loop
     are their own component; null ends are ignored.
     """
     pair = settle(
@@ -46,9 +46,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     loops = pair.where("u = v").select(F.col("u").alias("node"))
     pair = pair.where("u <> v")
     mark = _mark(pair)
-    for _ in range(limit):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -62,8 +60,6 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     found = pair.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = pair.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     all_ = found.unionByName(roots)

@@ -32,6 +32,8 @@ from duskwatch.llm.rows import unit_hash
 from duskwatch.llm.tokens import BYTE_CODE, U64, Words, distinct, list_column, mix, slices
 
 CELL = 1_000_000
+#: Bytes of text whose sets are built together; a longer text stands alone.
+SLICE = 1 << 18
 #: Signatures that one task looks through for keys that share one.
 SIGS_PER_TASK = 1_000_000
 #: Rows of (key, group) up to which the sets to search are picked by a broadcast join.
@@ -129,7 +131,7 @@ def _sign(size: int, percent: int, common):
         listed = common.value
         for batch in batches:
             text = batch.column("text").fill_null("")
-            for low, high in slices(text):
+            for low, high in slices(text, SLICE):
                 value, offsets, n, key = _sets(text.slice(low, high - low), size)
                 doc, sig = _signatures(value, offsets, percent, listed)
                 order = np.argsort(doc, kind="stable")
@@ -156,7 +158,7 @@ def _common_grams(text: DataFrame, size: int) -> np.ndarray:
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text").fill_null("")
-            for low, high in slices(column):
+            for low, high in slices(column, SLICE):
                 value, _, n, key = _sets(column.slice(low, high - low), size)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.repeat(key, n))], ["gram", "key"])
 
@@ -177,7 +179,7 @@ def _full_sets(size: int, least: int):
         seen: set[int] = set()
         for batch in batches:
             text = batch.column("text").fill_null("")
-            for low, high in slices(text):
+            for low, high in slices(text, SLICE):
                 value, offsets, n, key = _sets(text.slice(low, high - low), size)
                 rows = [i for i in np.flatnonzero(n >= least) if (k := int(key[i])) not in seen and not seen.add(k)]
                 span = n[rows]
