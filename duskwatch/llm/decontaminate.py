@@ -50,6 +50,8 @@ NUMBER_WORDS = (
     "cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta "
     "cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones"
 ).split()
+# Words after which a unit stands without a number of its own.
+PER = "per pro par por".split()
 # German words after which a capital letter starts a noun, not a name.
 BEFORE_NOUNS = (
     "der die das den dem des ein eine einen einem einer eines kein keine keinen keinem keiner im am zum zur vom beim ins ans jede jeder jedes jeden "
@@ -72,7 +74,7 @@ def _word_list(words: list[str]) -> np.ndarray:
     return np.sort(w.hashes())
 
 
-_UNIT_HASHES, _NUMBER_HASHES, _NOUN_HASHES = _word_list(UNITS), _word_list(NUMBER_WORDS), _word_list(BEFORE_NOUNS)
+_UNIT_HASHES, _NUMBER_HASHES, _NOUN_HASHES, _PER_HASHES = (_word_list(x) for x in (UNITS, NUMBER_WORDS, BEFORE_NOUNS, PER))
 
 
 def _split_glued(column: pa.Array) -> pa.Array:
@@ -112,7 +114,7 @@ class Template:
         follows = np.zeros(len(doc), bool)
         follows[1:] = doc[1:] == doc[:-1]
         unit = np.zeros(len(doc), bool)
-        unit[1:] = number[:-1] & follows[1:] & _among(value, _UNIT_HASHES)[1:]
+        unit[1:] = (number | _among(value, _PER_HASHES))[:-1] & follows[1:] & _among(value, _UNIT_HASHES)[1:]
         head = data[start] if len(start) else data[:0]
         second = data[np.minimum(start + 1, n - 1)] if len(start) else data[:0]
         latin = (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,7 +152,7 @@ def brute_tokens(text):
     """Template tokens of a text by single steps: (kind or lower-cased word, value)."""
     import re
 
-    from duskwatch.llm.decontaminate import BEFORE_NOUNS, NUMBER_WORDS, UNITS
+    from duskwatch.llm.decontaminate import BEFORE_NOUNS, NUMBER_WORDS, PER, UNITS
 
     low = lambda s: "".join(c.lower() if c.isascii() else c for c in s)
     out, before, raw_before, gap = [], None, "", ""
@@ -163,7 +165,7 @@ def brute_tokens(text):
             continue
         value = low(word)
         number = bool(re.fullmatch(r"[0-9.,:/-]*[0-9][0-9.,:/-]*", word)) or value in NUMBER_WORDS
-        unit = before == "number" and value in UNITS
+        unit = before is not None and (before == "number" or last in PER) and value in UNITS
         capital = word[0].isascii() and word[0].isupper() or 0xC0 <= ord(word[0]) <= 0xDE
         inside = before is not None and raw_before[-1] not in ".!?:;\"'()|" and "\n" not in gap and last not in BEFORE_NOUNS
         name = capital and len(word) > 1 and not ("A" <= word[1] <= "Z") and inside and not number and not unit
@@ -186,7 +188,7 @@ def test_template_tokens_equal_brute_force():
     from duskwatch.llm.tokens import Words
 
     rng = random.Random(4)
-    parts = ["Alice", "Bob", "der", "Hund", "12", "3.5", "km", "hours", "zwei", "5kg", "apples,", "ran.", "(and)", "\n", "Zoë", "Élan", "USA", "--", "how?", "A", "1/2", "B2b", "x"]
+    parts = ["Alice", "Bob", "der", "Hund", "12", "3.5", "km", "hours", "zwei", "5kg", "apples,", "ran.", "(and)", "\n", "Zoë", "Élan", "USA", "--", "how?", "A", "1/2", "B2b", "x", "per", "hour"]
     texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "  ", "\t"]) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [NAMED, "", "?!"]
     t = Template(pa.array(texts))
     code = {"number": NUMBER, "unit": UNIT, "name": NAME}
@@ -198,3 +200,28 @@ def test_template_tokens_equal_brute_force():
         kinds = [code.get(k) for k, _ in want]
         literal = hashed([k for k, _ in want])
         assert [int(x) for x in t.token[got]] == [int(k if k is not None else h) for k, h in zip(kinds, literal)], text
+
+
+FRAMES = [
+    "{a} bought {n} apples at the market on the way home and then gave {m} of them to {b}. How many apples does {a} have left?",
+    "A train leaves the station at noon and travels {n} km in {m} hours without a single stop. What is its average speed?",
+    "There are {n} students in the class of {a}, and {m} of them play football after school. How many do not play?",
+    "The water tank holds {n} liters, and {a} fills it at {m} liters per minute until it is full. How long does it take?",
+    "{a} reads {n} pages every day and {b} reads {m} pages every day. How many pages do both of them read in a week?",
+    "If {n} workers build a wall in {m} days, how many days do they need for a wall of twice the size with the same speed?",
+    "{a} is {n} years old and {b} is {m} years older than that. How old will {b} be in ten years from now?",
+    "A farmer sells {n} eggs for {m} dollars each and pays the rent with half of it; how much money is left in the end?",
+    "What is {n} + {m} ?", "{a} has {n} cats.", "Compute {n} x {m} .", "{n} , {m} , {n} , {m}",
+]
+
+
+def test_recall_of_items_with_other_names_and_numbers(spark):
+    """Every name, number and unit changed, one to one: all items of ten tokens and more are found; short ones are not, and nothing else is."""
+    items = [(i, f.format(a="Alice", b="Bob", n=12 + i, m=5)) for i, f in enumerate(FRAMES)]
+    units = {"km": "miles", "hours": "days", "liters": "gallons", "dollars": "euros", "minute": "hour"}
+    texts = []
+    for i, f in enumerate(FRAMES):
+        text = f.format(a="Carol", b="Dave", n=70 + i, m=31)
+        texts.append((i, "As we said before. " + re.sub(r"\w+", lambda w: units.get(w.group(), w.group()), text)))
+    found = {(d, i): kind for d, i, kind in leaks(spark, items, texts, sparse=True, verbatim=True)}
+    assert set(found.values()) == {"reparameterised"} and set(found) == {(i, i) for i in range(8)}
