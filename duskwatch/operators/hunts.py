@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions.text import is_internal
+from duskwatch.functions.vectors import similar_vectors
 from duskwatch.operators.sequence import Pattern, Stage, match_sequence
 
 LOGINS = ["login", "authenticate"]
@@ -271,6 +272,17 @@ def span_seconds(text: str) -> int:
     return int(amount) * DURATION_UNITS[unit]
 
 
+def p_similar(vectors: DataFrame, query: Sequence[float], threshold: float = 0.75, k: int = 20, column: str = "embedding", tenant: str | None = None) -> DataFrame:
+    """The ``k`` rows of ``vectors`` most like the query vector, at least ``threshold`` alike, with their score: the similarity part of a hunt."""
+    return similar_vectors(vectors, query, k, threshold, tenant, column)
+
+
+def hunt_with_similar(hits: DataFrame, similar: DataFrame, key: str = "event_id") -> DataFrame:
+    """Hits of a hunt and of its similarity part counted together: kind, id, score."""
+    row = lambda df, kind, score: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col(score).alias("score"))
+    return row(hits, "event", "meta_score").unionByName(row(similar, "similar", "score"))
+
+
 def p_sequence(events: DataFrame, stages: Sequence[Column], entity: str = "src_ip", span: str = "900s") -> DataFrame:
     """(tenant_id, entity column, triggering_event_id, span_seconds) wherever rows of one entity meet the
     predicates in order, the last at most ``span`` after the first. Rows without the entity are skipped."""

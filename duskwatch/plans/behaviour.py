@@ -450,6 +450,15 @@ def _(spark, sf_dir):
     return _campaign_events(spark, sf_dir).select("event_id", "tenant_id", "campaign_id")
 
 
+_CC_ALL = _CC.replace("meta_score >= 0.9)", "meta_score >= 0.3)").replace("WHERE meta_score >= 0.9", "WHERE meta_score >= 0.3").replace(">= 0.95", ">= 0.6")
+
+
+@SUITE.query("correlate_campaigns_all", _CC_ALL + " SELECT event_id, tenant_id, campaign_id FROM cc")
+def _(spark, sf_dir):
+    """All events at the default thresholds; in the test data every tenant is one campaign."""
+    return C.correlate_campaigns(sequence_events(spark, sf_dir)).select("event_id", "tenant_id", "campaign_id")
+
+
 _KC = "CASE replace(tactic,'-','_') " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(C.KILL_CHAIN)) + " END"
 
 

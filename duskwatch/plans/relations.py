@@ -10,7 +10,7 @@ from duskwatch.operators import evaluation as E
 from duskwatch.operators import retraining as RT
 from duskwatch.operators import similar as SI
 from duskwatch.operators import graph as G
-from duskwatch.operators.hunts import hunt, p_ml
+from duskwatch.operators.hunts import hunt, hunt_with_similar, p_ml, p_similar
 from duskwatch.plans.base import SEC, Suite, sec_events, table
 from duskwatch.plans.side import RANK_SQL
 from duskwatch.session import shared_folder
@@ -258,11 +258,11 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Hunt with a similarity part: event hits and similar narratives, counted together."""
     ev = sec_events(spark, sf_dir)
-    hits = hunt(ev, "tenant-1", [p_ml(">", 0.5)], 50).select(F.lit("event").alias("kind"), F.col("event_id").cast("string").alias("id"), F.col("meta_score").alias("score"))
+    hits = hunt(ev, "tenant-1", [p_ml(">", 0.5)], 50)
     notes = ev.where("tenant_id = 'tenant-1'").select("event_id", V.hash_vector(F.col("message")).alias("embedding"))
     query = ev.sparkSession.range(1).select(V.hash_vector(F.lit("mimikatz lsass access"))).first()[0]
-    near = V.similar_vectors(notes, query, 20, 0.75).select(F.lit("similar").alias("kind"), F.col("event_id").cast("string").alias("id"), F.round("score", 6).alias("score"))
-    return hits.unionByName(near)
+    both = hunt_with_similar(hits, p_similar(notes, query))
+    return both.withColumn("score", F.round("score", 6))
 
 
 # ---- evaluation ----

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from duskwatch.operators import intel, reports as R, rules
 from duskwatch.plans import side
 from duskwatch.plans.base import NOW, SEC, Suite, sec_events, table
+from duskwatch.plans.detection import RM, _TAG_SQL
 from duskwatch.plans.side import (
     AUDIT_SQL, CAMPAIGNS_SQL, FINDING_ROWS_SQL, HEARTBEATS_SQL, RANK_SQL, RULES_SQL, VERDICTS_SQL,
 )
@@ -335,13 +336,11 @@ def _(spark, sf_dir):
 
 @SUITE.query(
     "compliance_digest",
-    SEC + " SELECT event_id, CASE WHEN temporal_score > 0.8 THEN 'NIST-CSF:DE.AE-1, PCI-DSS:10.6, SOC2:CC6.1' END AS tags FROM sec WHERE "
-    "temporal_score > 0.8 ORDER BY meta_score DESC, event_id DESC LIMIT 50",
+    RM + f", tg AS (SELECT DISTINCT event_id, tag FROM ({_TAG_SQL})), dg AS (SELECT event_id, string_agg(tag, ', ' ORDER BY tag) AS tags FROM tg GROUP BY 1) "
+    "SELECT event_id, tags FROM dg JOIN sec USING (event_id) ORDER BY meta_score DESC, event_id DESC LIMIT 50",
 )
 def _(spark, sf_dir):
-    ev = sec_events(spark, sf_dir).withColumn("bytes_out", F.lit(0))
-    ev = rules.match_rules(ev, [("none", "none", "", "", "", {"dst_port": -1}, 0.0)])
-    tagged = ev.withColumn("compliance_tags", rules.compliance_tags())
+    tagged = rules.match_rules(sec_events(spark, sf_dir), mask="rule_mask").withColumn("compliance_tags", rules.compliance_tags(mask="rule_mask"))
     return R.compliance_digest(tagged, 50).select("event_id", "tags")
 
 
