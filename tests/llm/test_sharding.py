@@ -29,3 +29,41 @@ def test_shards(odd):
 
 def test_empty_table(none):
     assert shuffle_into_shards(none).collect() == []
+
+
+def plain_place(number, n, seed=0):
+    """One row at a time in whole numbers: Feistel rounds over the two halves, again and again until the value is below n."""
+    k = 1
+    while 1 << (2 * k) < n:
+        k += 1
+    mask, full = (1 << k) - 1, (1 << 64) - 1
+    value = number
+    while True:
+        left, right = value >> k, value & mask
+        for r in range(6):
+            key = (seed * 1_000_003 + r * 7_919 + 1) % (1 << 61)
+            h = ((right + key) * 0x9E3779B97F4A7C15) & full
+            h ^= h >> 29
+            h = (h * 0xBF58476D1CE4E5B9) & full
+            left, right = right, left ^ ((h ^ (h >> 32)) & mask)
+        value = (left << k) | right
+        if value < n:
+            return value
+
+
+def test_every_row_equals_a_plain_permutation(odd):
+    """Sort all rows, number them, permute each number by single steps, compare every row."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    rows = odd.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    crc = lambda t: None if t is None else zlib.crc32(t.encode())
+    low = lambda x: (x is not None, x if x is not None else 0)
+    rows.sort(key=lambda r: (low(r.doc_id), r.h, low(crc(r.text))))
+    want = []
+    for i, r in enumerate(rows):
+        at = plain_place(i, len(rows))
+        want.append((r.doc_id, len((r.text or "").encode()) + 1, crc(r.text), "rows", at % 8, at // 8, None))
+    got = [tuple(r) for r in shuffle_into_shards(odd, shards=8).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
