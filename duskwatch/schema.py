@@ -93,8 +93,17 @@ def canonical(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return df.select(*cols)
 
 
-def flatten_events(events: DataFrame) -> DataFrame:
-    """Nested event → flat analytical row; a missing network means null addresses and zero counters."""
+#: What the feature vector reads beyond the flat table, by its place in the nested event.
+FEATURE_INPUTS = {
+    "src_criticality": "source_entity.asset_criticality", "dst_criticality": "destination_entity.asset_criticality", "src_country": "source_entity.geo_country",
+    "dst_country": "destination_entity.geo_country", "src_entity_type": "source_entity.entity_type", "dst_entity_type": "destination_entity.entity_type",
+    "uri_entropy": "behavioral_dna.uri_entropy", "payload_entropy": "behavioral_dna.payload_entropy", "request_cadence_ms": "behavioral_dna.request_cadence_ms",
+    "ja3_hash": "behavioral_dna.ja3_hash",
+}
+
+
+def flatten_events(events: DataFrame, feature_inputs: bool = False) -> DataFrame:
+    """Nested event → flat analytical row; a missing network means null addresses and zero counters. ``feature_inputs`` adds ``FEATURE_INPUTS``."""
     zero = F.lit(0)
     num = lambda c: F.coalesce(F.col(c), zero)
     score = lambda c: F.coalesce(F.col(f"ml_scores.{c}"), F.lit(0.0)).alias(c)
@@ -112,6 +121,7 @@ def flatten_events(events: DataFrame) -> DataFrame:
         F.col("ml_scores.mitre_predictions").alias("mitre_predictions"),
         "cep_sequence_id", "tactic", "technique", "campaign_id", "posture_delta", "compliance_tags",
         F.col("metadata.raw_log").alias("raw_log"), F.col("metadata.parser_name").alias("parser_name"), "is_synthetic",
+        *([F.col(path).alias(name) for name, path in FEATURE_INPUTS.items()] if feature_inputs else []),
     )
 
 

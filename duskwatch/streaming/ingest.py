@@ -14,17 +14,28 @@ from duskwatch.sources.normalize import route_and_normalize
 from duskwatch.sources.tables import month_of
 
 
+def with_canonical_source(events: DataFrame) -> DataFrame:
+    """The source entity under its canonical name, by its own type."""
+    name, kind = F.col("source_entity.identifier"), F.coalesce("source_entity.entity_type", F.lit("host"))
+    return events.withColumn(
+        "source_entity", F.when(F.col("source_entity").isNotNull(), F.col("source_entity").withField("identifier", canonical_identifier(name, kind)))
+    )
+
+
+def events_from_raw(raw: DataFrame) -> DataFrame:
+    """Raw topics, a table or a stream, → flat events with their ``entity`` and feature inputs, as ``assess`` and ``scored_stream`` take them."""
+    flat = flatten_events(with_canonical_source(route_and_normalize(raw).events), feature_inputs=True)
+    return flat.withColumns({"entity": F.coalesce("source_entity", F.lit("unknown")), "asset_criticality": F.col("src_criticality")})
+
+
 def score_events(events: DataFrame) -> DataFrame:
-    """Flat events → rules, indicators, fused score, tags, response and narrative. Stateless.
+    """Events → rules, indicators, fused score, tags, response and narrative, without state: the scores are those that came with
+    the event. ``streaming.pipeline.scored_stream`` over ``events_from_raw`` scores them itself.
 
     Entities are canonicalised by their own type. Rules and indicators read the text as it came; it is
     masked after them, before the narrative quotes it and before anything is written.
     """
-    name, kind = F.col("source_entity.identifier"), F.coalesce("source_entity.entity_type", F.lit("host"))
-    named = events.withColumn(
-        "source_entity", F.when(F.col("source_entity").isNotNull(), F.col("source_entity").withField("identifier", canonical_identifier(name, kind)))
-    )
-    flat = flatten_events(named)
+    flat = flatten_events(with_canonical_source(events))
     flat = rules.match_rules(flat, mask="rule_mask").withColumn("ioc_matches", intel.ioc_match_array())
     streams = [F.col(c) for c in ("ensemble_score", "vae_anomaly_score", "hst_anomaly_score", "temporal_score", "adversarial_score")]
     flat = flat.withColumns({"meta_score": scoring.meta_score(streams), "mitre_predictions": rules.to_mitre()})

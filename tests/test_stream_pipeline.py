@@ -217,3 +217,27 @@ def test_current_table(spark, tmp_path):
     put([("c", 9, 9)], 4)
     assert {tuple(r) for r in t.read().collect()} == want - {("c", 1, 1)} | {("c", 9, 9)}
     assert {tuple(r) for r in t.read(before=2).collect()} == {("a", 2, 2), ("b", 1, 1), (None, 5, 1)}
+
+
+def test_raw_topics_through_the_whole_chain(spark, tmp_path):
+    import json
+
+    from duskwatch.streaming.ingest import events_from_raw
+
+    at = lambda i: f"2024-01-01T{i // 60:02d}:{i % 60:02d}:00"
+    sig = ["ET MALWARE CobaltStrike Beacon", "Nmap port scan", "ordinary"]
+    lines = [("logs.suricata", json.dumps({"timestamp": at(i), "src_ip": f"10.0.0.{i % 3}", "src_port": "1000", "dest_ip": "198.51.100.22", "dest_port": str(20 + i % 5), "proto": "TCP", "event_type": "alert", "alert": {"signature": sig[i % 3], "severity": str(1 + i % 4)}})) for i in range(60)]
+    lines += [("logs.zeek", json.dumps({"ts": 1704067200 + 60 * i + 30, "id.orig_h": "10.0.0.1", "id.orig_p": "5", "id.resp_h": "9.9.9.9", "id.resp_p": "53", "conn_state": "SF"})) for i in range(60)]
+    lines += [("logs.zeek", "{broken"), ("logs.nowhere", "x")]
+    rows = [(t, v, i // 61) for i, (t, v) in enumerate(sorted(lines[:120], key=lambda x: json.loads(x[1]).get("timestamp") or at((json.loads(x[1])["ts"] - 1704067200) // 60) + "x") + lines[120:])]
+    for part in (0, 1):
+        spark.createDataFrame([r[:2] for r in rows if r[2] == part], "topic string, value string").coalesce(1).write.parquet(f"{tmp_path}/raw/{part}")
+    raw = spark.readStream.schema("topic string, value string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/raw/*")
+    sinks = Sinks(f"{tmp_path}/out", buckets=2)
+    query = start_pipeline(scored_stream(events_from_raw(raw), "1 hour"), sinks, f"{tmp_path}/ck", availableNow=True)
+    query.awaitTermination(600)
+    assert query.exception() is None
+    batch = A.with_running_posture(A.assess(events_from_raw(spark.read.schema("topic string, value string").parquet(f"{tmp_path}/raw/*"))))
+    want = values(batch.collect())
+    assert values(sinks.events(spark).collect()) == want and len(want) == 120
+    assert {v[5] for v in want.values()} >= {1, 40} and spark.read.parquet(f"{sinks.path}/alerts").count() > 0
