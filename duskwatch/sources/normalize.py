@@ -310,14 +310,14 @@ def syslog_severity(number: Column) -> Column:
     return F.coalesce(F.get(levels, number.cast("int")), F.lit("info"))
 
 
-def normalize_syslog_generic(raw: DataFrame) -> Parsed:
-    """JSON when it parses, else the line itself; the first two addresses become source and target."""
+def normalize_syslog_generic(raw: DataFrame, chars: int | None = None) -> Parsed:
+    """JSON when it parses, else the line itself, whole or cut to ``chars``; the first two addresses become source and target."""
     df = parse_json(raw, "severity string, level string, message string, facility string, program string, hostname string")
     j, line = F.col("j"), ~F.col("bad")
     number = F.coalesce(j["severity"], j["level"], F.lit("6"))
     body = F.when(line, F.coalesce(j["message"], F.lit(""))).otherwise(F.col("value"))
     src, dst = first_ip(body, 0), first_ip(body, 1)
-    short = F.substring("value", 1, 500)
+    short = F.col("value") if chars is None else F.substring("value", 1, chars)
     fields = {
         "timestamp": F.col("received_at"),
         "event_category": F.when(line, F.coalesce(j["facility"], F.lit("generic"))).otherwise("generic"),
@@ -405,8 +405,8 @@ def normalize_ms_sentinel(raw: DataFrame) -> Parsed:
 HEC_EVENT = "src_ip string, src string, dest_ip string, dest string, host string, message string, msg string"
 
 
-def normalize_splunk_hec(raw: DataFrame) -> Parsed:
-    """Envelope with an object or a string as event; without an event the envelope is the event."""
+def normalize_splunk_hec(raw: DataFrame, chars: int | None = None) -> Parsed:
+    """Envelope with an object or a string as event; without an event the envelope is the event. The message is whole or cut to ``chars``."""
     df = parse_json(raw, f"time string, event string, sourcetype string, {HEC_EVENT}")
     j = F.col("j")
     inner = F.from_json(j["event"], HEC_EVENT)
@@ -422,7 +422,7 @@ def normalize_splunk_hec(raw: DataFrame) -> Parsed:
         "timestamp": F.coalesce(F.when(epoch != 0, F.timestamp_micros(F.round(epoch * 1e6).cast("bigint"))), "received_at"),
         "source_type": F.coalesce(j["sourcetype"], F.lit("splunk_hec")),
         "severity": F.lit("low"),
-        "message": F.substring(body, 1, 1000),
+        "message": body if chars is None else F.substring(body, 1, chars),
         "source_entity": entity("host", host),
         "network": F.when(F.coalesce(text(src), text(dst)).isNotNull(), network(src_ip=src, dst_ip=dst)),
     }
