@@ -84,8 +84,8 @@ def _run_length(start: np.ndarray, before: int) -> np.ndarray:
 class Walk:
     """One segment, batch by batch. ``tail`` is the state of the key walked last."""
 
-    def __init__(self, entry: Tail, cap: int, recent: int):
-        self.tail, self.cap, self.recent = entry, cap, recent
+    def __init__(self, entry: Tail, cap: int, recent: int, in_run: bool):
+        self.tail, self.cap, self.recent, self.in_run = entry, cap, recent, in_run
         self.key: tuple | None = None
         self.first_key: tuple | None = None
 
@@ -119,7 +119,7 @@ class Walk:
         camp = batch.column("_camp")
         out["sticky_campaign"] = self._sticky(camp, idle, old.campaign)
         out["_new"], out["_idle"] = new, idle
-        before = np.maximum(np.where(new, us, np.r_[us[0] if new[0] else old.last, us[:-1]]), 0) if n else us
+        before = np.r_[us[0] if new[0] else old.last, us[:-1]]
         out["before_last_seen_us"] = pa.array(before, mask=idle)
         spans = self._recent(us, new, idle, old) if self.recent else None
         if spans is not None:
@@ -156,24 +156,17 @@ class Walk:
         return taken if old is None else pc.if_else(pa.array((given < 0) & (began < 0)), pa.scalar(old, camp.type), taken)
 
     def _recent(self, us: np.ndarray, new: np.ndarray, idle: np.ndarray, old: Tail) -> pa.Array:
-        """The last times of the key in its current run of activity, this row's included."""
+        """The last times of the key, or with ``in_run`` of its current run of activity, this row's included."""
         line = np.concatenate([np.array(old.times, np.int64), us])
         shift, at = len(old.times), np.arange(len(us)) + len(old.times)
-        began = np.maximum.accumulate(np.where(self._cuts(new, idle), at, shift - self._carried(old)))
+        cuts, carried = (idle, old.run_times) if self.in_run else (new, shift)
+        began = np.maximum.accumulate(np.where(cuts, at, shift - carried))
         low = np.maximum(at - self.recent + 1, began)
         size = at - low + 1
         ends = np.cumsum(size)
         flat = np.repeat(low - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
         return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(line[flat]))
 
-    in_run = False
-
-    def _cuts(self, new: np.ndarray, idle: np.ndarray) -> np.ndarray:
-        return idle if self.in_run else new
-
-    def _carried(self, old: Tail) -> int:
-        return old.run_times if self.in_run else len(old.times)
-
     def _keep(self, batch, us, new, idle, hour, five, out, sights, old: Tail) -> None:
         last_new = np.flatnonzero(new)
         begin = int(last_new[-1]) if len(last_new) else 0
@@ -217,8 +210,7 @@ def _entries(seg: DataFrame, cap: int, recent: int, in_run: bool) -> dict[int, T
     """State that the first key of each segment brings along; the driver sees one small row per segment."""
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, sid = Walk(Tail(), cap, recent), None
-        walk.in_run = in_run
+        walk, sid = Walk(Tail(), cap, recent, in_run), None
         for batch in batches:
             if not len(batch):
                 continue
@@ -266,8 +258,7 @@ def entity_pass(
             if not len(batch):
                 continue
             if walk is None:
-                walk = Walk(entries[batch.column(SEG)[0].as_py()], cap, recent)
-                walk.in_run = in_run
+                walk = Walk(entries[batch.column(SEG)[0].as_py()], cap, recent, in_run)
                 last = _last_state(walk.tail)
             given = walk.step(batch)
             if before:
