@@ -298,7 +298,8 @@ def find_leaks(
     sizes = [tuple(r) for r in items.select("plain", "size").distinct().collect()]
     distinct = items.select("window").distinct()
     few = distinct.limit(LISTED_WINDOWS + 1).count() <= LISTED_WINDOWS
-    small = F.broadcast if few else (lambda df: df)
+    # a window that many items share is one window but many rows: what is broadcast is counted in rows
+    small = F.broadcast if items.limit(LISTED_WINDOWS + 1).count() <= LISTED_WINDOWS else (lambda df: df)
     listed = None
     if few:
         values = distinct.toArrow().column("window").to_numpy().view(U64) if sizes else np.zeros(0, U64)
