@@ -58,3 +58,23 @@ def test_mask_equals_matches(spark):
         by_list = rules.recommend_response(ev.withColumn("tags", rules.compliance_tags())).select("event_id", "tags", "recommendation").orderBy("event_id").collect()
         by_mask = rules.recommend_response(ev.withColumn("tags", rules.compliance_tags(mask="m", rules=rule_list)), mask="m", rules=rule_list).select("event_id", "tags", "recommendation").orderBy("event_id").collect()
         assert by_list == by_mask and len({r.recommendation.action for r in by_mask}) > 2
+
+
+def test_copies_and_rows_of_a_search(spark, monkeypatch):
+    """Of many equal rows those with the smallest ids are found, and a shelf gives no more than its best rows."""
+    monkeypatch.setattr(S, "SHELVES", 4)
+    monkeypatch.setattr(S, "SHELF_ROWS", 50)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.tile(rng.normal(size=8), (400, 1)), rng.normal(size=(200, 8))])[rng.permutation(600)]
+    df = table(spark, x)
+    index = S.build(df, cells=6)
+    asked = S.unit_rows(df.where("vec_id % 10 = 0"), "vec_id", "embedding")
+    want = brute(x, range(0, 600, 10), 5)
+    for options in ({"exact": True}, {"probes": 6}):
+        got = {}
+        found = S.search(index, asked, 5, **options)
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert all(got[q] == want[q] for q in got if (x == x[q]).all(1).sum() > 1) and len(got) == 60
+        # scores are taken where rows meet: vectors are not joined to pairs
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
