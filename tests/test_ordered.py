@@ -237,3 +237,21 @@ def test_splits_keep_rows_without_label(spark):
     assert stratified_split(df, "label", "id", max_rows=6).count() == 40
     late = df.select("id", F.col("label").alias("tenant_id"), F.timestamp_seconds("id").alias("created_at"))
     assert time_split(late, max_rows=6).count() == 40
+
+
+def test_history_travels_as_it_came(spark, monkeypatch):
+    """Vectors are padded where a history is read, not before rows are shuffled and kept."""
+    from duskwatch.operators import segments, state
+
+    seen, own = [], segments.Segments.last_n
+
+    def last_n(self, name, col, n):
+        seen.append(self.df.select(F.max(F.size(col))).first()[0])
+        return own(self, name, col, n)
+
+    monkeypatch.setattr(segments.Segments, "last_n", last_n)
+    rows = [("t", "e", i, [float(i), 1.0]) for i in range(7)] + [("t", "f", 9, [float(i) for i in range(9)])]
+    ev = spark.createDataFrame(rows, "tenant_id string, entity string, event_id long, features array<double>").withColumn("timestamp", F.timestamp_seconds("event_id"))
+    got = {r.event_id: r.history for r in state.entity_history(ev, 3, 4).collect()}
+    assert got[6] == [[4.0, 1.0, 0.0, 0.0], [5.0, 1.0, 0.0, 0.0], [6.0, 1.0, 0.0, 0.0]] and got[0] == [[0.0, 1.0, 0.0, 0.0]] and got[9] == [[0.0, 1.0, 2.0, 3.0]]
+    assert seen == [4] and state.entity_history(ev.where("entity = 'e'"), 3, 64).count() == 7 and seen[1] == 2
