@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -27,17 +29,47 @@ def query_literal(vector: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
+def _ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of every row of ``a`` with ``b`` (a vector, or as many rows), summed in order of the dimensions as ``dot`` does."""
+    total = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        total += a[:, d] * b[..., d]
+    return total
+
+
+def cosine_to(column: Column, query: Sequence[float]) -> Column:
+    """Cosine with one known vector, a batch of rows at a time; null where a row has no length, another number of entries or null ones."""
+    given = np.array([float(x) for x in query])
+    size = sum(float(x) ** 2 for x in query) ** 0.5
+
+    @F.arrow_udf("double")
+    def score(vectors: pa.Array) -> pa.Array:
+        usable = vectors.is_valid().to_numpy(zero_copy_only=False) & (vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == len(given))
+        rows = np.flatnonzero(usable)
+        out, none = np.zeros(len(vectors)), np.ones(len(vectors), bool)
+        if len(given) and len(rows):
+            flat = vectors.take(pa.array(rows)).flatten()
+            x = flat.to_numpy(zero_copy_only=False).reshape(len(rows), len(given))
+            whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(x.shape).all(1)
+            x = np.asfortranarray(x)
+            own = np.sqrt(_ordered_dot(x, x)) * size
+            ok = whole & ~(own <= 0)
+            out[rows[ok]], none[rows[ok]] = _ordered_dot(x, given)[ok] / own[ok], False
+        return pa.array(out, mask=none)
+
+    # a filter on the score would be pushed below it as a second computation
+    return score.asNondeterministic()(column.cast("array<double>"))
+
+
 def similar_vectors(
     vectors: DataFrame, query: Sequence[float], k: int = 10, threshold: float = 0.0, tenant: str | None = None,
     column: str = "embedding", exclude: Column | None = None,
 ) -> DataFrame:
-    """Top ``k`` by cosine: one scan with the query as a literal, each task keeps only its best k."""
+    """Top ``k`` by cosine: one scan that knows the query, each task keeps only its best k."""
     rows = vectors if tenant is None else vectors.where(F.col("tenant_id") == tenant)
     if exclude is not None:
         rows = rows.where(~exclude)
-    size = sum(float(x) ** 2 for x in query) ** 0.5
-    own = norm(F.col(column)) * size
-    scored = rows.withColumn("score", dot(F.col(column), query_literal(query)) / F.when(own > 0, own))
+    scored = rows.withColumn("score", cosine_to(F.col(column), query))
     return scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), *_tie(vectors)).limit(k)
 
 
@@ -62,11 +94,15 @@ def approx_similar(vectors: DataFrame, query: Sequence[float], k: int = 10, colu
 
 def hash_vector(text: Column, width: int = 384) -> Column:
     """Text fingerprint: 48 bytes of SHA-512, mapped to [-1, 1], scaled by the largest and tiled."""
-    digest = F.sha2(text, 512)
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(47)),
-        lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0,
-    )
-    top = F.array_max(F.transform(raw, lambda x: F.abs(x)))
-    unit = F.transform(F.arrays_zip(raw.alias("x"), F.array_repeat(top, 48).alias("m")), lambda p: p["x"] / p["m"])
-    return F.flatten(F.array_repeat(unit, width // 48))
+    copies = width // 48
+
+    @F.arrow_udf("array<double>")
+    def spread(digest: pa.Array) -> pa.Array:
+        given = digest.is_valid().to_numpy(zero_copy_only=False)
+        raw = np.frombuffer(b"".join(digest.drop_null().to_pylist()), np.uint8).reshape(-1, 64)[:, :48] / 127.5 - 1.0
+        values = np.zeros((len(digest), 48))
+        values[given] = raw / np.abs(raw).max(axis=1, keepdims=True, initial=0)
+        flat = pa.array(np.tile(values, (1, copies)).ravel(), mask=None if given.all() else np.repeat(~given, 48 * copies))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(digest) + 1, dtype=np.int32) * 48 * copies), flat)
+
+    return spread(F.unhex(F.sha2(text, 512)))

@@ -78,3 +78,25 @@ def test_copies_and_rows_of_a_search(spark, monkeypatch):
         assert all(got[q] == want[q] for q in got if (x == x[q]).all(1).sum() > 1) and len(got) == 60
         # scores are taken where rows meet: vectors are not joined to pairs
         assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_and_cosines_by_batch(spark):
+    """Scores equal the plain sums, odd vectors have none, and nothing is computed by a lambda per entry."""
+    import hashlib
+
+    from duskwatch.functions import vectors as V
+
+    text = spark.createDataFrame([("mimikatz",), ("",), (None,)], "t string").select(V.hash_vector(F.col("t")).alias("v"))
+    raw = np.frombuffer(hashlib.sha512(b"mimikatz").digest()[:48], np.uint8) / 127.5 - 1.0
+    got = [r.v for r in text.collect()]
+    assert got[0] == list(np.tile(raw / np.abs(raw).max(), 8)) and len(got[1]) == 384 and got[2] == [None] * 384
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(50, 7)).astype(np.float32), [float(v) for v in rng.normal(size=7)]
+    odd = [(100, None), (101, []), (102, [1.0] * 6), (103, [0.0] * 7), (104, [None] + [1.0] * 6), (105, [1.0] * 8)]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + odd, "vec_id long, embedding array<float>")
+    plain = df.select("vec_id", V.cosine(F.col("embedding"), V.query_literal(q)).alias("s"))
+    want = {r.vec_id: r.s for r in plain.collect() if r.s is not None}
+    found = V.similar_vectors(df, q, 100, -2.0)
+    score = {r.vec_id: r.score for r in found.collect()}
+    assert score.keys() == want.keys() == set(range(50)) and all(abs(score[i] - want[i]) < 1e-15 for i in want)
+    assert "aggregate(" not in found._jdf.queryExecution().executedPlan().toString()
