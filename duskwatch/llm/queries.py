@@ -58,9 +58,9 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files. They have no paths, so each stands in a directory of its own and inherits from none."""
+    """Documents as files: a source's directory holds one for each language, and files in it inherit its licence."""
     docs = _read(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("lang", F.lit("none")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
     files = docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text")
     return scan_licenses(files, every_term=True, texts=full_texts()).withColumnRenamed("id", "doc_id")
 

@@ -133,3 +133,15 @@ def test_named_files_wrapped_headers_and_full_texts(spark, every_term):
 def test_documents_do_not_inherit_from_strangers(spark):
     rows = op8_license_scan(spark, "/root/testdata/sf0.001").collect()
     assert not [r for r in rows if r.origin == "inherited"] and any(r.origin == "header" for r in rows)
+
+
+def test_a_licence_in_a_directory_reaches_its_other_texts(spark, tmp_path):
+    """The query's directories hold many documents, so inheritance acts on them."""
+    from duskwatch.llm.licenses import full_texts
+    from duskwatch.llm.queries import op8_license_scan
+
+    name, text = full_texts()[0]
+    rows = [(1, text, "en", "a"), (2, "plain words of a story", "en", "a"), (3, "plain words of a story", "de", "a"), (4, "plain words of a story", "en", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.origin, r.license is None) for r in op8_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {1: ("file", False), 2: ("inherited", False), 3: (None, True), 4: (None, True)}
