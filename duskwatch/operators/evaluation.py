@@ -91,15 +91,14 @@ def auc_summary(per_class: DataFrame) -> DataFrame:
 
 
 def time_split(buffer: DataFrame, train_share: float = 0.8, max_rows: int = 2_000_000) -> DataFrame:
-    """Buffered rows marked train or holdout by time order within the tenant."""
+    """Buffered rows marked train or holdout by time order within the tenant.
+
+    The tenant's size comes along with its running count, so a tenant's rows stay spread over their segments.
+    """
     seg = segmented(buffer.withColumn("us", F.unix_micros("created_at")), ["tenant_id"], ["us", "id"], max_rows)
-    seg = seg.running(sums={"_pos": F.lit(1)})
-    total = buffer.groupBy(F.struct("tenant_id").alias(KEY)).agg(F.count("*").alias("_n"))
+    seg = seg.running(sums={"_pos": F.lit(1)}, totals={"_n": F.lit(1)})
     cut = F.floor(F.col("_n") * train_share)
-    return (
-        seg.df.join(total, KEY).withColumn("part", F.when(F.col("_pos") <= cut, "train").otherwise("holdout"))
-        .drop("_pos", "_n", SEG, KEY, "us")
-    )
+    return seg.rows.withColumn("part", F.when(F.col("_pos") <= cut, "train").otherwise("holdout")).drop("_pos", "_n", "us")
 
 
 def verdict_from_action(actions: DataFrame, events: DataFrame) -> DataFrame:
@@ -200,7 +199,6 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42, max_rows: int = 2_000_000) -> DataFrame:
     """Exact per-class split ordered by a seeded hash of the row key."""
     h = F.xxhash64(F.col(key), F.lit(seed))
-    seg = segmented(df.withColumn("_h", h), [label], ["_h", key], max_rows).running(sums={"_pos": F.lit(1)})
-    total = df.groupBy(F.struct(label).alias(KEY)).agg(F.count("*").alias("_n"))
+    seg = segmented(df.withColumn("_h", h), [label], ["_h", key], max_rows).running(sums={"_pos": F.lit(1)}, totals={"_n": F.lit(1)})
     part = F.when(F.col("_pos") <= F.floor(F.col("_n") * share), "train").otherwise("test")
-    return seg.df.join(total, KEY).withColumn("part", part).drop("_h", "_pos", "_n", SEG, KEY)
+    return seg.rows.withColumn("part", part).drop("_h", "_pos", "_n")

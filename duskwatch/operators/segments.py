@@ -41,21 +41,22 @@ class Segments:
 
     def running(
         self, lag: Mapping[str, Column] | None = None, sums: Mapping[str, Column] | None = None, maxs: Mapping[str, Column] | None = None,
-        last: Mapping[str, Column] | None = None,
+        last: Mapping[str, Column] | None = None, totals: Mapping[str, Column] | None = None,
     ) -> "Segments":
         """Per key: previous row's values, inclusive running sums and maxima (nulls ignored), latest
-        non-null values. All of a call share one aggregate, one carry table and one join."""
-        lag, sums, maxs, last = lag or {}, sums or {}, maxs or {}, last or {}
+        non-null values, sums over all rows. All of a call share one aggregate, one carry table and one join."""
+        lag, sums, maxs, last, totals = lag or {}, sums or {}, maxs or {}, last or {}, totals or {}
         order = F.struct(*self.order)
-        inputs = {f"_i_{n}": c for n, c in {**sums, **maxs, **last}.items()}
+        inputs = {f"_i_{n}": c for n, c in {**sums, **maxs, **last, **totals}.items()}
         if lag:
             inputs["_row"] = F.struct(*[c.alias(n) for n, c in lag.items()])
         base = self.df.withColumns(inputs)
-        tails = [F.sum(f"_i_{n}").alias(f"_c_{n}") for n in sums] + [F.max(f"_i_{n}").alias(f"_c_{n}") for n in maxs]
+        tails = [F.sum(f"_i_{n}").alias(f"_c_{n}") for n in [*sums, *totals]] + [F.max(f"_i_{n}").alias(f"_c_{n}") for n in maxs]
         tails += [F.max_by(f"_i_{n}", F.when(F.col(f"_i_{n}").isNotNull(), order)).alias(f"_c_{n}") for n in last]
         earlier = Window.partitionBy(KEY).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
         across = [F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in sums] + [F.max(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in maxs]
         across += [F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in last]
+        across += [F.sum(f"_c_{n}").over(Window.partitionBy(KEY)).alias(f"_c_{n}") for n in totals]
         if lag:
             tails.append(F.max_by("_row", order).alias("_c"))
             across.append(F.last("_c").over(earlier).alias("_c"))
@@ -65,11 +66,12 @@ class Segments:
         out = {n: F.coalesce(F.sum(f"_i_{n}").over(inside), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
         out |= {n: F.greatest(F.max(f"_i_{n}").over(inside), F.col(f"_c_{n}")) for n in maxs}
         out |= {n: F.coalesce(F.last(f"_i_{n}", ignorenulls=True).over(inside), F.col(f"_c_{n}")) for n in last}
+        out |= {n: F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in totals}
         if lag:
             out["_p"] = F.coalesce(F.lag("_row").over(self.window), F.col("_c"))
         df = df.withColumns(out)
         df = df.withColumns({n: F.col(f"_p.{n}") for n in lag}) if lag else df
-        return Segments(df.drop(*inputs, *[f"_c_{n}" for n in {**sums, **maxs, **last}], "_c", "_p"), self.order)
+        return Segments(df.drop(*inputs, *[f"_c_{n}" for n in {**sums, **maxs, **last, **totals}], "_c", "_p"), self.order)
 
     def last_n(self, name: str, col: Column, n: int) -> "Segments":
         """The last ``n`` values (this row included, oldest first) as an array."""

@@ -99,6 +99,23 @@ def test_retraining_swaps_keeps_and_skips(spark, tmp_path):
     assert [(r.version, r.decision) for r in store.versions().where("tenant_id = 't'").orderBy("version").collect()] == [(1, "swap"), (2, "keep"), (3, "swap")]
 
 
+def test_splits_leave_a_large_tenant_spread(spark):
+    rows = spark.range(0, 4000, 1, 4).select("id", F.lit(None).cast("string").alias("tenant_id"), F.timestamp_seconds("id").alias("created_at"))
+    few = spark.createDataFrame([(9000, "u", 7), (9001, "u", 7), (9001, "u", 7)], "id long, tenant_id string, s long").select("id", "tenant_id", F.timestamp_seconds("s").alias("created_at"))
+    both = rows.unionByName(few)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        splits = [E.time_split(both), E.stratified_split(both, "tenant_id", "id")]
+        held = [{r.p for r in s.where("tenant_id IS NULL").select(F.spark_partition_id().alias("p")).distinct().collect()} for s in splits]
+        counts = [{(r.tenant_id, r.part): r["count"] for r in s.groupBy("tenant_id", "part").count().collect()} for s in splits]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert all(len(h) > 1 for h in held)
+    for other, c in zip(("holdout", "test"), counts, strict=True):
+        assert c == {(None, "train"): 3200, (None, other): 800, ("u", "train"): 2, ("u", other): 1}
+
+
 def test_clip_at_the_exact_percentile(spark):
     rng = np.random.default_rng(3)
     cols = {"a": rng.lognormal(0, 3, 500), "b": np.where(rng.random(500) < 0.5, 0, -rng.integers(1, 9, 500)).astype(float), "c": np.zeros(500), "d": rng.normal(size=500) * 1e-300}
