@@ -5,9 +5,11 @@ State columns (``before_*``) are those of ``entity_state_before``: what was know
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.functions.plan import pin
+
 # Numeric codes of categorical fields (default code last).
 ENTITY_CODES = {"ip": 0.0, "user": 0.2, "host": 0.4, "domain": 0.6, "process": 0.8, "file": 1.0}
 SEVERITY_CODES = {"info": 0.0, "low": 0.25, "medium": 0.5, "high": 0.75, "critical": 1.0}
@@ -106,6 +108,14 @@ def features76() -> Column:
     return F.concat(network_block(), entity_block(), temporal_block(), payload_block(), context_block())
 
 
+def with_features76(df: DataFrame, name: str = "features") -> DataFrame:
+    """Add ``features76`` block by block: one expression for all 76 values makes a method too long for the JVM to compile."""
+    blocks = {"_net": network_block, "_ent": entity_block, "_tmp": temporal_block, "_pay": payload_block, "_ctx": context_block}
+    for column, block in blocks.items():
+        df = pin(df, column, block())
+    return df.withColumn(name, F.concat(*blocks)).drop(*blocks)
+
+
 def dna128(features: Column) -> Column:
     return F.concat(features, F.array_repeat(F.lit(0.0), 128 - DIM))
 

@@ -84,7 +84,10 @@ def adversarial_composite(timing: Column, evasion: Column, ood: Column) -> Colum
 
 
 def top_features(features: Column, importances: Sequence[float], n: int = 5) -> Column:
-    """Names and weights of the ``n`` features with the largest importance × |value|."""
+    """Names and weights of the ``n`` features with the largest importance × |value|, to six places, equal ones by name.
+
+    Rounding and sorting by name cost most, so they see only values that can still come among the first ``n``.
+    """
     names = [
         f"{block}[{i}]"
         for block, size in (("network", 16), ("entity", 16), ("temporal", 16), ("payload", 16), ("context", 12))
@@ -92,11 +95,17 @@ def top_features(features: Column, importances: Sequence[float], n: int = 5) ->
     ]
     weights = F.array(*[F.lit(float(x)) for x in importances])
     labels = F.array(*[F.lit(x) for x in names])
-    pairs = F.zip_with(
-        F.zip_with(features, weights, lambda x, w: F.round(F.abs(x) * w, 6)), labels,
-        lambda v, name: F.struct((-v).alias("neg"), name.alias("name")),
-    )
-    top = F.slice(F.array_sort(pairs), 1, n)
+    weighted = F.zip_with(features, weights, lambda x, w: -(F.abs(x) * w))
+
+    def ranked(values: Column) -> Column:
+        # rounding moves a value by half a millionth at most; absent values come first, NaN last, as they sort
+        bound = F.coalesce(F.get(F.sort_array(values), F.lit(n - 1)) + 2e-6, F.lit(float("nan")))
+        places = F.when(values.isNotNull(), F.sequence(F.lit(0), F.greatest(F.size(values), F.lit(len(names))) - 1))
+        at = lambda i: F.get(values, i)
+        near = bind(bound, lambda most: F.filter(places, lambda i: at(i).isNull() | (at(i) <= most)))
+        return F.sort_array(F.transform(near, lambda i: F.struct((-F.round(-at(i), 6)).alias("neg"), F.get(labels, i).alias("name"))))
+
+    top = F.slice(bind(weighted, ranked), 1, n)
     return F.transform(top, lambda p: F.struct(p["name"].alias("name"), (-p["neg"]).alias("weight")))
 
 

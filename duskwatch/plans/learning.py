@@ -15,8 +15,8 @@ SUITE = Suite()
 
 def labelled(spark, sf_dir):
     """Event id, time, class and the 76 features (stateless blocks filled)."""
-    ev = _vector_inputs(sec_events(spark, sf_dir))
-    return ev.select("event_id", "tenant_id", "timestamp", F.col("ensemble_label").alias("label"), FE.features76().alias("features"))
+    ev = FE.with_features76(_vector_inputs(sec_events(spark, sf_dir)))
+    return ev.select("event_id", "tenant_id", "timestamp", F.col("ensemble_label").alias("label"), "features")
 
 
 @SUITE.query("score_classifier")

@@ -6,11 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from duskwatch.functions import features as FE
+from duskwatch.functions import scoring as S
 from duskwatch.operators import baseline as BL
 from duskwatch.operators import evaluation as E
 from duskwatch.operators import ml as M
 from duskwatch.operators import reports as R
 from duskwatch.operators import retraining as RT
+from duskwatch.plans.base import sec_events
+from duskwatch.plans.behaviour import _vector_inputs
 
 
 def vectors(spark, x):
@@ -142,3 +146,30 @@ def test_sketches_roll_up(spark):
             assert r.events == len(x) and r.longest == x[-1] and r["mean"] == pytest.approx(x.mean())
             for p in (95, 99):
                 assert abs(np.searchsorted(x, r[f"p{p}"], "right") / len(x) - p / 100) <= 1.65 / R.SKETCH_K + 1 / len(x)
+
+
+def test_top_features_round_and_sort_few_values(spark):
+    rng = random.Random(11)
+    odd = [None, float("nan"), float("inf"), -0.0, 0.0, 4.9e-7, 5e-7, 1.5e-6, 1.0000004, 1.0000005, -3.0, 2.5, 1e12]
+    rows = [(i, [rng.choice(odd) if i % 2 else rng.choice([1.0, 1.0000004, 2.0]) for _ in range(rng.choice([76, 76, 3, 0]))]) for i in range(300)] + [(300, None)]
+    df = spark.createDataFrame(rows, "event_id long, features array<double>")
+    weights = [1 / (i % 7 + 1) for i in range(76)]
+    top = S.top_features(F.col("features"), weights)
+    labels = [f"{b}[{i}]" for b, n in (("network", 16), ("entity", 16), ("temporal", 16), ("payload", 16), ("context", 12)) for i in range(n)]
+    plain = F.zip_with(
+        F.zip_with("features", F.array(*[F.lit(w) for w in weights]), lambda x, w: F.round(F.abs(x) * w, 6)), F.array(*[F.lit(x) for x in labels]),
+        lambda v, name: F.struct((-v).alias("neg"), name.alias("name")),
+    )
+    want = F.transform(F.slice(F.array_sort(plain), 1, 5), lambda p: F.struct(p["name"].alias("name"), (-p["neg"]).alias("weight")))
+    assert df.select(top.alias("got"), want.alias("want")).where("NOT (got <=> want)").count() == 0
+    # what is rounded and sorted is made from the few places near the top, not from all
+    plan = df.select(top)._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" in plan and "array_sort" not in plan
+
+
+def test_features_block_by_block(spark):
+    ev = FE.with_optional(_vector_inputs(sec_events(spark, "/root/testdata/sf0.001")))
+    got = FE.with_features76(ev).select("event_id", "features")
+    assert sorted(got.collect()) == sorted(ev.select("event_id", FE.features76().alias("features")).collect())
+    # blocks are generated one by one, so that no method of generated code holds all 76 values
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 5
