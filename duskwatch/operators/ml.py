@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.functions.plan import pin
 from duskwatch.functions.scoring import bind
 from duskwatch.operators.segments import MAX_ROWS_PER_KEY, segmented
 
@@ -74,16 +75,26 @@ def fit_reconstruction(benign: DataFrame, k: int = 16) -> PCAModel:
     return PCA(k=k, inputCol="vec", outputCol="proj").fit(benign.select(array_to_vector(clamped("features")).alias("vec")))
 
 
-def reconstruction_anomaly(model: PCAModel, df: DataFrame) -> DataFrame:
+def reconstruction_anomaly(model: PCAModel, df: DataFrame, limit: float = 100.0) -> DataFrame:
     """Mean squared error of projecting on the components, over .5 and capped; NaN counts as 1.
 
-    The components are orthonormal, so the squared error is |x|² minus |projection|².
+    The components are orthonormal, so the squared error is |x|² minus |projection|². Entries are clamped as for the fit: null
+    counts as the lower limit, NaN as the upper. A batch of rows is projected at once.
     """
-    out = model.transform(df.withColumn("vec", array_to_vector(clamped("features"))))
-    square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
-    error = (square(clamped("features")) - square(vector_to_array("proj"))) / F.size("features")
-    score = F.least(F.greatest(error, F.lit(0.0)) / 0.5, F.lit(1.0))
-    return out.withColumn("vae_anomaly_score", F.when(F.isnan(error), 1.0).otherwise(score)).drop("vec", "proj")
+    axes = model.pc.toArray()
+
+    @F.arrow_udf("double")
+    def squared_error(vectors: pa.Array) -> pa.Array:
+        given = vectors.is_valid().to_numpy(zero_copy_only=False)
+        x = vectors.drop_null().flatten().fill_null(-limit).to_numpy(zero_copy_only=False).reshape(-1, len(axes))
+        x = np.where(np.isnan(x), limit, np.clip(x, -limit, limit))
+        out = np.zeros(len(vectors))
+        out[given] = ((x * x).sum(axis=1) - ((x @ axes) ** 2).sum(axis=1)) / len(axes)
+        return pa.array(out, mask=~given)
+
+    out = pin(df, "_error", squared_error(F.col("features").cast("array<double>")))
+    score = F.least(F.greatest(F.col("_error"), F.lit(0.0)) / 0.5, F.lit(1.0))
+    return out.withColumn("vae_anomaly_score", F.when(F.isnan("_error"), 1.0).otherwise(score)).drop("_error")
 
 
 def halfspace_leaves(features: Column, low: list[float], high: list[float], trees: int = 25, height: int = 8, seed: int = 42) -> Column:

@@ -173,3 +173,20 @@ def test_features_block_by_block(spark):
     assert sorted(got.collect()) == sorted(ev.select("event_id", FE.features76().alias("features")).collect())
     # blocks are generated one by one, so that no method of generated code holds all 76 values
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 5
+
+
+def test_reconstruction_projects_batches(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 6)) * 3
+    x[0, 0], x[1, 1] = 1e6, np.inf
+    model = M.fit_reconstruction(vectors(spark, x[2:]), 3)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(300, [None, 1.0, 2.0, 3.0, 4.0, 5.0]), (301, [float("nan"), 1.0, 2.0, 3.0, 4.0, 5.0])]
+    df = spark.createDataFrame(rows, "event_id long, features array<double>").repartition(3)
+    scored = M.reconstruction_anomaly(model, df)
+    v = np.vstack([x, [[-100, 1, 2, 3, 4, 5], [100, 1, 2, 3, 4, 5]]]).clip(-100, 100)
+    axes = model.pc.toArray()
+    error = ((v - v @ axes @ axes.T) ** 2).mean(axis=1)
+    got = {r.event_id: r.vae_anomaly_score for r in scored.collect()}
+    assert got == pytest.approx(dict(enumerate(np.minimum(error / 0.5, 1))), abs=1e-6) and scored.columns == [*df.columns, "vae_anomaly_score"]
+    # no lambda walks a vector entry by entry
+    assert "ArrowEvalPython" in scored._jdf.queryExecution().optimizedPlan().toString() and "lambda" not in scored._jdf.queryExecution().optimizedPlan().toString()
