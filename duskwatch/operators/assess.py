@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions import scoring as S
-from duskwatch.functions.features import features76, with_optional
+from duskwatch.functions.features import with_features76, with_optional
 from duskwatch.functions.plan import pin
 from duskwatch.functions.text import mask_pii
 from duskwatch.operators import intel, narrative, rules
 from duskwatch.operators.entitypass import entity_pass
 from duskwatch.operators.segments import MAX_ROWS_PER_KEY
 from duskwatch.operators.state import posture_running
+from duskwatch.session import ensure_checkpoint_dir
 
 RECENT = 30
 SCORERS = ("vae_anomaly_score", "hst_anomaly_score", "temporal_score")
@@ -22,8 +23,8 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def with_features(events: DataFrame) -> DataFrame:
-    """The 76 values, from the state before the event; computed once."""
-    return pin(with_optional(events), "features", features76())
+    """The 76 values, from the state before the event; each block computed once."""
+    return with_features76(with_optional(events))
 
 
 def fuse(events: DataFrame, classifier: Scorer | None = None, weights: list[Column | float] | None = None) -> DataFrame:
@@ -79,7 +80,13 @@ def assess(events: DataFrame, classifier: Scorer | None = None, max_rows: int =
 
 
 def with_running_posture(assessed: DataFrame, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
-    """Assessed events with their tenant's posture after each. Rows equal in tenant, time and id get the last value."""
+    """Assessed events with their tenant's posture after each. Rows equal in tenant, time and id get the last value.
+
+    The posture counts, cuts and folds the events before they meet it, so they are kept in a checkpoint and assessed once: select
+    the columns that are needed first.
+    """
+    ensure_checkpoint_dir(assessed.sparkSession)
+    assessed = assessed.checkpoint()
     run = posture_running(assessed, max_rows=max_rows)
     key = F.struct("tenant_id", "us", "event_id")
     last = run.groupBy(key.alias("_at")).agg(F.last("score").alias("posture"))

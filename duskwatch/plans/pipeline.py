@@ -48,11 +48,13 @@ _SQL = (
 def _(spark, sf_dir):
     """What the chained stream gives for a replay in order of time; the tests replay it and compare."""
     ev = B._vector_inputs(B.entities(spark, sf_dir).select(*B.VECTOR_INPUT, "raw_log", "signature_name", "outcome"))
-    out = A.with_running_posture(A.assess(ev))
-    return out.select(
-        "event_id", F.round("ensemble_score", 6).alias("ensemble"), F.round("adversarial_score", 6).alias("adversarial"), F.round(F.col("meta_score") + 1e-10, 6).alias("meta"),
-        F.size("rule_matches").cast("long").alias("rules"), F.size("ioc_matches").cast("long").alias("iocs"), F.round("risk", 4).alias("risk"),
-        F.round("posture_delta", 6).alias("delta"), F.round("posture", 5).alias("posture"), F.col("recommendation.action").alias("action"),
+    shown = A.assess(ev).select(
+        "tenant_id", "timestamp", "event_id", "meta_score", F.round("ensemble_score", 6).alias("ensemble"), F.round("adversarial_score", 6).alias("adversarial"),
+        F.round(F.col("meta_score") + 1e-10, 6).alias("meta"), F.size("rule_matches").cast("long").alias("rules"), F.size("ioc_matches").cast("long").alias("iocs"),
+        F.round("risk", 4).alias("risk"), F.round("posture_delta", 6).alias("delta"), F.col("recommendation.action").alias("action"),
+    )
+    return A.with_running_posture(shown).select(
+        "event_id", "ensemble", "adversarial", "meta", "rules", "iocs", "risk", "delta", F.round("posture", 5).alias("posture"), "action"
     )
 
 

@@ -255,3 +255,24 @@ def test_history_travels_as_it_came(spark, monkeypatch):
     got = {r.event_id: r.history for r in state.entity_history(ev, 3, 4).collect()}
     assert got[6] == [[4.0, 1.0, 0.0, 0.0], [5.0, 1.0, 0.0, 0.0], [6.0, 1.0, 0.0, 0.0]] and got[0] == [[0.0, 1.0, 0.0, 0.0]] and got[9] == [[0.0, 1.0, 2.0, 3.0]]
     assert seen == [4] and state.entity_history(ev.where("entity = 'e'"), 3, 64).count() == 7 and seen[1] == 2
+
+
+def test_posture_assesses_every_event_once(spark):
+    from duskwatch.operators.assess import with_running_posture
+
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def scored(i):
+        met.add(1)
+        return (i * 7 % 10) / 10
+
+    ev = spark.range(200).select(F.concat(F.lit("t"), F.col("id") % 2).alias("tenant_id"), F.timestamp_seconds("id").alias("timestamp"), F.col("id").alias("event_id"))
+    assessed = ev.withColumn("meta_score", scored.asNondeterministic()("event_id"))
+    got = {r.event_id: round(r.posture, 6) for r in with_running_posture(assessed, max_rows=30).collect()}
+    want, at = {}, {}
+    for i in range(200):
+        m, x = (i * 7 % 10) / 10, at.get(i % 2, 82.0)
+        at[i % 2] = max(0.0, x - m * 2.5) if m > 0.7 else min(100.0, x + 0.3) if m < 0.3 else x
+        want[i] = round(at[i % 2], 6)
+    assert got == want and met.value == 200
