@@ -15,6 +15,7 @@ from duskwatch.operators import reports as R
 from duskwatch.operators import retraining as RT
 from duskwatch.plans.base import sec_events
 from duskwatch.plans.behaviour import _vector_inputs
+from duskwatch.plans.learning import labelled
 
 
 def vectors(spark, x):
@@ -190,3 +191,8 @@ def test_reconstruction_projects_batches(spark):
     assert got == pytest.approx(dict(enumerate(np.minimum(error / 0.5, 1))), abs=1e-6) and scored.columns == [*df.columns, "vae_anomaly_score"]
     # no lambda walks a vector entry by entry
     assert "ArrowEvalPython" in scored._jdf.queryExecution().optimizedPlan().toString() and "lambda" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_benign_rows_are_found_by_one_parse(spark):
+    plan = labelled(spark, "/root/testdata/sf0.001").where("label = 'benign'").select("event_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1
