@@ -1,11 +1,14 @@
 import os
+import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from duskwatch.llm.language import BYTE_FLOOR, VOCABULARY, Pieces, identify_language, learn, word_scores
+from duskwatch.llm import language
+from duskwatch.llm.language import BYTE_FLOOR, VOCABULARY, Pieces, count_words, expected, identify_language, learn, learn_words, word_scores
 from duskwatch.llm.tokens import LETTER, Words
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
@@ -83,3 +86,83 @@ def test_odd_rows(odd, none):
     assert by[100] == by[101] == by[102] == by[105] == "und"
     assert identify_language(none).collect() == []
     assert {r.lang_pred for r in identify_language(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_no_letter_piece_is_left_out(pieces):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    raw = {model.id_to_piece(i) for i in range(model.get_piece_size())}
+    long_ = sorted(x for x in raw if len(x.encode()) > 15 and LETTER[np.frombuffer(x.encode(), np.uint8)].all())
+    assert len(long_) > 50
+    for x in long_:
+        begins = x.startswith("▁")
+        w = Words(pa.array([x.removeprefix("▁")]), ~LETTER)
+        assert pieces.rows(pieces.start if begins else pieces.inner, w.span_hashes(w.start, w.end))[0] > 0, x
+
+
+WORDS = ["a", "chat", "straße", "communication", "x" * 70, "internationally" * 4, "é" * 33]
+
+
+def test_expected_counts_are_derivatives(pieces):
+    """A piece's expected count is its probability times the derivative of the word's log probability, also in words over 40 bytes."""
+    rng = np.random.default_rng(1)
+    p = rng.random((pieces.size, 2))
+    p[0] = 0
+    p /= p.sum(0)
+    for word in WORDS:
+        w = Words(pa.array([word]), ~LETTER)
+        got = expected(pieces, p, w, np.array([1]), np.array([3]))
+        assert not got[:, 0].any()
+        for row in np.argsort(got[:, 1])[-3:]:
+            assert got[row, 1] > 0
+            up, down = p.copy(), p.copy()
+            up[row, 1] *= 1 + 1e-5
+            down[row, 1] *= 1 - 1e-5
+            slope = (word_scores(pieces, up, w, np.array([0])) - word_scores(pieces, down, w, np.array([0])))[0, 1] / 2e-5
+            assert got[row, 1] == pytest.approx(3 * slope, rel=1e-4), (word, row)
+
+
+def test_stretches_of_a_long_word_join(pieces, monkeypatch):
+    p = learn(pieces, pa.array([" ".join(WORDS), "die der das"]), np.array([0, 1]), 2)
+    w = Words(pa.array([" ".join(WORDS)]), ~LETTER)
+    lang, n = np.array([0, 1, 0, 1, 0, 1, 0]), np.arange(1, 8)
+    scores, counts = word_scores(pieces, p, w, np.arange(len(w))), expected(pieces, p, w, lang, n)
+    whole = language._blocks
+    monkeypatch.setattr(language, "_blocks", lambda a, b, c, size=0: whole(a, b, c, 50))
+    assert word_scores(pieces, p, w, np.arange(len(w))) == pytest.approx(scores, rel=1e-12)
+    assert expected(pieces, p, w, lang, n) == pytest.approx(counts, rel=1e-9, abs=1e-12)
+
+
+def test_tasks_learn_as_one_process_does(spark, pieces):
+    texts = pa.array([" ".join(WORDS), "Der Hund, der Hund", "", "the dog THE Dog", "12 34"])
+    lang = np.array([0, 1, 1, 0, 1])
+    rows = [r for b in count_words(texts, lang, 2) for r in b.to_pylist()]
+    assert sorted((r["word"], r["n"]) for r in rows if r["word"] in ("der", "dog", "the")) == [("der", 2), ("dog", 2), ("the", 2)]
+    words = spark.createDataFrame([(r["word"], r["lang"], r["n"]) for r in rows], "word string, lang int, n long").repartition(3)
+    assert learn_words(words, pieces, 2) == pytest.approx(learn(pieces, texts, lang, 2), rel=1e-6)
+
+
+SCHEMA = "doc_id long, text string, lang string"
+FREE = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+
+
+def test_words_over_40_bytes_are_learned(spark):
+    words = {"en": "zqxj" * 15, "fr": "vkwy" * 15}
+    docs = spark.createDataFrame([(FREE[i], words[lang], lang) for i, lang in enumerate(["en", "fr"] * 10)], SCHEMA)
+    assert all(r.lang == r.lang_pred for r in identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").collect())
+
+
+def test_texts_over_50000_characters_are_learned(spark):
+    docs = spark.createDataFrame([(FREE[0], "the cat and the dog", "en"), (FREE[1], "der Hund und die Katze " * 3000, "de"), (FREE[2], "der Hund", None)], SCHEMA)
+    assert {r.doc_id: r.lang_pred for r in identify_language(docs).collect()} == {FREE[0]: "en", FREE[1]: "de", FREE[2]: "de"}
+
+
+def test_every_row_of_a_language_is_learned(spark):
+    rng = random.Random(3)
+    marks = [("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)), "fr" if k % 2 else "en") for k in range(12)]
+    rows = [(FREE[k], "la la", "en" if k % 2 else "fr") for k in range(3000)]
+    rows += [(FREE[3000 + k], f"{mark} " * 40, lang) for k, (mark, lang) in enumerate(marks)]
+    ask = [(FREE[4000 + k], mark, None) for k, (mark, _) in enumerate(marks)]
+    found = {r.doc_id: r.lang_pred for r in identify_language(spark.createDataFrame(rows + ask, SCHEMA)).collect()}
+    assert [found[i] for i, _, _ in ask] == [lang for _, lang in marks]
