@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Sequence
 
 import numpy as np
@@ -106,3 +107,73 @@ def hash_vector(text: Column, width: int = 384) -> Column:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(digest) + 1, dtype=np.int32) * 48 * copies), flat)
 
     return spread(F.unhex(F.sha2(text, 512)))
+
+
+#: Rows worked on at once where each holds a list of vectors; bounds what a Python worker holds beside its batch.
+BLOCK = 256
+
+
+def _blocks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield from (batch.slice(at, BLOCK) for at in range(0, len(batch), BLOCK))
+
+
+def _matrix(values: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """Consecutive stretches of ``values`` as rows, each cut or padded with zeros to ``width``."""
+    out = np.zeros((len(lengths), width), values.dtype)
+    if len(lengths) and (lengths == lengths[0]).all():
+        out[:, : lengths[0]] = values.reshape(len(lengths), lengths[0])[:, :width]
+    else:
+        within = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        out[np.arange(width) < lengths[:, None]] = values[within < width]
+    return out
+
+
+def _lists(rows: pa.Array, values: pa.Array, lengths: np.ndarray) -> pa.Array:
+    """Lists of consecutive ``values``, null where ``rows`` is."""
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=rows.is_null() if rows.null_count else None)
+
+
+def padded_vectors(column: Column, width: int) -> Column:
+    """Each vector of a list of vectors cut or padded with zeros to ``width``; null vectors and entries stay null."""
+
+    @F.arrow_udf("array<array<double>>")
+    def pad(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in _blocks(batches):
+            vectors = rows.flatten()
+            given = vectors.flatten()
+            lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            values = _matrix(given.fill_null(0.0).to_numpy(zero_copy_only=False), lengths, width).ravel()
+            missing = _matrix(given.is_null().to_numpy(zero_copy_only=False), lengths, width).ravel() if given.null_count else None
+            whole = _lists(vectors, pa.array(values, mask=missing), np.full(len(vectors), width))
+            yield _lists(rows, whole, rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+    return pad(column.cast("array<array<double>>"))
+
+
+def measured_vectors(column: Column) -> Column:
+    """Of a list of vectors: their number, the width of the first and the sum of all entries (null if one is null).
+
+    Beside ``padded_vectors`` it runs in the same Python worker, so the lists never travel.
+    """
+
+    @F.arrow_udf("struct<vectors: bigint, width: int, total: double>")
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in _blocks(batches):
+            vectors = rows.flatten()
+            given = vectors.flatten()
+            count, width = rows.value_lengths(), vectors.value_lengths()
+            number = count.fill_null(0).to_numpy(zero_copy_only=False)
+            of_row = np.repeat(np.arange(len(rows)), number)
+            entries = np.bincount(of_row, width.fill_null(0).to_numpy(zero_copy_only=False), len(rows)).astype(np.int64)
+            # null counts as 0 here and takes its row's total away below
+            total = _matrix(given.fill_null(0.0).to_numpy(zero_copy_only=False), entries, entries.max(initial=0)).sum(axis=1)
+            unknown = rows.is_null().to_numpy(zero_copy_only=False).copy()
+            unknown[of_row[vectors.is_null().to_numpy(zero_copy_only=False)]] = True
+            if given.null_count:
+                unknown[np.repeat(np.arange(len(rows)), entries)[given.is_null().to_numpy(zero_copy_only=False)]] = True
+            first = pa.array(np.cumsum(number) - number, mask=number == 0)
+            yield pa.StructArray.from_arrays([count.cast(pa.int64()), width.take(first), pa.array(total, mask=unknown)], ["vectors", "width", "total"])
+
+    return measure(column)

@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskwatch.functions.plan import pin
 from duskwatch.functions.scoring import DEFAULT_WEIGHTS
+from duskwatch.functions.vectors import padded_vectors
 from duskwatch.operators.entitypass import FIVE_MIN, IDLE_TTL, ONE_HOUR, STATE, entity_pass  # noqa: F401
 from duskwatch.operators.folds import ordered_fold
 from duskwatch.operators.segments import MAX_ROWS_PER_KEY, segmented
@@ -62,14 +62,12 @@ def final_entity_state(events: DataFrame, now: Column, max_rows: int = MAX_ROWS_
 def entity_history(events: DataFrame, n: int = 50, width: int = 64, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:
     """Last ``n`` vectors of the entity, this event included, each cut or padded to ``width``.
 
-    Rows travel with their vector as it is; the zeros are added where a history is read.
+    Rows travel with their vector as it is; the zeros are added where a history is read, a block of rows at a time.
     """
     seg = segmented(
         events.withColumn("us", F.unix_micros("timestamp")), ["tenant_id", "entity"], ["us", "event_id"], max_rows
     ).last_n("history", F.slice("features", 1, width), n)
-    zeros = F.array(*[F.lit(0.0)] * width)
-    padded = F.transform("history", lambda v: F.slice(F.concat(v, zeros), 1, width))
-    return pin(seg.rows.drop("us"), "history", padded)
+    return seg.rows.drop("us").withColumn("history", padded_vectors(F.col("history"), width))
 
 
 def recent_times(events: DataFrame, n: int = 30, max_rows: int = MAX_ROWS_PER_KEY) -> DataFrame:

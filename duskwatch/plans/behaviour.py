@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import features as FE
 from duskwatch.functions import scoring as S
+from duskwatch.functions.vectors import measured_vectors
 from duskwatch.operators import baseline as BL
 from duskwatch.operators import campaigns as C
 from duskwatch.operators import sequence as Q
@@ -72,12 +73,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     ev = entities(spark, sf_dir).select("tenant_id", "entity", "timestamp", "event_id", F.array("meta_score").alias("features"))
-    h = ST.entity_history(ev)
-    total = F.aggregate(F.flatten("history"), F.lit(0.0), lambda a, x: a + x)
-    return h.select(
-        "event_id", F.size("history").cast("long").alias("vectors"), F.size(F.col("history")[0]).alias("width"),
-        F.round(total, 6).alias("total"),
-    )
+    h = ST.entity_history(ev).select("event_id", measured_vectors(F.col("history")).alias("h"))
+    return h.select("event_id", "h.vectors", "h.width", F.round("h.total", 6).alias("total"))
 
 
 _TIMES = (

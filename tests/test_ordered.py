@@ -257,6 +257,42 @@ def test_history_travels_as_it_came(spark, monkeypatch):
     assert seen == [4] and state.entity_history(ev.where("entity = 'e'"), 3, 64).count() == 7 and seen[1] == 2
 
 
+def test_histories_are_padded_and_measured_in_one_python_pass(spark):
+    """No lambda walks the 50 x 64 entries of a row, and lists do not go back and forth between JVM and Python."""
+    from duskwatch.functions.vectors import measured_vectors
+    from duskwatch.operators import state
+
+    rows = [("t", "e" if i % 3 else "f", i, [float(i), 0.5]) for i in range(700)]
+    ev = spark.createDataFrame(rows, "tenant_id string, entity string, event_id long, features array<double>").withColumn("timestamp", F.timestamp_seconds("event_id"))
+    h = state.entity_history(ev, max_rows=200)
+    out = h.select("event_id", measured_vectors(F.col("history")).alias("h")).select("event_id", "h.*")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and plan.count("ArrowEvalPython [") == 1
+    got = {r.event_id: (r.vectors, r.width, r.total) for r in out.collect()}
+    seen, want, whole = {}, {}, {}
+    for _, e, i, v in rows:
+        last = seen.setdefault(e, [])
+        last.append(v)
+        want[i] = (len(last[-50:]), 64, pytest.approx(sum(sum(x) for x in last[-50:])))
+        whole[i] = [[*x, *[0.0] * 62] for x in last[-50:]]
+    assert got == want and {r.event_id: r.history for r in h.where("event_id % 7 = 0").collect()} == {i: w for i, w in whole.items() if i % 7 == 0}
+
+
+def test_padded_and_measured_vectors_of_odd_lists(spark):
+    from duskwatch.functions.vectors import measured_vectors, padded_vectors
+
+    lists = [[[1.0, 2.0], [3.0]], [[]], [], None, [[1.0, None], None, [2.0]], [[1.0, 2.0, 3.0, 4.0]], [[float("inf"), -1.0, 9.0]], [None, [1.0]]]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, v array<array<double>>").coalesce(1)
+    pad = lambda v: None if v is None else (v + [0.0] * 3)[:3]
+    got = {r.id: r.p for r in df.select("id", padded_vectors(F.col("v"), 3).alias("p")).collect()}
+    assert got == {i: None if v is None else [pad(x) for x in v] for i, v in enumerate(lists)}
+    m = {r.id: tuple(r.m) for r in df.select("id", measured_vectors(F.col("v")).alias("m")).collect()}
+    assert m == {
+        0: (2, 2, 6.0), 1: (1, 0, 0.0), 2: (0, None, 0.0), 3: (None, None, None), 4: (3, 2, None), 5: (1, 4, 10.0), 6: (1, 3, float("inf")), 7: (2, None, None),
+    }
+    assert df.limit(0).select(padded_vectors(F.col("v"), 3)).count() == 0
+
+
 def test_posture_assesses_every_event_once(spark):
     from duskwatch.operators.assess import with_running_posture
 
