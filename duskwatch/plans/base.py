@@ -111,9 +111,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Security-event view of the test table; unused columns are pruned down to the scan."""
-    base = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def sec_events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Security-event view of the test table; unused columns are pruned down to the scan. The table's rows are dealt out to ``parts`` if given."""
+    base = table(spark, sf_dir, "events")
+    base = (base if parts is None else base.repartition(parts)).withColumn("ts", F.col("ts").cast("timestamp"))
     base = base.selectExpr(*[f"{e} AS {n}" for n, e in BASE_COLUMNS.items()])
     return base.selectExpr(*[f"{e} AS {n}" for n, e in SEC_COLUMNS.items()])
 

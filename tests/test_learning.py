@@ -196,3 +196,25 @@ def test_reconstruction_projects_batches(spark):
 def test_benign_rows_are_found_by_one_parse(spark):
     plan = labelled(spark, "/root/testdata/sf0.001").where("label = 'benign'").select("event_id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") == 1
+
+
+def test_train_classifier_query_grows_the_whole_forest_on_all_rows(spark, tmp_path, monkeypatch):
+    import inspect
+
+    from duskwatch.plans import learning
+
+    rows = [(i, i * 60, i % 17, ["signup", "error", "click", "view", "x"][i % 5], float(i % 230), f'{{"k": {i % 97}}}') for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    seen, own = [], M.train_classifier
+
+    def train(*args, **options):
+        asked = inspect.signature(own).bind(*args, **options)
+        asked.apply_defaults()
+        seen.append((asked.arguments["trees"], asked.arguments["depth"], asked.arguments["df"].count(), asked.arguments["df"].rdd.getNumPartitions()))
+        return own(asked.arguments["df"], trees=3, depth=3)
+
+    monkeypatch.setattr(M, "train_classifier", train)
+    top = learning.SUITE.queries["train_classifier"](spark, str(tmp_path))
+    assert top.select("event_id").distinct().count() == 300
+    assert seen == [(100, 12, 300, spark.sparkContext.defaultParallelism)]
