@@ -293,6 +293,28 @@ def test_padded_and_measured_vectors_of_odd_lists(spark):
     assert df.limit(0).select(padded_vectors(F.col("v"), 3)).count() == 0
 
 
+@pytest.mark.parametrize("max_rows", [10**6, 300, 7])
+def test_last_values_of_keys_over_segments_and_blocks(spark, max_rows):
+    """Null keys are keys, null values are left out, and nothing but the range partitioning shuffles."""
+    from duskwatch.operators.segments import segmented
+
+    count = 2600 if max_rows > 100 else 120
+    rows = [(None if i % 9 == 0 else "t", None if i % 5 == 0 else "e" if i % 11 else "f", (i * 7919) % 1009, i, None if i % 13 == 0 else i) for i in range(count)]
+    df = spark.createDataFrame(rows, "tenant_id string, entity string, us long, event_id long, v long").repartition(3)
+    want, seen = {}, {}
+    for t, e, us, i, v in sorted(rows, key=lambda r: (r[2], r[3])):
+        last = seen.setdefault((t, e), [])
+        last.append(v)
+        want[i] = [x for x in last[-4:] if x is not None]
+    seg = segmented(df, ["tenant_id", "entity"], ["us", "event_id"], max_rows)
+    near = seg.last_n("near", F.col("v"), 4)
+    assert "Exchange" not in near.rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.event_id: r.near for r in near.rows.collect()} == want and set(near.rows.columns) == {*df.columns, "near"}
+    again = seg.running(sums={"total": F.col("v")}).last_n("near", F.col("v"), 4).rows
+    assert {r.event_id: r.near for r in again.collect()} == want
+    assert [r.one for r in seg.last_n("one", F.col("event_id"), 1).rows.where("event_id = 5").collect()] == [[5]]
+
+
 def test_posture_assesses_every_event_once(spark):
     from duskwatch.operators.assess import with_running_posture
 
